@@ -1,7 +1,7 @@
 """Operator 7, toxicity: a convolutional text classifier trained in numpy.
 
-Words are found by a 64-bit hash among those that several texts of the sample have; others are the zero vector. Filters
-of several widths run over a text's word vectors, each is max-pooled over the whole text, and a logistic layer scores
+A word's vector is the sum of the vectors of its 64-bit hash and of its beginnings' hashes; only hashes that several
+texts of the sample have are trained, others are zero. Filters of several widths run over a text's word vectors, each is max-pooled over the whole text, and a logistic layer scores
 the pooled values. Thresholds are calibrated by language, which is predicted from the same words; a score is stretched so
 that its language's threshold is at 0.7.
 """
@@ -20,13 +20,19 @@ from .decontam import words_of
 from .sampling import bounded_sample, held_out
 
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 8, 8
+STARTS = (4, 5)  # bytes of a word's beginnings
+CACHE = 500_000
 CUT = 0.7
+DECAY = 1e-4
+
+
+def _hashes(word: bytes) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(word), *[xxhash.xxh3_64_intdigest(word[:n], n) if len(word) > n else 0 for n in STARTS]]
 
 
 class Classifier:
     def __init__(self, seed: int = 5):
         self.rows: dict[int, int] = {}
-        self.cache: dict[bytes, int] = {}
         rng = np.random.default_rng(seed)
         self.rng = rng
         self.vectors = np.zeros((1, SIZE), np.float32)
@@ -38,19 +44,51 @@ class Classifier:
         self.languages: list[str] = []
         self.words_by_language = np.zeros((1, 0), np.float32)
         self.cuts: np.ndarray = np.zeros(0)
+        self.forget()
         self.trained = False
 
+    def parts(self, word: bytes) -> tuple[int, ...]:
+        """Rows of the word's known hashes; 0 for unknown ones."""
+        get, size = self.rows.get, len(word)
+        known = [get(xxhash.xxh3_64_intdigest(word), 0)]
+        for n in STARTS:
+            start = word[:n] if size > n else b""
+            row = self.starts.get(start)
+            if row is None:
+                row = self.starts[start] = get(xxhash.xxh3_64_intdigest(start, n), 0) if start else 0
+            known.append(row)
+        return tuple(known)
+
     def ids(self, text: str | None) -> np.ndarray:
-        """Rows of the text's words; 0 for unknown ones and past the end, so that every filter fits at least once."""
-        cache, words = self.cache, words_of(text)
+        """Slots of the text's words, for scoring; 0 for unknown ones and past the end, so that every filter fits."""
+        words = words_of(text)
+        try:
+            return np.fromiter((*map(self.cache.__getitem__, words), 0, 0, 0), np.int32, len(words) + 3)
+        except KeyError:
+            pass
+        cache, mixed = self.cache, self.mixed
         for w in words:
             if w not in cache:
-                if len(cache) > 400_000:
-                    cache.clear()
-                    return self.ids(text) if len(set(words)) < 400_000 else np.array([*[self.rows.get(xxhash.xxh3_64_intdigest(x), 0) for x in words], 0, 0, 0], np.int32)
-                cache[w] = self.rows.get(xxhash.xxh3_64_intdigest(w), 0)
+                rows = self.parts(w)
+                slot = mixed.get(rows)
+                if slot is None:  # words with the same known hashes share a slot
+                    slot = mixed[rows] = len(mixed)
+                    if slot == len(self.slots):
+                        self.slots = np.concatenate([self.slots, np.zeros_like(self.slots)])
+                        self.slot_words = np.concatenate([self.slot_words, np.zeros_like(self.slot_words)])
+                    self.slots[slot] = self.vectors[list(rows)].sum(0)
+                    self.slot_words[slot] = self.words_by_language[rows[0]]
+                cache[w] = slot
         return np.fromiter((*map(cache.__getitem__, words), 0, 0, 0), np.int32, len(words) + 3)
 
+    def forget(self) -> None:
+        """Empties the cache of words seen while scoring."""
+        self.cache: dict[bytes, int] = {}
+        self.starts: dict[bytes, int] = {}
+        self.mixed: dict[tuple[int, ...], int] = {(0,) * (1 + len(STARTS)): 0}
+        self.slots = np.zeros((1024, SIZE), np.float32)
+        self.slot_words = np.zeros((1024, self.words_by_language.shape[1]), np.float32)
+
     def maps(self, x: np.ndarray) -> np.ndarray:
         """What the filters give at every position of joined texts, each followed by three zero rows."""
         out = []
@@ -65,22 +103,24 @@ class Classifier:
         """Of each text the logit, and the number of its predicted language."""
         flat = np.concatenate(texts)
         at = np.cumsum([0, *map(len, texts[:-1])])
-        pooled = np.maximum.reduceat(self.maps(self.vectors[flat]), at, axis=0)
+        pooled = np.maximum.reduceat(self.maps(self.slots[flat]), at, axis=0)
         z = np.maximum(pooled + self.bias, 0) @ self.out + self.level
         if not self.languages:
             return z, np.zeros(len(texts), np.int64)
-        return z, np.add.reduceat(self.words_by_language[flat], at, axis=0).argmax(1)
+        return z, np.add.reduceat(self.slot_words[flat], at, axis=0).argmax(1)
 
-    def fit(self, texts: list[str | None], toxic: np.ndarray, languages: list[str | None], epochs: int = 12, least: int = 3, rate: float = 0.05) -> None:
+    def fit(self, texts: list[str | None], toxic: np.ndarray, languages: list[str | None], steps: int = 800, least: int = 3, rate: float = 0.05) -> None:
         known: dict[int, int] = {}
         for t in texts:
-            for h in {xxhash.xxh3_64_intdigest(w) for w in set(words_of(t))}:
+            for h in {h for w in set(words_of(t)) for h in _hashes(w)}:
                 known[h] = known.get(h, 0) + 1
-        self.rows = {h: i + 1 for i, h in enumerate(h for h, n in known.items() if n >= least)}
-        self.cache = {}
+        known.pop(0, None)
+        self.rows = {h: i + 1 for i, h in enumerate(sorted(h for h, n in known.items() if n >= least))}
         self.vectors = self.rng.normal(0, 0.05, (len(self.rows) + 1, SIZE)).astype(np.float32)
         self.vectors[0] = 0
-        ids = [self.ids(t) for t in texts]
+        self.forget()
+        parts = {w: self.parts(w) for t in texts for w in set(words_of(t))}
+        ids = [np.array([*map(parts.__getitem__, words_of(t)), *[(0,) * (1 + len(STARTS))] * 3], np.int32) for t in texts]
         self._languages(ids, languages)
         check = np.arange(len(ids)) % 5 == 0
         learn = np.flatnonzero(~check)
@@ -91,12 +131,13 @@ class Classifier:
         squares = [np.full_like(p, 1e-6) for p in params]
         v_squares = np.full_like(self.vectors, 1e-6)
         level_square = 1e-6
-        for _ in range(epochs):
-            for some in np.array_split(self.rng.permutation(learn), max(1, len(learn) // 24)):
+        per_epoch = max(1, len(learn) // 24)
+        for _ in range(-(-steps // per_epoch)):
+            for some in np.array_split(self.rng.permutation(learn), per_epoch):
                 own = [ids[i] for i in some]
                 flat = np.concatenate(own)
                 at = np.cumsum([0, *map(len, own)])
-                x = self.vectors[flat]
+                x = self.vectors[flat].sum(1)
                 maps = self.maps(x)
                 top = np.stack([maps[i:j].argmax(0) + i for i, j in zip(at, at[1:])])
                 pooled = maps[top, np.arange(maps.shape[1])] + self.bias
@@ -119,21 +160,25 @@ class Classifier:
                     q -= rate * g / np.sqrt(s)
                 level_square += float(d.sum()) ** 2
                 self.level = np.float32(self.level - rate * d.sum() / level_square**0.5)
-                moved = np.flatnonzero(d_x.any(1) & (flat > 0))
+                moved = np.flatnonzero(d_x.any(1))
                 rows, back = np.unique(flat[moved], return_inverse=True)
                 g = np.zeros((len(rows), SIZE), np.float32)
-                np.add.at(g, back, d_x[moved])
+                np.add.at(g, back.reshape(len(moved), -1), d_x[moved][:, None])
+                g += DECAY * self.vectors[rows]
                 v_squares[rows] += g * g
                 self.vectors[rows] -= rate * g / np.sqrt(v_squares[rows])
+                self.vectors[0] = 0
         self.trained = True
-        self._calibrate([ids[i] for i in np.flatnonzero(check)], toxic[check])
+        self.forget()
+        self._calibrate([self.ids(texts[i]) for i in np.flatnonzero(check)], toxic[check])
+        self.forget()
 
     def _languages(self, ids: list[np.ndarray], languages: list[str | None]) -> None:
         self.languages = sorted({x for x in languages if x is not None})
         n = np.ones((len(self.vectors), len(self.languages)), np.float32)
         for own, x in zip(ids, languages):
             if x is not None:
-                np.add.at(n[:, self.languages.index(x)], own, 1)
+                np.add.at(n[:, self.languages.index(x)], own[:, 0], 1)
         n[0] = 1
         self.words_by_language = np.log(n / n.sum(0)) if self.languages else n
         self.words_by_language[0] = 0
@@ -167,16 +212,18 @@ class Classifier:
         if not self.trained:
             return [0.0] * len(texts)
         held, n = [], 0
-        ids = [self.ids(t) for t in texts]
-        for i, own in enumerate(ids):
+        for i, t in enumerate(texts):
+            own = self.ids(t)
             held.append(own)
             n += len(own)
-            if n > most_words or i == len(ids) - 1:
+            if n > most_words or i == len(texts) - 1:
                 z, lang = self.logits(held)
                 p = 1 / (1 + np.exp(-(self.scale * z.astype(np.float64) + self.shift)))
                 c = self.cuts[lang]
                 out += np.where(p < c, CUT * p / c, CUT + (1 - CUT) * (p - c) / (1 - c)).tolist()
                 held, n = [], 0
+                if len(self.cache) > CACHE:
+                    self.forget()
         return out
 
 
@@ -194,7 +241,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, most_rows: in
     rows = plain.join(wanted, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most_rows).collect()
     if rows:
         model.fit([r.text for r in rows], np.array([r.toxic for r in rows], np.float64), [r.lang for r in rows])
-    model.cache = {}
     return model
 
 
