@@ -32,7 +32,10 @@ def tolerant_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFr
 def json_records(spark: SparkSession, path: str, wrappers: Sequence[str] = ("documents", "data", "records", "examples", "instances")) -> DataFrame:
     """(record, error): each record of a file as JSON text, whether the file is an array, an object, an object that wraps an array, or
     lines. Lines that don't parse come as errors."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.expr("try_parse_json(value)").alias("v"))
+    first = F.regexp_extract("value", r"^\s*([^\r\n]*)", 1)
+    # several lines of which the first is an object by itself; the parser would be content with that one
+    lined = F.rlike(F.trim("value"), F.lit(r"[\r\n]")) & F.rlike(first, F.lit(r"^\{.*\}\s*$")) & F.try_parse_json(first).isNotNull()
+    whole = spark.read.text(path, wholetext=True).select("value", F.when(~lined, F.try_parse_json("value")).alias("v"))
     inner = F.coalesce(*[F.expr(f"try_cast(try_variant_get(v, '$.{w}') as array<variant>)") for w in wrappers], F.expr("try_cast(v as array<variant>)"))
     parsed = whole.where("v is not null").select(F.explode(F.coalesce(inner, F.array("v"))).alias("r")).select(F.to_json("r").alias("record"), F.lit(None).cast("string").alias("error"))
     lines = whole.where("v is null").select(F.explode(F.split("value", "\r?\n")).alias("line")).where("trim(line) <> ''").select("line", F.expr("try_parse_json(line)").alias("v"))
