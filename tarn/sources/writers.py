@@ -17,7 +17,7 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
 
 def csv(df: DataFrame, path: str, fields: Sequence[str] | None = None) -> None:
     """A header and the fields in their order; other columns are left out."""
-    (df.select(*fields) if fields else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (df.select(*fields) if fields else df).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def by_split(df: DataFrame, path: str) -> None:
