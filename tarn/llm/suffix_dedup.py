@@ -29,6 +29,7 @@ LENGTH, GRAM = 100, 24
 BEFORE = LENGTH - GRAM
 CONTEXT = BEFORE + LENGTH
 PIECE = 1 << 20
+SLICE = 6000  # contexts whose strings are compared at once
 NO_ID = (1 << 63) - 1  # a null doc_id sorts last
 _C = [U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -318,7 +319,7 @@ def _send_runs(pids: int):
                 keys = np.concatenate([context[:, BEFORE:], context[:, :BEFORE][:, ::-1]], 1)
                 parts.append((np.full(len(pos), i), pos, np.minimum(pos, BEFORE), np.minimum(len(data) - pos, LENGTH), keys))
                 held += len(pos)
-                if held > 150_000:
+                if held > 50_000:
                     yield deal(docs, *(np.concatenate(x) for x in zip(*parts)))
                     parts, held = [], 0
             if parts:
@@ -363,29 +364,19 @@ def _merge_side(key, table):
         # contexts that share an anchor with a different one, each by its earliest row
         order = np.lexsort((when, group))
         lead = order[np.concatenate([[True], np.diff(group[order]) > 0])]
-        near = common[np.flatnonzero(common < CONTEXT)] >= GRAM  # with the context before
+        heads = common[np.flatnonzero(common < CONTEXT)]
+        near = heads >= GRAM  # with the context before
+        bundle = np.cumsum(~near)
         near[:-1] |= near[1:].copy()
-        lead = lead[near]
-        if len(lead):
-            keys = np.frombuffer(b"".join(t for t, x in zip(texts, near) if x), np.uint8).reshape(-1, CONTEXT)
-            before, after = size[lead].T
-            hashes, whens, rows = [], [], []
-            step = np.arange(BEFORE + 1)
-            for i in range(0, len(lead), 2000):
-                own_rows = lead[i : i + 2000]
-                text = np.concatenate([keys[i : i + 2000, LENGTH:][:, ::-1], keys[i : i + 2000, :LENGTH]], 1)
-                valid = (step >= BEFORE - before[i : i + 2000, None]) & (step + LENGTH <= BEFORE + after[i : i + 2000, None])
-                hashes.append(string_hashes(text)[valid])
-                whens.append((when[own_rows][:, None] - BEFORE + step)[valid])
-                rows.append(np.broadcast_to(own_rows[:, None], valid.shape)[valid])
-            h, w, rows = np.concatenate(hashes), np.concatenate(whens), np.concatenate(rows)
-            order = np.lexsort((w, h))
-            h, w, rows = h[order], w[order], rows[order]
-            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-            least = np.repeat(w[head], np.diff(np.append(head, len(h))))
-            again = w > least
-            start = w[again] & (1 << 32) - 1
-            spans.append((own[rows[again]], start, start + LENGTH))
+        lead, bundle, texts = lead[near], bundle[near], [x for x, y in zip(texts, near) if y]
+        # some thousand contexts at a time, cut where no anchor is shared
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(bundle) > 0, [True]])) if len(lead) else np.zeros(1, np.int64)
+        at = 0
+        while at < len(cut) - 1:
+            to = max(at + 1, int(np.searchsorted(cut, cut[at] + SLICE, side="right")) - 1)
+            i, j = cut[at], cut[to]
+            spans.append(_repeated_strings(b"".join(texts[i:j]), lead[i:j], own, when, size))
+            at = to
     own, start, end = (np.concatenate(x) for x in zip(*spans))
     if not len(own):
         return _by_document(np.empty((0, 2), np.int64), np.empty((0, 2), np.int32))
@@ -394,6 +385,31 @@ def _merge_side(key, table):
     return _by_document(names[doc], np.stack([start, end], 1).astype(np.int32))
 
 
+def _repeated_strings(texts: bytes, lead: np.ndarray, own: np.ndarray, when: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts (rows lead of own, when, size) the strings that also start earlier: document, start, end."""
+    keys = np.frombuffer(texts, np.uint8).reshape(-1, CONTEXT)
+    hashes, whens, rows, step = [], [], [], np.arange(BEFORE + 1)
+    for i in range(0, len(lead), 1000):
+        mine = lead[i : i + 1000]
+        before, after = size[mine, 0][:, None], size[mine, 1][:, None]
+        text = np.concatenate([keys[i : i + 1000, LENGTH:][:, ::-1], keys[i : i + 1000, :LENGTH]], 1)
+        valid = (step >= BEFORE - before) & (step + LENGTH <= BEFORE + after)
+        hashes.append(string_hashes(text)[valid])
+        whens.append((when[mine][:, None] - BEFORE + step)[valid])
+        rows.append(np.broadcast_to(mine[:, None], valid.shape)[valid].astype(np.int32))
+    h, w, rows = np.concatenate(hashes), np.concatenate(whens), np.concatenate(rows)
+    order = np.lexsort((w, h))
+    h, w, rows = h[order], w[order], rows[order]
+    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    again = w > np.repeat(w[head], np.diff(np.append(head, len(h))))
+    own, start = own[rows[again]], w[again] & (1 << 32) - 1
+    if not len(own):
+        return own, start, start
+    names, doc = np.unique(own, axis=0, return_inverse=True)
+    doc, start, end = merged_spans(doc.ravel(), start, start + LENGTH)
+    return names[doc], start, end
+
+
 def _compressed(batches):
     import zstandard
 
@@ -408,7 +424,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     id and th (the text's hash) tell rows apart. Only texts of 100 bytes or more can have spans."""
     spark = docs.sparkSession
-    pids = partitions(spark)
+    pids = 3 * partitions(spark)  # a merge holds its partition's contexts
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_text().alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
     sent = plain.select("id", "th", "text").mapInArrow(_send_anchors(pids), _BLOCK)
     found = sent.groupBy("pid").applyInArrow(_repeated_anchors, _FOUND)
