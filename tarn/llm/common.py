@@ -128,5 +128,15 @@ def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "inner",
     return df.join(F.broadcast(small) if n <= limit else small, on, how)
 
 
+def trim_memory() -> None:
+    """Gives freed memory of this worker back to the system, where the C library can; workers are used again."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def null_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

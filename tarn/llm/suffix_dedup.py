@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, null_text, partitions, written
+from .common import U64, mix, null_text, partitions, trim_memory, written
 
 LENGTH, GRAM = 100, 24
 BEFORE = LENGTH - GRAM
 CONTEXT = BEFORE + LENGTH
 PIECE = 1 << 20
-SLICE = 6000  # contexts whose strings are compared at once
+ROWS = 2500  # of a batch that are worked on at once
+SLICE = 3000  # contexts whose strings are compared at once
 NO_ID = (1 << 63) - 1  # a null doc_id sorts last
 _C = [U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -222,7 +223,8 @@ def _pid(h: np.ndarray, pids: int) -> np.ndarray:
 
 def _send_anchors(pids: int):
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+            trim_memory()
             docs = np.stack([np.array(b.column(c), np.int64) for c in ("id", "th")], 1)
             found = []
             for i, text in enumerate(b.column("text").to_pylist()):
@@ -308,7 +310,8 @@ def _send_runs(pids: int):
                 rows.append(row)
             return _batch(rows)
 
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+            trim_memory()
             docs = np.stack([np.array(b.column(c), np.int64) for c in ("id", "th")], 1)
             parts, held = [], 0
             for i, (z, found) in enumerate(zip(b.column("z").to_pylist(), b.column("found").to_pylist())):
@@ -330,6 +333,7 @@ def _send_runs(pids: int):
 
 def _merge_side(key, table):
     """One partition: the spans that are covered, by document, as (start, end) pairs."""
+    trim_memory()
     runs, own, pos, size, local = [], [], [], [], []
     for kind, d, at, p, a, b in zip(*[table.column(c).to_pylist() for c in ("kind", "docs", "at", "pos", "a", "b")]):
         if kind:
@@ -440,7 +444,7 @@ def _pieces(batches):
     import zstandard
 
     press = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
         raws, starts, ends = [], [], []
         for z, spans in zip(b.column("z").to_pylist(), b.column("spans").to_pylist()):
             raws.append(press.decompress(z))
