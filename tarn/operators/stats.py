@@ -21,15 +21,14 @@ def summary(value: str, prefix: str = "") -> list[Column]:
 
 def bootstrap_mean(values: DataFrame, keys: Sequence[str], value: str, draws: int = 200) -> DataFrame:
     """mean, ci_low and ci_high by keys, the same in every run and engine: draw j of iteration i takes the row whose
-    rank, by (value), is a hash of (keys, i, j). Repeated values are drawn as counts: a group's distinct values with their
-    cumulated counts stand for its rows, so a row isn't copied for each iteration."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    rows = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c")).withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
+    rank, by value, is a hash of (keys, i, j). Rows meet draws in an equi-join on keys and rank."""
+    ranks = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
+    rows = values.where(F.col(value).isNotNull()).select(*keys, value, ranks.cast("long").alias("at"))
     size = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("i").cast("string"), F.col("j").cast("string"))
     hashed = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
     drawn = size.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("i")).select(*keys, "n", "i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("j")).withColumn("at", hashed % F.col("n"))
-    met = drawn.join(rows, list(keys)).where("at >= lo and at < hi").groupBy(*keys, "i").agg(F.avg(value).alias("m"))
+    met = drawn.join(rows, [*keys, "at"]).groupBy(*keys, "i").agg(F.avg(value).alias("m"))
     ci = met.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
     return size.join(ci, list(keys))
 
