@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix, scratch, written
-from .tokens import counter, vocabulary_path
+from .tokens import counter, slices, vocabulary_path
 
 END, PAD = 2, 0  # </s>, <unk>
 
@@ -41,12 +41,20 @@ def permute(x: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _streams(batches, model: str, stride: int):
-    """Per input batch: doc ids, the stream's tokens that are complete sequences, and the documents' token ranges."""
+def _streams(batches, model: str):
+    """Per slice of an input batch: doc ids, the documents' tokens end to end, each with its end token, and how many each has."""
     c = counter(model)
-    end = np.array([END], "<u2").tobytes()
     for b in batches:
-        yield b.column("doc_id"), [c.encode(t) + end for t in b.column("text").to_pylist()]
+        at = 0
+        for texts in slices(b.column("text")):
+            body, n = c.encode_column(texts)
+            ends = np.cumsum(n + 1)
+            flat = np.full(len(body) + len(n), END, np.uint16)
+            inner = np.ones(len(flat), bool)
+            inner[ends - 1] = False
+            flat[inner] = body
+            yield b.column("doc_id").slice(at, len(texts)), flat, n + 1
+            at += len(texts)
 
 
 _BLOCK = "shard int, slots binary, data binary, docs binary"
@@ -73,9 +81,13 @@ def materialise(docs: DataFrame, place: str | None = None, stride: int = 2048, s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, check = 0, 0
-        for ids, tokens in _streams(batches, model, stride):
-            n += sum(map(len, tokens)) // 2
-            check = (check * 1_000_003 + sum(ids.drop_null().to_pylist()) + n) % (1 << 61)
+        c = counter(model)
+        for b in batches:
+            at = 0
+            for texts in slices(b.column("text")):
+                n += int((c.encode_column(texts, sizes_only=True)[1] + 1).sum())
+                check = (check * 1_000_003 + sum(b.column("doc_id").slice(at, len(texts)).drop_null().to_pylist()) + n) % (1 << 61)
+                at += len(texts)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([check], pa.int64())], ["part", "n", "check"])
 
@@ -118,11 +130,10 @@ def materialise(docs: DataFrame, place: str | None = None, stride: int = 2048, s
                 out.append((int(shards[own[0]]), slots[own].tobytes(), press.compress(table[own].tobytes()), press.compress(mine.tobytes())))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "slots", "data", "docs"])
 
-        for ids, tokens in _streams(batches, model, stride):
-            sizes = np.array([len(t) // 2 for t in tokens], np.int64)
-            seen += int(sizes.sum())
+        for ids, flat, sizes in _streams(batches, model):
+            seen += len(flat)
             sum_ = (sum_ * 1_000_003 + sum(ids.drop_null().to_pylist()) + seen) % (1 << 61)
-            flat = np.concatenate([rest, np.frombuffer(b"".join(tokens), "<u2")])
+            flat = np.concatenate([rest, flat])
             ends = len(rest) + np.cumsum(sizes)
             valid = np.array(ids.is_valid()).astype(np.int64)
             spans = rest_docs + [x for x in zip(ids.fill_null(0).to_pylist(), valid.tolist(), (ends - sizes).tolist(), ends.tolist())]

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,21 +154,67 @@ class PrefixCounter:
         """The text's token ids as little-endian 16-bit words, chunk by chunk from a bounded cache."""
         if not text:
             return b""
-        words = self.spaced(text)
-        if not words:
-            chunks = self.chunks(text)
-            self._learn(chunks)
-            return b"".join([self.chunk_ids[c] for c in chunks])
+        if words := self.spaced(text):
+            return b"".join(self._words_as(dict.fromkeys(words), words))
+        chunks = self.chunks(text)
+        self._learn(chunks)
+        return b"".join([self.chunk_ids[c] for c in chunks])
+
+    def _words_as(self, distinct, words: list[str]) -> list[bytes]:
+        """The ids of each of the words, from a cache that starts anew when full."""
         ids = self.word_ids
-        if missing := [w for w in dict.fromkeys(words) if w not in ids]:
+        if missing := [w for w in distinct if w not in ids]:
             if len(ids) + len(missing) > self.cache:
                 ids.clear()
-                missing = list(dict.fromkeys(words))
+                missing = list(distinct)
             cut = [self.split(MARK + w) for w in missing]
             self._learn([c for chunks in cut for c in chunks])
             known = self.chunk_ids
             ids.update((w, b"".join([known[c] for c in chunks])) for w, chunks in zip(missing, cut))
-        return b"".join([ids[w] for w in words])
+        return [ids[w] for w in words]
+
+    @staticmethod
+    def _by_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Which texts spaced() cuts; of those, where each one's words begin, each word's number, and the numbered words."""
+        plain = pc.invert(pc.match_substring_regex(texts, f"^$|^ | $|  |{MARK}"))
+        cut = pc.split_pattern(texts.filter(plain), " ")
+        words = cut.flatten().dictionary_encode()
+        start = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64))
+        return plain.to_numpy(zero_copy_only=False), np.concatenate([[0], start[:-1]]) if len(start) else start, words.indices.to_numpy(), words.dictionary.to_pylist()
+
+    def count_column(self, texts: pa.Array) -> np.ndarray:
+        """count() of every text of a column without nulls. Each distinct word of it is looked up once."""
+        plain, start, at, words = self._by_words(texts)
+        n = np.empty(len(texts), np.int64)
+        if len(start):
+            known = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            n[plain] = np.add.reduceat(known[at], start)
+        n[~plain] = [self.count(x) for x in texts.filter(pa.array(~plain)).to_pylist()]
+        return n
+
+    def encode_column(self, texts: pa.Array, sizes_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of every text of a column without nulls, end to end, and each one's number of tokens."""
+        plain, start, at, words = self._by_words(texts)
+        n, flat = np.zeros(len(texts), np.int64), np.empty(0, np.uint16)
+        if len(start):
+            coded = self._words_as(words, words)
+            size = np.fromiter(map(len, coded), np.int32, len(coded)) // 2
+            own = size[at]
+            n[plain] = np.add.reduceat(own, start, dtype=np.int64)
+            if not sizes_only:
+                shift = (np.cumsum(size, dtype=np.int32) - size)[at] - (np.cumsum(own, dtype=np.int32) - own)
+                where = np.repeat(shift, own)
+                where += np.arange(len(where), dtype=np.int32)
+                flat = np.frombuffer(b"".join(coded), "<u2")[where]
+        if plain.all():
+            return flat, n
+        other = [np.frombuffer(self.encode(x), "<u2") for x in texts.filter(pa.array(~plain)).to_pylist()]
+        n[~plain] = list(map(len, other))
+        if sizes_only:
+            return flat, n
+        out, mine = np.empty(n.sum(), np.uint16), np.repeat(plain, n)
+        out[mine], out[~mine] = flat, np.concatenate(other)
+        return out, n
 
     def _learn(self, chunks: list[str]) -> None:
         """Puts the ids of chunks into the cache, which starts anew when full."""
@@ -188,6 +235,15 @@ def budget_chars(prefix: np.ndarray, limit: int) -> int:
     return int(np.flatnonzero(prefix <= limit)[-1])
 
 
+def slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[pa.Array]:
+    """A column of texts in slices of about that many bytes or of one text, null as empty."""
+    texts = pc.fill_null(texts, "")
+    part = (np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) - 1) // most
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(part) > 0, [True]])) if len(texts) else []
+    for i, j in zip(edges[:-1], edges[1:]):
+        yield texts.slice(i, j - i)
+
+
 _COUNTERS: dict[str, PrefixCounter] = {}
 
 
@@ -209,14 +265,13 @@ def token_counts(docs: DataFrame, limit: int = 4096, model_file: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            size = pa.array([len(x.encode()) for x in texts], pa.int64())
+            size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
             cols = {"doc_id": b.column("doc_id"), "n_bytes": size}
             if prefixes:
-                tables = [c.prefix_counts(x) for x in texts]
+                tables = [c.prefix_counts(x) for x in b.column("text").to_pylist()]
                 n = [int(t[-1]) for t in tables]
             else:
-                n = [c.count(x) for x in texts]
+                n = np.concatenate([c.count_column(x) for x in slices(b.column("text"))]) if len(b) else []
             cols |= {"n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())}
             if prefixes:
                 cols |= {"limit_chars": pa.array([budget_chars(t, limit) for t in tables], pa.int64()), "prefix_tokens": pa.array([np.diff(t).astype(np.int8).tobytes() for t in tables], pa.binary())}

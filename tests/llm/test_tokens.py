@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarn.llm.tokens import PrefixCounter, budget_chars, token_counts, vocabulary_path
+from tarn.llm.tokens import PrefixCounter, budget_chars, slices, token_counts, vocabulary_path
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,15 @@ def test_against_the_library(counter, parts):
     check(counter, "".join(parts))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.one_of(WORDS, st.sampled_from(["a b", "one two", "x"])), max_size=5).map("".join), max_size=8))
+def test_columns(counter, texts):
+    want = [counter.sp.encode(t) for t in texts]
+    got = [(n, *counter.encode_column(s)) for s in slices(pa.array([t or None for t in texts], pa.string()), 9) for n in [counter.count_column(s)]]
+    assert [x for n, _, _ in got for x in n] == [x for _, _, n in got for x in n] == list(map(len, want))
+    assert [x for _, flat, _ in got for x in flat] == sum(want, [])
+
+
 def test_query(spark, counter):
     rows = [(i, t) for i, t in enumerate(SAMPLES)] + [(99, None), (None, "some words"), (3, SAMPLES[3]), (100, "the word " * 30000)]
     df = spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, text string, n_tokens string, n_bytes int").repartition(3)
