@@ -60,6 +60,7 @@ class PrefixCounter:
         mixed = re.compile(f"{letters}(?:{others})|(?:{others}){letters}|\\n.|.\\n", re.S)
         fine = not any(mixed.search(p) for p in self.pieces)
         self.split = re.compile(f"{MARK}*(?:{letters}+|(?:{others})+)|\\n|{MARK}+" if fine else f"{MARK}+[^{MARK}]*").findall
+        self.marked = np.array([sp.id_to_piece(i)[:1] == MARK for i in range(sp.get_piece_size())])
         self.cache = cache
         self.counts = _Cache(lambda c: self._prefixes(c)[-1], cache)  # by chunk
         self.words = _Cache(lambda w: sum(map(self.counts.__getitem__, self.split(MARK + w))), cache)  # by word
@@ -174,38 +175,51 @@ class PrefixCounter:
         return [ids[w] for w in words]
 
     @staticmethod
-    def _by_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    def _by_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Which texts spaced() cuts; of those, where each one's words begin, each word's number, and the numbered words."""
         plain = pc.invert(pc.match_substring_regex(texts, f"^$|^ | $|  |{MARK}"))
         cut = pc.split_pattern(texts.filter(plain), " ")
         words = cut.flatten().dictionary_encode()
         start = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64))
-        return plain.to_numpy(zero_copy_only=False), np.concatenate([[0], start[:-1]]) if len(start) else start, words.indices.to_numpy(), words.dictionary.to_pylist()
+        return plain.to_numpy(zero_copy_only=False), np.concatenate([[0], start[:-1]]) if len(start) else start, words.indices.to_numpy(), words.dictionary
 
     def count_column(self, texts: pa.Array) -> np.ndarray:
         """count() of every text of a column without nulls. Each distinct word of it is looked up once."""
         plain, start, at, words = self._by_words(texts)
         n = np.empty(len(texts), np.int64)
         if len(start):
-            known = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            known = np.fromiter(map(self.words.__getitem__, words.to_pylist()), np.int64, len(words))
             n[plain] = np.add.reduceat(known[at], start)
         n[~plain] = [self.count(x) for x in texts.filter(pa.array(~plain)).to_pylist()]
         return n
 
+    def _encode_words(self, words: pa.Array, group: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and how many each has. The model encodes groups of words as texts with
+        spaces between; a word has one mark, before it, so it begins where a token begins with a mark."""
+        edges = np.append(np.arange(0, len(words), group), len(words))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), words), " ")
+        ids = [np.array(g, np.uint16) for g in self.sp.encode(texts.to_pylist(), num_threads=1)]
+        if not np.array_equal([np.count_nonzero(self.marked[g]) for g in ids], np.diff(edges)):  # the model takes other characters for spaces
+            listed = words.to_pylist()
+            coded = self._words_as(listed, listed)
+            return np.frombuffer(b"".join(coded), "<u2"), np.fromiter(map(len, coded), np.int32, len(coded)) // 2
+        flat = np.concatenate(ids)
+        first = np.flatnonzero(self.marked[flat])
+        return flat, np.diff(np.append(first, len(flat))).astype(np.int32)
+
     def encode_column(self, texts: pa.Array, sizes_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """encode() of every text of a column without nulls, end to end, and each one's number of tokens."""
         plain, start, at, words = self._by_words(texts)
         n, flat = np.zeros(len(texts), np.int64), np.empty(0, np.uint16)
         if len(start):
-            coded = self._words_as(words, words)
-            size = np.fromiter(map(len, coded), np.int32, len(coded)) // 2
+            ids, size = self._encode_words(words)
             own = size[at]
             n[plain] = np.add.reduceat(own, start, dtype=np.int64)
             if not sizes_only:
                 shift = (np.cumsum(size, dtype=np.int32) - size)[at] - (np.cumsum(own, dtype=np.int32) - own)
                 where = np.repeat(shift, own)
                 where += np.arange(len(where), dtype=np.int32)
-                flat = np.frombuffer(b"".join(coded), "<u2")[where]
+                flat = ids[where]
         if plain.all():
             return flat, n
         other = [np.frombuffer(self.encode(x), "<u2") for x in texts.filter(pa.array(~plain)).to_pylist()]
