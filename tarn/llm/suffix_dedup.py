@@ -16,6 +16,7 @@ anchors, so no repeat is lost.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ BEFORE = LENGTH - GRAM
 CONTEXT = BEFORE + LENGTH
 PIECE = 1 << 20
 ROWS = 2500  # of a batch that are worked on at once
-SLICE = 3000  # contexts whose strings are compared at once
+SLICE = 3000  # contexts whose strings are compared at once, or all of one anchor
+HELD = 2_000_000  # hashes that are held at once, or eight for each context of one anchor
 NO_ID = (1 << 63) - 1  # a null doc_id sorts last
 _C = [U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -349,19 +351,23 @@ def _merge_side(key, table):
     spans = list(local)
     if runs:
         base = np.cumsum([0, *map(len, own)])
-        nth, row, common, texts = [0] * len(runs), [], [], []
+        nth, row, common = base.tolist(), array("q"), array("B")
+        texts, last, kept = bytearray(), b"", True  # contexts that share their anchor with the one before or after
         for r, shared, text in merge_runs(runs):
-            row.append(int(base[r]) + nth[r])
+            row.append(nth[r])
             nth[r] += 1
             common.append(shared)
             if shared < CONTEXT:
-                texts.append(text)
-        row, common = np.array(row), np.array(common)
+                if near := shared >= GRAM:
+                    texts += text if kept else last + text
+                last, kept = text, near
+        row, common = np.frombuffer(row, np.int64), np.frombuffer(common, np.uint8)
+        n_heads = np.count_nonzero(common < CONTEXT)
         own, pos, size = np.concatenate(own)[row], np.concatenate(pos)[row], np.concatenate(size)[row]
         group = np.cumsum(common < CONTEXT) - 1  # of equal contexts
         _, rank = np.unique(own, axis=0, return_inverse=True)
         when = rank.ravel().astype(np.int64) << 32 | pos
-        first = np.full(len(texts), np.iinfo(np.int64).max)
+        first = np.full(n_heads, np.iinfo(np.int64).max)
         np.minimum.at(first, group, when)
         late = (when > first[group]) & (size.sum(1) >= LENGTH)
         spans.append((own[late], (pos - size[:, 0])[late], (pos + size[:, 1])[late]))
@@ -372,14 +378,14 @@ def _merge_side(key, table):
         near = heads >= GRAM  # with the context before
         bundle = np.cumsum(~near)
         near[:-1] |= near[1:].copy()
-        lead, bundle, texts = lead[near], bundle[near], [x for x, y in zip(texts, near) if y]
+        lead, bundle, keys = lead[near], bundle[near], np.frombuffer(texts, np.uint8).reshape(-1, CONTEXT)
         # some thousand contexts at a time, cut where no anchor is shared
         cut = np.flatnonzero(np.concatenate([[True], np.diff(bundle) > 0, [True]])) if len(lead) else np.zeros(1, np.int64)
         at = 0
         while at < len(cut) - 1:
             to = max(at + 1, int(np.searchsorted(cut, cut[at] + SLICE, side="right")) - 1)
             i, j = cut[at], cut[to]
-            spans.append(_repeated_strings(b"".join(texts[i:j]), lead[i:j], own, when, size))
+            spans.append(_repeated_strings(keys[i:j], lead[i:j], own, when, size))
             at = to
     own, start, end = (np.concatenate(x) for x in zip(*spans))
     if not len(own):
@@ -389,29 +395,35 @@ def _merge_side(key, table):
     return _by_document(names[doc], np.stack([start, end], 1).astype(np.int32))
 
 
-def _repeated_strings(texts: bytes, lead: np.ndarray, own: np.ndarray, when: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of contexts (rows lead of own, when, size) the strings that also start earlier: document, start, end."""
-    keys = np.frombuffer(texts, np.uint8).reshape(-1, CONTEXT)
-    hashes, whens, rows, step = [], [], [], np.arange(BEFORE + 1)
-    for i in range(0, len(lead), 1000):
-        mine = lead[i : i + 1000]
-        before, after = size[mine, 0][:, None], size[mine, 1][:, None]
-        text = np.concatenate([keys[i : i + 1000, LENGTH:][:, ::-1], keys[i : i + 1000, :LENGTH]], 1)
-        valid = (step >= BEFORE - before) & (step + LENGTH <= BEFORE + after)
-        hashes.append(string_hashes(text)[valid])
-        whens.append((when[mine][:, None] - BEFORE + step)[valid])
-        rows.append(np.broadcast_to(mine[:, None], valid.shape)[valid].astype(np.int32))
-    h, w, rows = np.concatenate(hashes), np.concatenate(whens), np.concatenate(rows)
-    order = np.lexsort((w, h))
-    h, w, rows = h[order], w[order], rows[order]
-    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-    again = w > np.repeat(w[head], np.diff(np.append(head, len(h))))
-    own, start = own[rows[again]], w[again] & (1 << 32) - 1
-    if not len(own):
-        return own, start, start
-    names, doc = np.unique(own, axis=0, return_inverse=True)
-    doc, start, end = merged_spans(doc.ravel(), start, start + LENGTH)
-    return names[doc], start, end
+def _repeated_strings(keys: np.ndarray, lead: np.ndarray, own: np.ndarray, when: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts (rows lead of own, when, size) the strings that also start earlier: document, start, end.
+
+    Equal strings have their anchor at the same place, so those at each place of the context are compared by themselves;
+    of an anchor with very many contexts, the hashes of some places are held at once."""
+    order = np.argsort(when[lead], kind="stable")
+    lead, keys = lead[order], keys[order]
+    n, mine, before, after = len(lead), when[lead], size[lead, 0], size[lead, 1]
+    again = np.zeros((n, BEFORE + 3), np.int8)  # a column before and after the places
+    width = min(BEFORE + 1, max(8, HELD // max(n, 1)))
+    for j in range(0, BEFORE + 1, width):
+        to = min(BEFORE + 1, j + width)
+        hashes = np.empty((n, to - j), U64)
+        for i in range(0, n, 1000):
+            text = np.concatenate([keys[i : i + 1000, LENGTH:][:, ::-1], keys[i : i + 1000, :LENGTH]], 1)
+            hashes[i : i + 1000] = string_hashes(text[:, j : to + LENGTH - 1])
+        for place in range(j, to):
+            at = np.flatnonzero((place >= BEFORE - before) & (place + LENGTH <= BEFORE + after))
+            h = hashes[at, place - j]
+            by_hash = np.argsort(h, kind="stable")
+            h, at = h[by_hash], at[by_hash]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+            least = np.repeat(mine[at[first]], np.diff(np.append(first, len(h))))
+            again[at[mine[at] > least], place + 1] = 1
+    edge = np.diff(again, axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    pos = (mine[row] & (1 << 32) - 1) - BEFORE
+    return own[lead[row]], pos + start, pos + end - 1 + LENGTH
 
 
 def _compressed(batches):

@@ -82,3 +82,29 @@ def test_merge_of_front_coded_runs():
     for (_, _, a), (_, n, b) in zip(got, got[1:]):
         assert a[:n] == b[:n] and (n == 12 or a[n] != b[n])
     assert CONTEXT == 176
+
+
+def test_strings_of_an_anchor_by_blocks_of_places(monkeypatch):
+    """However few hashes are held, the strings that occur earlier are those that a plain search finds."""
+    import numpy as np
+
+    import tarn.llm.suffix_dedup as m
+
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(97, 99, m.CONTEXT, dtype=np.uint8) for _ in range(3)]
+    keys = np.array([np.concatenate([parts[rng.integers(3)][: m.LENGTH], parts[rng.integers(3)][: m.BEFORE]]) for _ in range(40)])
+    for row in keys:
+        row[m.LENGTH + rng.integers(0, m.BEFORE) :] = rng.integers(0, 256)
+    own = np.stack([np.arange(40), np.zeros(40, int)], 1)
+    when, size = np.arange(40) << 32 | 200, np.full((40, 2), (m.BEFORE, m.LENGTH))
+    text = [bytes(np.concatenate([k[m.LENGTH :][::-1], k[: m.LENGTH]])) for k in keys]
+    want, seen = set(), set()
+    for d, t in enumerate(text):
+        own_strings = [(j, t[j : j + m.LENGTH]) for j in range(m.BEFORE + 1)]
+        want |= {(d, 200 - m.BEFORE + j + i) for j, x in own_strings if (j, x) in seen for i in range(m.LENGTH)}
+        seen |= set(own_strings)
+    assert want
+    for held in (1, 500, 2_000_000):
+        monkeypatch.setattr(m, "HELD", held)
+        o, s, e = m._repeated_strings(keys, np.arange(40), own, when, size)
+        assert {(int(d), x) for (d, _), i, j in zip(o, s, e) for x in range(i, j)} == want
