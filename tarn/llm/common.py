@@ -129,9 +129,12 @@ def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "inner",
 
 
 def trim_memory() -> None:
-    """Gives freed memory of this worker back to the system, where the C library can; workers are used again."""
+    """Gives freed memory of this worker back to the system, Arrow's and, where it can, the C library's; workers are used again."""
     import ctypes
 
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

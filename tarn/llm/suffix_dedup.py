@@ -216,7 +216,11 @@ def _by_document(own: np.ndarray, values: np.ndarray) -> pa.Table:
     new = np.ones(len(own), bool)
     new[1:] = (own[1:] != own[:-1]).any(1)
     first = np.flatnonzero(new)
-    return pa.table({"id": own[first, 0] if len(own) else pa.array([], pa.int64()), "th": own[first, 1] if len(own) else pa.array([], pa.int64()), "data": pa.array([x.tobytes() for x in np.split(values, first[1:])] if len(own) else [], pa.binary())})
+    values = np.ascontiguousarray(values)
+    each = values.itemsize * (values.size // max(len(values), 1))
+    edges = (np.append(first, len(values)) * each).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges), pa.py_buffer(values)])
+    return pa.table({"id": pa.array(own[first, 0], pa.int64()), "th": pa.array(own[first, 1], pa.int64()), "data": data})
 
 
 def _pid(h: np.ndarray, pids: int) -> np.ndarray:
@@ -256,6 +260,7 @@ def _send_anchors(pids: int):
 
 
 def _repeated_anchors(key, table):
+    trim_memory()
     own, pos, known, sig = [], [], [], []
     for kind, d, at, p, a in zip(*[table.column(c).to_pylist() for c in ("kind", "docs", "at", "pos", "a")]):
         n = len(a) // 6 if kind == 0 else _entries(d, at)
@@ -431,6 +436,7 @@ def _compressed(batches):
 
     press = zstandard.ZstdCompressor(level=3)
     for b in batches:
+        trim_memory()
         z = [press.compress(t.encode("utf-8", "replace")) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), b.column("th"), pa.array(z, pa.binary())], ["doc_id", "id", "th", "z"])
 
@@ -457,6 +463,7 @@ def _pieces(batches):
 
     press = zstandard.ZstdDecompressor()
     for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        trim_memory()
         raws, starts, ends = [], [], []
         for z, spans in zip(b.column("z").to_pylist(), b.column("spans").to_pylist()):
             raws.append(press.decompress(z))
