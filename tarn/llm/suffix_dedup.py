@@ -446,7 +446,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     id and th (the text's hash) tell rows apart. Only texts of 100 bytes or more can have spans."""
     spark = docs.sparkSession
-    pids = 3 * partitions(spark)  # a merge holds its partition's contexts
+    pids = 6 * partitions(spark)  # a merge holds its partition's contexts
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_text().alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
     sent = plain.select("id", "th", "text").mapInArrow(_send_anchors(pids), _BLOCK)
     found = sent.groupBy("pid").applyInArrow(_repeated_anchors, _FOUND)
