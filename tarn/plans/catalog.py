@@ -178,7 +178,7 @@ d AS (SELECT p_brand, i.i, ('0x' || substr(md5(p_brand || '|' || i.i || '|' || j
 m AS (SELECT p_brand, i, avg(x) AS m FROM d JOIN r USING (p_brand, k) GROUP BY 1, 2)
 SELECT p_brand, any_value(n) AS n, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m JOIN s USING (p_brand) GROUP BY 1""")
 def bootstrap_by_brand(spark, d):
-    q = stats.bootstrap_mean(t(spark, d, "part").select("p_brand", F.col("p_retailprice").alias("x")), ["p_brand"], "x")
+    q = stats.bootstrap_mean(t(spark, d, "part").select("p_brand", F.col("p_retailprice").alias("x")), ["p_brand"], "x", draws=200)  # as its SQL; the operator's default is the reference's 2000
     return q.select("p_brand", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 

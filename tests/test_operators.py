@@ -1,6 +1,8 @@
 """Hand-worked cases, edge rules and round trips."""
 
+import hashlib
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +139,17 @@ def test_streamed_log_and_batches(spark, tmp_path):
     assert seen == [3]
     assert log.batches_of([10, 20, 30], 10, 2, 60) == [0, 0, 1]
     assert log.batches_of([100], 10, 2, 60) == [0]
+
+
+def test_bootstrap_draws_as_often_as_the_reference(spark):
+    x = [1.0, 2.0, 4.0, 8.0, 16.0]
+
+    def points(draws):
+        at = lambda i, j: int(hashlib.md5(f"k|{i}|{j}".encode()).hexdigest()[:8], 16) % len(x)
+        means = sorted(sum(x[at(i, j)] for j in range(len(x))) / len(x) for i in range(draws))
+        cut = lambda q: means[math.floor(q)] + (means[math.ceil(q)] - means[math.floor(q)]) * (q - math.floor(q))
+        return [cut(0.025 * (draws - 1)), cut(0.975 * (draws - 1))]
+
+    rows = spark.createDataFrame([("k", v) for v in x], "k string, x double")
+    got = stats.bootstrap_mean(rows, ["k"], "x").first()
+    assert [got.ci_low, got.ci_high] == pytest.approx(points(2000)) and points(2000) != pytest.approx(points(200))
