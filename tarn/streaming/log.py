@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 
 import pandas as pd
@@ -27,9 +28,10 @@ def monitor(stream: DataFrame, report: Callable[[DataFrame, int], None], checkpo
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
 
 
-def batches_of(sizes: list[int], new: int, most: int, budget: int) -> list[int]:
-    """The batch number of each prompt of an ascending list: a batch ends where one more prompt would exceed the number or the budget."""
-    out, batch, n = [], 0, 0
+def batches_of(sizes: list[int], new: int, most: int, budget: int, batch: int = 0, n: int = 0) -> list[int]:
+    """The batch number of each prompt of an ascending list: a batch ends where one more prompt would exceed the number or the budget.
+    batch, n: the open batch and how many prompts it has, where the list goes on from another."""
+    out = []
     for s in sizes:
         if n and (n + 1 > most or (s + new) * (n + 1) > budget):
             batch, n = batch + 1, 0
@@ -38,17 +40,51 @@ def batches_of(sizes: list[int], new: int, most: int, budget: int) -> list[int]:
     return out
 
 
+def batches_after(size: float, count: int, new: int, most: int, budget: int, batch: int = 0, n: int = 0) -> tuple[int, int]:
+    """The open batch and its number of prompts after `count` more prompts of one size, as batches_of would leave them;
+    a size that is not a number is bound by `most` alone."""
+    cap = max(1, min(most, budget // (size + new)) if size + new > 0 else most)
+    left = count - max(cap - n, 0)
+    if left <= 0:
+        return batch, n + count
+    opened = -(-left // cap)
+    return batch + opened, left - (opened - 1) * cap
+
+
 def micro_batches(items: DataFrame, most: int, budget: int, chunk: int = 4096) -> DataFrame:
-    """items (id, prompt_tokens, max_new_tokens) with group and batch. Lists are cut by a hash of the id into lists of about `chunk`
-    items each, so that no output limit's items meet in one task."""
+    """items (id, prompt_tokens, max_new_tokens) with part and batch. The list of each output limit, by (prompt_tokens, id), is batched
+    as one; batch counts through it. So that it doesn't meet in one task, it is cut into parts, ranges of about `chunk` items, at
+    items that a hash of the id picks. An open batch goes on into the next part: it depends on how many prompts of which size come
+    before, so one task an output limit follows the counts by part and size, and hands each part the batch that it starts with.
+    Null sizes and ids come last; rows without an output limit go."""
     from pyspark.sql import functions as F
 
-    per = items.groupBy("max_new_tokens").agg(F.count("*").alias("_n"))
-    dealt = items.join(F.broadcast(per), "max_new_tokens").withColumn("part", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), (F.col("_n") / chunk).cast("long"))).cast("int")).drop("_n")
+    items = items.select("id", "prompt_tokens", "max_new_tokens").where("max_new_tokens is not null")
+    marks: dict[int, list[tuple[int, int]]] = {}
+    picked = items.where(F.pmod(F.xxhash64("id"), F.lit(chunk)) == 0).where("id is not null and prompt_tokens is not null")
+    for r in picked.distinct().collect():
+        marks.setdefault(r.max_new_tokens, []).append((r.prompt_tokens, r.id))
+    for m in marks.values():
+        m.sort()
+
+    @F.pandas_udf("int")
+    def part_of(limit: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(marks.get(x, ()), (s, k)) for x, s, k in zip(limit.tolist(), size.tolist(), key.tolist())], dtype="int32")
+
+    dealt = items.withColumn("part", part_of("max_new_tokens", F.coalesce("prompt_tokens", F.lit(2**31 - 1)), F.coalesce("id", F.lit(2**63 - 1))))
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        new, batch, n, out = int(pdf["max_new_tokens"].iloc[0]), 0, 0, {}
+        for part, size, count in pdf.sort_values(["part", "prompt_tokens"])[["part", "prompt_tokens", "count"]].itertuples(index=False):
+            out.setdefault(part, (new, part, batch, n))
+            batch, n = batches_after(size, int(count), new, most, budget, batch, n)
+        return pd.DataFrame(out.values(), columns=["max_new_tokens", "part", "_batch", "_n"])
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["prompt_tokens", "id"])
-        pdf["batch"] = batches_of(pdf["prompt_tokens"].tolist(), int(pdf["max_new_tokens"].iloc[0]), most, budget)
+        new, batch, n = (int(pdf[c].iloc[0]) for c in ("max_new_tokens", "_batch", "_n"))
+        pdf["batch"] = batches_of(pdf["prompt_tokens"].tolist(), new, most, budget, batch, n)
         return pdf[["id", "prompt_tokens", "max_new_tokens", "part", "batch"]]
 
-    return dealt.select("id", "prompt_tokens", "max_new_tokens", "part").groupBy("max_new_tokens", "part").applyInPandas(cut, "id long, prompt_tokens int, max_new_tokens int, part int, batch int")
+    begin = dealt.groupBy("max_new_tokens", "part", "prompt_tokens").count().groupBy("max_new_tokens").applyInPandas(starts, "max_new_tokens int, part int, _batch int, _n int")
+    return dealt.join(begin, ["max_new_tokens", "part"]).groupBy("max_new_tokens", "part").applyInPandas(cut, "id long, prompt_tokens int, max_new_tokens int, part int, batch int")

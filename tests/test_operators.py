@@ -153,3 +153,18 @@ def test_bootstrap_draws_as_often_as_the_reference(spark):
     rows = spark.createDataFrame([("k", v) for v in x], "k string, x double")
     got = stats.bootstrap_mean(rows, ["k"], "x").first()
     assert [got.ci_low, got.ci_high] == pytest.approx(points(2000)) and points(2000) != pytest.approx(points(200))
+
+
+def test_micro_batches_of_many_parts_are_those_of_the_whole_list(spark):
+    rows = [(i * 7919 % 3001 - 50, i * i % 90 if i % 3 else 40, 5 if i % 4 else 9) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, prompt_tokens int, max_new_tokens int").repartition(5)
+    lost = spark.createDataFrame([(9000 + i, None, 5) for i in range(9)], df.schema)
+    got = sorted((r.batch, r.id) for r in log.micro_batches(df.union(lost), 4, 300, chunk=64).collect() if r.prompt_tokens is None)
+    assert [i for _, i in got] == list(range(9000, 9009)) and got[-1][0] - got[0][0] in (2, 3)
+    for most, budget in ((8, 300), (7, 10**6), (1000, 400), (3, 10)):
+        got = log.micro_batches(df, most, budget, chunk=64).collect()
+        assert len({(r.max_new_tokens, r.part) for r in got}) > 20
+        for new in (5, 9):
+            whole = sorted((size, i) for i, size, limit in rows if limit == new)
+            want = dict(zip((i for _, i in whole), log.batches_of([size for size, _ in whole], new, most, budget)))
+            assert {r.id: r.batch for r in got if r.max_new_tokens == new} == want
