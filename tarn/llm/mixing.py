@@ -58,7 +58,7 @@ def mix_sizes(sized: DataFrame, seed: int = 17, buckets: int = 4096, **fill) ->
     run = Window.partitionBy("source").orderBy("bucket")
     b = join_small(per_bucket.alias("b"), fills.select(F.col("source").alias("s"), "extra_words"), F.expr("source <=> s")).drop("s")
     b = b.withColumn("end", F.sum("words").over(run)).withColumn("start", F.col("end") - F.col("words"))
-    edge = b.where("start < extra_words and extra_words < end").select(F.col("source").alias("s"), F.col("bucket").alias("edge"), "start", "extra_words")
+    edge = b.where("start < extra_words and extra_words <= end").select(F.col("source").alias("s"), F.col("bucket").alias("edge"), "start", "extra_words")
     info = written(join_small(fills.drop("extra_words"), edge.groupBy("s").agg(F.min_by(F.struct("edge", "start", "extra_words"), "edge").alias("e")), F.expr("source <=> s"), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.col("e.edge").alias("edge"), F.col("e.start").alias("start"), F.col("e.extra_words").alias("extra_words")), "info")
     rows = join_small(sized, info, F.expr("source <=> s")).drop("s")
     sure = rows.where("edge is null or bucket <> edge").withColumn("extra", F.when(F.col("edge").isNull(), F.lit(0)).otherwise((F.col("bucket") < F.col("edge")).cast("int")))

@@ -44,6 +44,13 @@ def test_mix(spark):
     assert out.columns == df.columns and out.count() == sum(r.copies for r in got)
 
 
+def test_fraction_that_ends_with_a_bucket(spark):
+    """Rate 1.5 of equal documents: half of the words, a whole number of documents, are the fraction."""
+    df = spark.createDataFrame([(i, "w " * 10, "s", "x", 1) for i in range(200)], S)
+    got = mix(df).collect()
+    assert got[0].target == 3000 and sum(r.taken for r in got) == 3000
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], S)
     assert mix(df).count() == 0 and repeated(df).count() == 0
