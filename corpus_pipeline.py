@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import binout, decontam, mixing, ngram_join, toxicity
-from tarn.llm.common import scratch
+from tarn.llm.common import lasting, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -33,9 +33,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated(docs)
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, place: str | None = None) -> DataFrame:
     """Token shards in training order; the index of documents' parts in sequences is returned."""
-    return binout.materialise(docs, stable=True)
+    return binout.materialise(docs, place, stable=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -50,11 +50,13 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written to the shared folder and read again."""
-    at = f"{sf_dir}/documents.parquet"
-    for name, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str, place: str | None = None) -> DataFrame:
+    """All stages in turn, each written to the shared folder and read again. The shards and their index stay, in the folders
+    shards and index of place, a URI; without one, of a new folder below tarn.output.dir, or else the shared folder."""
+    at, place = f"{sf_dir}/documents.parquet", place or lasting(spark, "corpus")
+    for name, stage in STAGES[:-1]:
         out = scratch(spark, name)
         stage(spark, spark.read.parquet(at), sf_dir).write.parquet(out)
         at = out
-    return spark.read.parquet(at)
+    write_tokens(spark, spark.read.parquet(at), sf_dir, f"{place}/shards").write.parquet(f"{place}/index")
+    return spark.read.parquet(f"{place}/index")

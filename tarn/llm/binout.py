@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, scratch, written
+from .common import U64, lasting, mix, written
 from .tokens import counter, slices, vocabulary_path
 
 END, PAD = 2, 0  # </s>, <unk>
@@ -64,6 +64,8 @@ _INDEX = "doc_id long, slot long, at int, n_tokens int, shard int, sha256 string
 def materialise(docs: DataFrame, place: str | None = None, stride: int = 2048, shard: int = 1024, key: int = 20240607, model_file: str | None = None, stable: bool = False) -> DataFrame:
     """Writes the shards below place and returns the index: a row for each document's part in a sequence, with doc_id,
     slot, at (the first token's place in the sequence), n_tokens (with the end token), shard, and sha256 of the sequence.
+    place is a URI. Without one, the shards go to a new folder below tarn.output.dir, or else the shared folder, and stay
+    there when the driver ends. shards_of tells the place from the index, also when that was written as Parquet and read again.
 
     Null and empty texts have an end token only. Rows that repeat are written as often. A null doc_id is null in
     the index. An empty table gives no rows and no shards. Other columns aren't read. Token ids are 16-bit words.
@@ -74,7 +76,7 @@ def materialise(docs: DataFrame, place: str | None = None, stride: int = 2048, s
     import zstandard
 
     spark, model = docs.sparkSession, model_file or vocabulary_path()
-    place = place or scratch(spark, "shards")
+    place = place or lasting(spark, "shards")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not stable:
         plain = written(plain, "stream")
@@ -150,7 +152,12 @@ def materialise(docs: DataFrame, place: str | None = None, stride: int = 2048, s
     def write(key, table):
         return _write_shard(int(key[0].as_py()), table, place, stride, shard, total)
 
-    return plain.mapInArrow(deal, _BLOCK).groupBy("shard").applyInArrow(write, _INDEX)
+    return plain.mapInArrow(deal, _BLOCK).groupBy("shard").applyInArrow(write, _INDEX).withMetadata("shard", {"place": place})
+
+
+def shards_of(index: DataFrame) -> str:
+    """The folder of an index's shards."""
+    return index.schema["shard"].metadata["place"]
 
 
 def _write_shard(number: int, table: pa.Table, place: str, stride: int, shard: int, total: int) -> pa.Table:

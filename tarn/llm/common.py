@@ -45,6 +45,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def lasting(spark: SparkSession, name: str) -> str:
+    """A new path for what the driver's end must not remove: below the setting tarn.output.dir, or the shared folder where it is unset."""
+    return f"{(spark.conf.get('tarn.output.dir', None) or shared_dir(spark)).rstrip('/')}/tarn-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it again."""
     path = scratch(df.sparkSession, name)

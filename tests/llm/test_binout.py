@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from tarn.llm.binout import materialise, permute, read_slots
+from tarn.llm import common
+from tarn.llm.binout import materialise, op9, permute, read_slots, shards_of
 from tarn.llm.tokens import counter, vocabulary_path
 
 S = "doc_id long, text string, slot string, shard int"
@@ -44,3 +45,16 @@ def test_round_trip(spark, tmp_path, stable):
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], S)
     assert materialise(df, f"file://{tmp_path}/none").count() == 0
+
+
+def test_shards_outlast_the_driver(spark, tmp_path):
+    src = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string").write.parquet(src)
+    spark.conf.set("tarn.output.dir", f"file://{tmp_path}/kept")
+    try:
+        op9(spark.read.parquet(src)).write.parquet(f"{tmp_path}/index")
+    finally:
+        spark.conf.unset("tarn.output.dir")
+    place = shards_of(spark.read.parquet(f"{tmp_path}/index"))
+    assert place.startswith(f"file://{tmp_path}/kept/") and not any(place.startswith(path) for _, path in common._WRITTEN)
+    assert len(read_slots(place, 0, 5)) > 0
