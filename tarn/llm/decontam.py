@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import null_text
+from .common import null_text, written
 
 #: Bytes of a UTF-8 text: A-Z lower-cased, ASCII other than letters and digits to space.
 TABLE = bytes(ord(chr(b).lower()) if chr(b).isalpha() and b < 128 else b if b > 127 or chr(b).isdigit() else 32 for b in range(256))
@@ -71,19 +72,64 @@ class Scanner:
         return [(len(raw[: at[i][0]].decode()), len(raw[: at[j - 1][1]].decode())) for i, j in runs]
 
 
-def load_items(items: DataFrame, most_bytes: int = MOST_BYTES) -> list[tuple[str | None, str | None]]:
-    """The benchmark, for broadcasting; refused where its texts have more than most_bytes bytes together."""
+def load_items(items: DataFrame, part: int = 0, parts: int = 1) -> list[tuple[str | None, str | None]]:
+    """One of the parts of the benchmark that a hash of the items makes, for broadcasting."""
+    plain = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    own = plain if parts == 1 else plain.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+    return [tuple(r) for r in own.collect()]
+
+
+def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in any order as the fewest that cover the same words, as scan gives them."""
+    out: list[tuple[int, int]] = []
+    for i, j in sorted(runs):
+        if out and out[-1][1] >= i:
+            out[-1] = (out[-1][0], max(out[-1][1], j))
+        else:
+            out.append((i, j))
+    return out
+
+
+def _scanned(docs: DataFrame, items: DataFrame, size: int, most_bytes: int | None) -> tuple[DataFrame, object]:
+    """docs, and what gives (number of words, runs, items) of each row of one of its batches. Of a benchmark of more than most_bytes,
+    all parts but the last, of about so many bytes each, are scanned before, one by one; docs is written with their hits each time."""
+    spark, most = docs.sparkSession, most_bytes or MOST_BYTES
     total = items.agg(F.sum(F.octet_length(null_text()))).first()[0] or 0
-    if total > most_bytes:
-        raise ValueError(f"the items have {total} bytes, the automaton takes {most_bytes}; scan them in several parts")
-    return [tuple(r) for r in items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).collect()]
+    parts = max(1, -(-total // most))
+
+    def scans(part: int):
+        known = spark.sparkContext.broadcast(load_items(items, part, parts))
+        before = part > 0
+
+        def of(batches):
+            scanner = Scanner(known.value, size)
+            for b in batches:
+                found = [scanner.scan(t) for t in b.column("text").to_pylist()]
+                if before:
+                    old = zip(b.column("__hit_runs").to_pylist(), b.column("__hit_items").to_pylist())
+                    found = [(n, joined([*runs, *zip(r[::2], r[1::2])]), names | set(i)) for (n, runs, names), (r, i) in zip(found, old)]
+                yield b, found
+
+        return of
+
+    for part in range(parts - 1):
+        own, columns = scans(part), [c for c in docs.columns if c not in ("__hit_runs", "__hit_items")]
+
+        def run(batches: Iterator[pa.RecordBatch], own=own, columns=columns) -> Iterator[pa.RecordBatch]:
+            for b, found in own(batches):
+                hits = [pa.array([[x for r in runs for x in r] for _, runs, _ in found], pa.list_(pa.int32())), pa.array([sorted(x) for _, _, x in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], *hits], [*columns, "__hit_runs", "__hit_items"])
+
+        schema = StructType([*[docs.schema[c] for c in columns], StructField("__hit_runs", ArrayType(IntegerType())), StructField("__hit_items", ArrayType(StringType()))])
+        docs = written(docs.mapInArrow(run, schema), "hits")
+    return docs, scans(parts - 1)
 
 
 def contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def find_items(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, size: int = 13, most_bytes: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_hit, items (sorted as strings), spans (of characters,
     in the original text), contaminated.
 
@@ -91,15 +137,14 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
     aren't contaminated; an item without words has no window, and an empty benchmark hits nothing. Items without an
     id hit but aren't listed; an id is listed once. Rows are independent; other columns aren't read.
     """
-    known = docs.sparkSession.sparkContext.broadcast(load_items(items))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain, scans = _scanned(plain, items, size, most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(known.value, size)
-        for b in batches:
+        for b, found in scans(batches):
             texts = b.column("text").to_pylist()
-            found = [scanner.scan(t) for t in texts]
             hit = [sum(j - i for i, j in runs) for _, runs, _ in found]
-            spans = [[{"start": i, "end": j} for i, j in scanner.spans(t, runs)] if runs else [] for t, (_, runs, _) in zip(texts, found)]
+            spans = [[{"start": i, "end": j} for i, j in Scanner.spans(t, runs)] if runs else [] for t, (_, runs, _) in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array([n for n, _, _ in found], pa.int64()), pa.array(hit, pa.int64()),
                 pa.array([sorted(x) for _, _, x in found], pa.list_(pa.string())),
@@ -107,21 +152,19 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
                 pa.array([contaminated(n, h) for (n, _, _), h in zip(found, hit)], pa.bool_()),
             ], ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>, contaminated boolean")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, size: int = 13, most_bytes: int | None = None) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns; nothing is shuffled."""
-    known = docs.sparkSession.sparkContext.broadcast(load_items(items))
+    columns, schema = docs.columns, docs.schema
+    docs, scans = _scanned(docs, items, size, most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(known.value, size)
-        for b in batches:
-            found = [scanner.scan(t) for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array([not contaminated(n, sum(j - i for i, j in runs)) for n, runs, _ in found], pa.bool_()))
+        for b, found in scans(batches):
+            yield b.select(columns).filter(pa.array([not contaminated(n, sum(j - i for i, j in runs)) for n, runs, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op6(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -66,3 +66,15 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:3] for r in op6(docs, none).collect()] == [(1, 2, 0)]
     assert find_items(docs.limit(0), none).count() == 0
+
+
+def test_a_benchmark_in_parts_hits_as_a_whole_one(spark, monkeypatch):
+    from tarn.llm import decontam
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    both = lambda: (sorted(map(str, decontam.find_items(docs, items).collect())), sorted(map(str, decontam.decontaminated(docs, items).collect())))
+    whole = both()
+    total = sum(len(r.text.encode()) for r in items.collect() if r.text)
+    monkeypatch.setattr(decontam, "MOST_BYTES", total // 3)
+    assert both() == whole and any("start=" in x for x in whole[0])
