@@ -61,6 +61,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """Of the column text, in UTF-8; a count by the executors, for the number of partitions."""
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit words."""
     with np.errstate(over="ignore"):
@@ -99,7 +104,7 @@ class BloomFilter:
 
 
 def stable_min_label(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, label) of every node of edges (a, b): label is the smallest node of its connected component.
+    """(node, label) of every node of edges (a, b) but the smallest of each connected component, which is the label.
 
     Large-star and small-star steps in turn, each a grouped minimum and a join, written out every round. Nothing but a
     count and a checksum of the edges comes to the driver. Self loops and repeated edges are harmless; null ends go.
@@ -127,7 +132,7 @@ def stable_min_label(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "inner", limit: int = 200_000) -> DataFrame:
+def join_small(df: DataFrame, small: DataFrame, on: Column | str, how: str = "inner", limit: int = 200_000) -> DataFrame:
     """Joins with a table that is broadcast only if it has at most limit rows; else Spark shuffles and splits skew."""
     n = small.limit(limit + 1).count()
     return df.join(F.broadcast(small) if n <= limit else small, on, how)
