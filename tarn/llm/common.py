@@ -151,5 +151,21 @@ def trim_memory() -> None:
         pass
 
 
+def slices(batches, rows: int, column: str = "text", size: int = 8 << 20):
+    """Arrow batches cut into slices of at most `rows` rows and, but for single long values, about `size` bytes of a column."""
+    import pyarrow.compute as pc
+
+    for whole in batches:
+        if not whole.num_rows:
+            continue
+        ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(whole.column(column)), 0), np.int64))
+        at = 0
+        while at < whole.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield whole.slice(at, to - at)
+            at = to
+
+
 def null_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -10,7 +10,10 @@ anchors, so no repeat is lost.
    front-coded: for each context the length of the prefix it shares with the one before, and the rest.
 3. Runs are merged by a loser tree that carries common-prefix lengths, so that no known prefix is compared again.
    Equal contexts come out side by side. Contexts that only share an anchor are cut into their 100-byte strings, of
-   which the earliest of each stays.
+   which the earliest of each stays; strings whose hashes agree are compared byte by byte.
+4. An anchor that occurs more than HOT times would have all its contexts in one task. Its strings are dealt by themselves: a map
+   task keeps the earliest of each, and sends 128 bits of its digest with its place, so that the tasks that meet at a string
+   send one row each.
 """
 
 from __future__ import annotations
@@ -24,22 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, null_text, partitions, trim_memory, written
+from .common import U64, BloomFilter, mix, null_text, partitions, slices, text_bytes, trim_memory, written
 
 LENGTH, GRAM = 100, 24
 BEFORE = LENGTH - GRAM
 CONTEXT = BEFORE + LENGTH
-PIECE = 1 << 20
+PIECE = 1 << 17
 ROWS = 2500  # of a batch that are worked on at once
 SLICE = 3000  # contexts whose strings are compared at once, or all of one anchor
 HELD = 2_000_000  # hashes that are held at once, or eight for each context of one anchor
+HOT = 4096  # occurrences from which an anchor's strings are dealt by themselves
+HOT_BITS = 24  # of the filter of hot anchors; a false hit costs rows only
+PART_BYTES = 16 << 20  # of text for each partition of anchors
 NO_ID = (1 << 63) - 1  # a null doc_id sorts last
 _C = [U64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
-def _doubled(a: np.ndarray, levels: int) -> list[np.ndarray]:
+def _doubled(a: np.ndarray, levels: int, seed: int = 0) -> list[np.ndarray]:
     """Hashes of 1, 2, 4, ... bytes at every position along the last axis."""
-    out = [mix(a)]
+    out = [mix(a, seed)]
     for i in range(levels):
         n = out[-1].shape[-1] - (1 << i)
         left, right = out[-1][..., :n], out[-1][..., 1 << i :]
@@ -54,11 +60,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h[4][:n] * _C[5] + h[3][16 : 16 + n])
 
 
-def string_hashes(rows: np.ndarray) -> np.ndarray:
+def string_hashes(rows: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes of the LENGTH bytes from every position on, in each row."""
-    h = _doubled(rows, 6)
+    h = _doubled(rows, 6, seed)
     n = rows.shape[-1] - LENGTH + 1
-    return mix((h[6][..., :n] * _C[4] + h[5][..., 64 : 64 + n]) * _C[3] + h[2][..., 96 : 96 + n])
+    return mix((h[6][..., :n] * _C[4] + h[5][..., 64 : 64 + n]) * _C[3] + h[2][..., 96 : 96 + n], seed)
 
 
 def _sliding(a: np.ndarray, width: int, least) -> np.ndarray:
@@ -229,11 +235,10 @@ def _pid(h: np.ndarray, pids: int) -> np.ndarray:
 
 def _send_anchors(pids: int):
     def run(batches):
-        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
-            trim_memory()
+        for b in slices(batches, ROWS):
             docs = np.stack([np.array(b.column(c), np.int64) for c in ("id", "th")], 1)
             found = []
-            for i, text in enumerate(b.column("text").to_pylist()):
+            for i, text in enumerate(x.as_py() for x in b.column("text")):
                 if len(raw := text.encode("utf-8", "replace")) >= LENGTH:
                     pos, h = anchors(np.frombuffer(raw, np.uint8))
                     found.append((np.full(len(pos), i), pos, h))
@@ -248,46 +253,100 @@ def _send_anchors(pids: int):
             again[:-1] |= ~new[1:]
             # what repeats here is known to repeat; of each hash one anchor asks whether it does elsewhere
             rows = [_block(int(h[0] >> U64(40)) % pids, 1, docs, at[again], pos[again])] if again.any() else []
+            times = np.minimum(np.diff(np.append(np.flatnonzero(new), len(h))), 65535).astype(np.uint16)
             at, pos, h = at[new], pos[new], h[new]
-            cut = np.searchsorted(_pid(h, pids), np.arange(pids + 1))
-            for p in range(pids):
-                i, j = cut[p], cut[p + 1]
-                if j > i:
-                    rows.append(_block(p, 0, docs, at[i:j], pos[i:j], h[i:j].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+            pid = _pid(h, pids)
+            edges = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1], [True]]))
+            for i, j in zip(edges[:-1], edges[1:]):
+                rows.append(_block(int(pid[i]), 0, docs, at[i:j], pos[i:j], h[i:j].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), times[i:j].tobytes()))
             yield _batch(rows)
+            del found, rows
+            trim_memory()
 
     return run
 
 
-def _repeated_anchors(key, table):
-    trim_memory()
-    own, pos, known, sig = [], [], [], []
-    for kind, d, at, p, a in zip(*[table.column(c).to_pylist() for c in ("kind", "docs", "at", "pos", "a")]):
-        n = len(a) // 6 if kind == 0 else _entries(d, at)
-        o, q = _unblock(d, at, p, n)
-        own.append(o)
-        pos.append(q)
-        known.append(np.full(n, kind == 1))
-        wide = np.zeros((n, 8), np.uint8)
-        if kind == 0:
-            wide[:, :6] = np.frombuffer(a, np.uint8).reshape(n, 6)
-        sig.append(wide.view(U64).ravel())
-    own, pos, known, sig = (np.concatenate(x) for x in (own, pos, known, sig))
-    order = np.lexsort((sig, known))
-    s, k = sig[order], known[order]
-    same = (s[1:] == s[:-1]) & ~k[1:] & ~k[:-1]
-    twice = k.copy()
-    twice[1:] |= same
-    twice[:-1] |= same
-    take = order[twice]
-    return _by_document(own[take], pos[take].astype(np.int32))
+def _hot_key(h: np.ndarray) -> np.ndarray:
+    return mix(h & U64((1 << 48) - 1), 11).view(np.int64)
+
+
+def _repeated_anchors(hot: int):
+    """By document the anchors that occur twice, and, without an id, keys of those that occur more than `hot` times."""
+
+    def run(key, table):
+        trim_memory()
+        own, pos, known, sig, times = [], [], [], [], []
+        for kind, d, at, p, a, b in zip(*[table.column(c).to_pylist() for c in ("kind", "docs", "at", "pos", "a", "b")]):
+            n = len(a) // 6 if kind == 0 else _entries(d, at)
+            o, q = _unblock(d, at, p, n)
+            own.append(o)
+            pos.append(q)
+            known.append(np.full(n, kind == 1))
+            wide = np.zeros((n, 8), np.uint8)
+            if kind == 0:
+                wide[:, :6] = np.frombuffer(a, np.uint8).reshape(n, 6)
+            sig.append(wide.view(U64).ravel())
+            times.append(np.frombuffer(b, np.uint16).astype(np.int64) if kind == 0 else np.zeros(n, np.int64))
+        own, pos, known, sig, times = (np.concatenate(x) for x in (own, pos, known, sig, times))
+        order = np.lexsort((sig, known))
+        s, k = sig[order], known[order]
+        same = (s[1:] == s[:-1]) & ~k[1:] & ~k[:-1]
+        twice = k.copy()
+        twice[1:] |= same
+        twice[:-1] |= same
+        take = order[twice]
+        asked = np.flatnonzero(~k)
+        first = asked[np.concatenate([[True], s[asked][1:] != s[asked][:-1]])] if len(asked) else asked
+        busy = s[first][np.add.reduceat(times[order][asked], np.searchsorted(asked, first)) > hot] if len(asked) else s[:0]
+        out = _by_document(own[take], pos[take].astype(np.int32))
+        none = pa.table({"id": pa.nulls(len(busy), pa.int64()), "th": pa.array(_hot_key(busy), pa.int64()), "data": pa.nulls(len(busy), pa.binary())})
+        return pa.concat_tables([out, none]).combine_chunks()
+
+    return run
 
 
 def _entries(docs: bytes, at: bytes) -> int:
     return len(at) // (2 if len(docs) // 16 < 65536 else 4)
 
 
-def _send_runs(pids: int):
+def _hot_strings(docs, at, pos, before, after, keys, pids: int, rows: list) -> None:
+    """Of contexts of hot anchors: a row for each partition of digests with the earliest place of each string, and the spans of later ones."""
+    rank = np.unique(docs, axis=0, return_inverse=True)[1].ravel().astype(np.int64)
+    for i in range(0, len(keys), 4000):
+        part = slice(i, i + 4000)
+        one, two, row, place = [], [], [], []
+        for j in range(i, min(i + 4000, len(keys)), 500):
+            some = slice(j, min(j + 500, len(keys), i + 4000))
+            text = np.concatenate([keys[some, LENGTH:][:, ::-1], keys[some, :LENGTH]], 1)
+            places = np.arange(BEFORE + 1)
+            r, p = np.nonzero((places >= BEFORE - before[some, None]) & (places + LENGTH <= BEFORE + after[some, None]))
+            one.append(string_hashes(text)[r, p])
+            two.append(string_hashes(text, 5)[r, p])
+            row.append(r + j)
+            place.append(p)
+        one, two, row, place = (np.concatenate(x) for x in (one, two, row, place))
+        if not len(one):
+            continue
+        start = pos[row] - BEFORE + place
+        when = rank[at[row]] << 32 | start
+        order = np.lexsort((when, two, one))
+        one, two, row, start, when = one[order], two[order], row[order], start[order], when[order]
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        late = when > when[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        if late.any():
+            d, s, e = merged_spans(at[row[late]], start[late], start[late] + LENGTH)
+            rows.append(_block(int(one[0] >> U64(40)) % pids, 1, docs, d, s, e.astype(np.int32).tobytes()))
+        one, two, row, start = one[new], two[new], row[new], start[new]
+        pid = _pid(one, pids)
+        edges = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1], [True]]))
+        for a, b in zip(edges[:-1], edges[1:]):
+            rows.append(_block(int(pid[a]), 2, docs, at[row[a:b]], start[a:b], one[a:b].tobytes(), two[a:b].tobytes()))
+
+
+def _send_runs(pids: int, hot):
+    """hot: a broadcast filter of the keys of hot anchors."""
+
     def run(batches):
         import zstandard
 
@@ -308,7 +367,12 @@ def _send_runs(pids: int):
                 d, s, e = merged_spans(at[late], pos[late] - before[late], pos[late] + after[late])
                 rows.append(_block(int(pos[0]) % pids, 1, docs, d, s, e.astype(np.int32).tobytes()))
             at, pos, before, after, keys = at[new], pos[new], before[new], after[new], keys[new]
-            pid = _pid(gram_hashes(keys[:, :GRAM].ravel())[::GRAM] if len(keys) else np.empty(0, U64), pids)
+            h = gram_hashes(keys[:, :GRAM].ravel())[::GRAM] if len(keys) else np.empty(0, U64)
+            busy = BloomFilter.hits(hot.value, _hot_key(h), HOT_BITS)
+            if busy.any():
+                _hot_strings(docs, at[busy], pos[busy], before[busy], after[busy], keys[busy], pids, rows)
+                at, pos, before, after, keys, h = at[~busy], pos[~busy], before[~busy], after[~busy], keys[~busy], h[~busy]
+            pid = _pid(h, pids)
             for p in np.unique(pid):
                 own = np.flatnonzero(pid == p)
                 shared, rest = Runs.code(keys[own])
@@ -317,8 +381,7 @@ def _send_runs(pids: int):
                 rows.append(row)
             return _batch(rows)
 
-        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
-            trim_memory()
+        for b in slices(batches, ROWS, "z", 3 << 20):
             docs = np.stack([np.array(b.column(c), np.int64) for c in ("id", "th")], 1)
             parts, held = [], 0
             for i, (z, found) in enumerate(zip(b.column("z").to_pylist(), b.column("found").to_pylist())):
@@ -334,6 +397,8 @@ def _send_runs(pids: int):
                     parts, held = [], 0
             if parts:
                 yield deal(docs, *(np.concatenate(x) for x in zip(*parts)))
+            del parts
+            trim_memory()
 
     return run
 
@@ -341,8 +406,12 @@ def _send_runs(pids: int):
 def _merge_side(key, table):
     """One partition: the spans that are covered, by document, as (start, end) pairs."""
     trim_memory()
-    runs, own, pos, size, local = [], [], [], [], []
+    runs, own, pos, size, local, strings = [], [], [], [], [], []
     for kind, d, at, p, a, b in zip(*[table.column(c).to_pylist() for c in ("kind", "docs", "at", "pos", "a", "b")]):
+        if kind == 2:
+            o, q = _unblock(d, at, p, len(a) // 8)
+            strings.append((o, q, np.frombuffer(a, U64), np.frombuffer(b, U64)))
+            continue
         if kind:
             o, q = _unblock(d, at, p, len(a) // 4)
             local.append((o, q, np.frombuffer(a, np.int32).astype(np.int64)))
@@ -354,6 +423,16 @@ def _merge_side(key, table):
         size.append(np.frombuffer(a[n:], np.uint8).reshape(2, n).T.astype(np.int64))
         runs.append(Runs.decode(a[:n], b, CONTEXT))
     spans = list(local)
+    if strings:
+        o, start, one, two = (np.concatenate(x) for x in zip(*strings))
+        when = np.unique(o, axis=0, return_inverse=True)[1].ravel().astype(np.int64) << 32 | start
+        order = np.lexsort((when, two, one))
+        one, two, when = one[order], two[order], when[order]
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        late = order[when > when[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+        spans.append((o[late], start[late], start[late] + LENGTH))
+        del strings, one, two, when, order
     if runs:
         base = np.cumsum([0, *map(len, own)])
         nth, row, common = base.tolist(), array("q"), array("B")
@@ -408,22 +487,34 @@ def _repeated_strings(keys: np.ndarray, lead: np.ndarray, own: np.ndarray, when:
     order = np.argsort(when[lead], kind="stable")
     lead, keys = lead[order], keys[order]
     n, mine, before, after = len(lead), when[lead], size[lead, 0], size[lead, 1]
+    texts = np.concatenate([keys[:, LENGTH:][:, ::-1], keys[:, :LENGTH]], 1)
     again = np.zeros((n, BEFORE + 3), np.int8)  # a column before and after the places
     width = min(BEFORE + 1, max(8, HELD // max(n, 1)))
     for j in range(0, BEFORE + 1, width):
         to = min(BEFORE + 1, j + width)
         hashes = np.empty((n, to - j), U64)
         for i in range(0, n, 1000):
-            text = np.concatenate([keys[i : i + 1000, LENGTH:][:, ::-1], keys[i : i + 1000, :LENGTH]], 1)
-            hashes[i : i + 1000] = string_hashes(text[:, j : to + LENGTH - 1])
+            hashes[i : i + 1000] = string_hashes(texts[i : i + 1000, j : to + LENGTH - 1])
         for place in range(j, to):
             at = np.flatnonzero((place >= BEFORE - before) & (place + LENGTH <= BEFORE + after))
             h = hashes[at, place - j]
             by_hash = np.argsort(h, kind="stable")
             h, at = h[by_hash], at[by_hash]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-            least = np.repeat(mine[at[first]], np.diff(np.append(first, len(h))))
-            again[at[mine[at] > least], place + 1] = 1
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]  # the earliest, as rows are in order and the sort is stable
+            same = np.flatnonzero(~new)
+            strings = texts[:, place : place + LENGTH]
+            for i in range(0, len(same), 4000):
+                some = same[i : i + 4000]
+                if (strings[at[some]] != strings[at[head[some]]]).any():  # unlike strings share a hash: by their bytes
+                    _, head = np.unique(np.ascontiguousarray(strings[at]).view(f"V{LENGTH}").ravel(), return_inverse=True)
+                    least = np.full(len(at), np.iinfo(np.int64).max)
+                    np.minimum.at(least, head.ravel(), mine[at])
+                    again[at[mine[at] > least[head.ravel()]], place + 1] = 1
+                    break
+            else:
+                again[at[same[mine[at[same]] > mine[at[head[same]]]]], place + 1] = 1
     edge = np.diff(again, axis=1)
     row, start = np.nonzero(edge == 1)
     end = np.nonzero(edge == -1)[1]
@@ -435,26 +526,30 @@ def _compressed(batches):
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3)
-    for b in batches:
+    for b in slices(batches, ROWS):
         trim_memory()
-        z = [press.compress(t.encode("utf-8", "replace")) for t in b.column("text").to_pylist()]
+        z = [press.compress(t.as_py().encode("utf-8", "replace")) for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("id"), b.column("th"), pa.array(z, pa.binary())], ["doc_id", "id", "th", "z"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, id, th, z, spans): every row of docs with its compressed text and its spans to remove, as blocks of pairs.
 
     id and th (the text's hash) tell rows apart. Only texts of 100 bytes or more can have spans."""
     spark = docs.sparkSession
-    pids = 6 * partitions(spark)  # a merge holds its partition's contexts
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_text().alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
-    sent = plain.select("id", "th", "text").mapInArrow(_send_anchors(pids), _BLOCK)
-    found = sent.groupBy("pid").applyInArrow(_repeated_anchors, _FOUND)
+    pids = max(6 * partitions(spark), text_bytes(plain) // PART_BYTES)  # a merge holds its partition's contexts
+    dealt = (lambda df: df.repartition(pids // 6, "pid")) if pids > 6 * partitions(spark) else lambda df: df
+    sent = dealt(plain.select("id", "th", "text").mapInArrow(_send_anchors(pids), _BLOCK))
+    found = sent.groupBy("pid").applyInArrow(_repeated_anchors(hot), _FOUND)
     found = written(found.groupBy("id", "th").agg(F.collect_list("data").alias("found")), "anchors")
+    busy = spark.sparkContext.broadcast(BloomFilter.of(found.where("id is null").select("th"), "th", HOT_BITS).bits)  # of fixed size
+    found = found.where("id is not null")
     packed = plain.mapInArrow(_compressed, "doc_id long, id long, th long, z binary")
-    contexts = packed.drop("doc_id").join(found, ["id", "th"]).mapInArrow(_send_runs(pids), _BLOCK)
-    spans = contexts.groupBy("pid").applyInArrow(_merge_side, _FOUND)
+    contexts = packed.drop("doc_id").join(found, ["id", "th"]).mapInArrow(_send_runs(pids, busy), _BLOCK)
+    spans = dealt(contexts).groupBy("pid").applyInArrow(_merge_side, _FOUND)
     spans = written(spans.groupBy("id", "th").agg(F.collect_list("data").alias("spans")), "spans")
+    busy.destroy()
     return packed.join(spans, ["id", "th"], "left")
 
 
@@ -462,7 +557,7 @@ def _pieces(batches):
     import zstandard
 
     press = zstandard.ZstdDecompressor()
-    for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+    for b in slices(batches, ROWS, "z", 3 << 20):
         trim_memory()
         raws, starts, ends = [], [], []
         for z, spans in zip(b.column("z").to_pylist(), b.column("spans").to_pylist()):
@@ -474,7 +569,7 @@ def _pieces(batches):
         yield b, raws, starts, ends
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, starts, ends (of the removed runs, in bytes of the UTF-8 text), kept
     (the remaining bytes).
 
@@ -489,11 +584,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             kept = [b"".join(r[i:j] for i, j in zip([0, *e], [*s, len(r)])) for r, s, e in zip(raws, starts, ends)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(len, raws)), pa.int64()), pa.array([x.tolist() for x in starts], pa.list_(pa.int64())), pa.array([x.tolist() for x in ends], pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "starts", "ends", "kept"])
 
-    return repeated_spans(docs).select("doc_id", "z", "spans").mapInArrow(run, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return repeated_spans(docs, hot).select("doc_id", "z", "spans").mapInArrow(run, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
-def op4(docs: DataFrame) -> DataFrame:
-    out = remove_repeats(docs)
+def op4(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    out = remove_repeats(docs, hot)
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
