@@ -252,7 +252,7 @@ def _send_anchors(pids: int):
             again = ~new
             again[:-1] |= ~new[1:]
             # what repeats here is known to repeat; of each hash one anchor asks whether it does elsewhere
-            rows = [_block(int(h[0] >> U64(40)) % pids, 1, docs, at[again], pos[again])] if again.any() else []
+            rows = [_block(int(docs[at[0], 1]) % pids, 1, docs, at[again], pos[again])] if again.any() else []
             times = np.minimum(np.diff(np.append(np.flatnonzero(new), len(h))), 65535).astype(np.uint16)
             at, pos, h = at[new], pos[new], h[new]
             pid = _pid(h, pids)
@@ -336,7 +336,7 @@ def _hot_strings(docs, at, pos, before, after, keys, pids: int, rows: list) -> N
         late = when > when[np.flatnonzero(new)[np.cumsum(new) - 1]]
         if late.any():
             d, s, e = merged_spans(at[row[late]], start[late], start[late] + LENGTH)
-            rows.append(_block(int(one[0] >> U64(40)) % pids, 1, docs, d, s, e.astype(np.int32).tobytes()))
+            rows.append(_block(int(docs[at[row[0]], 1]) % pids, 1, docs, d, s, e.astype(np.int32).tobytes()))
         one, two, row, start = one[new], two[new], row[new], start[new]
         pid = _pid(one, pids)
         edges = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1], [True]]))
@@ -365,9 +365,9 @@ def _send_runs(pids: int, hot):
             late &= before + after >= LENGTH
             if late.any():
                 d, s, e = merged_spans(at[late], pos[late] - before[late], pos[late] + after[late])
-                rows.append(_block(int(pos[0]) % pids, 1, docs, d, s, e.astype(np.int32).tobytes()))
+                rows.append(_block(int(docs[at[0], 1]) % pids, 1, docs, d, s, e.astype(np.int32).tobytes()))
             at, pos, before, after, keys = at[new], pos[new], before[new], after[new], keys[new]
-            h = gram_hashes(keys[:, :GRAM].ravel())[::GRAM] if len(keys) else np.empty(0, U64)
+            h = np.concatenate([np.empty(0, U64), *[gram_hashes(keys[i : i + 4000, :GRAM].ravel())[::GRAM] for i in range(0, len(keys), 4000)]])
             busy = BloomFilter.hits(hot.value, _hot_key(h), HOT_BITS)
             if busy.any():
                 _hot_strings(docs, at[busy], pos[busy], before[busy], after[busy], keys[busy], pids, rows)
