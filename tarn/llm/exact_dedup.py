@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_text, written
+from .common import join_small, null_text, written
 
 WHITE = "[\\x20\\x09-\\x0D]"
 
@@ -20,7 +20,7 @@ def sha256(column: Column) -> Column:
     return F.unhex(F.sha2(column, 256))
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = 16, broadcast_limit: int = 1_000_000) -> DataFrame:
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, salts: int = 16, broadcast_limit: int = 1_000_000, large: int = 10_000) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, digest.
 
     The row with the most code points in its original text stays, then the smallest doc_id. Null text counts as empty,
@@ -31,7 +31,8 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
     digests: each map task combines its own rows by digest (Spark's partial aggregate), salted partial counts are
     merged, then the salts' sums. Only texts whose digest occurs twice have their content compared: again local
     combining, salted groups of (digest, content), then the salts' winners. A group of copies of any size so reaches a
-    task as at most one row per map task and salt.
+    task as at most one row per map task and salt. At last the rows meet the winners: of groups of more than `large` rows, of which
+    there is at most one in `large` rows, the winners are broadcast if they are few, so that such a group stays where it is.
     """
     norm = F.regexp_replace(null_text(), WHITE, "")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(null_text()).cast("long").alias("chars"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
@@ -52,7 +53,13 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
         plain = keys.join(collided, "digest", "left_anti")
         by_content = base.join(collided, "digest", "left_semi").join(winners, ["digest", "norm"]).select(*out)
         winners = winners.join(collided, "digest", "left_anti")
-    joined = plain.join(winners.drop("norm"), "digest", "left").select(
+    winners = winners.drop("norm")
+    big = winners.where(F.col("group_size") > large)
+    if big.isEmpty():
+        met = plain.join(winners, "digest", "left")
+    else:
+        met = join_small(plain, big, "digest").unionByName(join_small(plain, big.select("digest"), "digest", "left_anti").join(winners.where(F.col("group_size") <= large), "digest", "left"))
+    joined = met.select(
         "doc_id",
         F.when(F.col("one").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("best_chars", "chars").alias("best_chars"),

@@ -33,5 +33,11 @@ def test_content_decides_where_digests_collide(spark):
     assert sorted(map(tuple, weak.drop("digest").collect()), key=str) == brute(ROWS)
 
 
+def test_large_groups_stay_where_they_are(spark):
+    df = spark.createDataFrame([(*r, "d", 1) for r in ROWS], S).repartition(4)
+    got = exact_groups(df, large=2)
+    assert sorted(map(tuple, got.drop("digest").collect()), key=str) == brute(ROWS)
+
+
 def test_empty_table(spark):
     assert op10(spark.createDataFrame([], S)).count() == 0
