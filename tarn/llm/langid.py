@@ -6,7 +6,6 @@ frequencies come from all rows that may be learned from; weights from a bounded
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,6 @@ from .common import U64
 from .sampling import bounded_sample, held_out
 
 BITS = 14  # of a hashed feature
-_LETTER = re.compile(r"[^\W\d_]")
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -52,7 +50,7 @@ class Model:
         return x @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not any(map(str.isalpha, text)):
             return "und", 0.0
         z = self.logits(*self.vector(text)) / self.temperature
         p = np.exp(z - z.max())

@@ -80,3 +80,12 @@ def test_toxicity(spark):
     assert kept.columns == df.columns and kept.count() == toxicity.score(df, model).where("predicted = 0").count()
     assert toxicity.op7(df.limit(0), lab).count() == 0
     assert {r.score for r in toxicity.op7(df, lab.limit(0)).collect()} == {0.0}
+
+
+def test_texts_without_letters_have_no_language():
+    from tarn.llm.langid import Model
+
+    m = Model(["xx", "yy"], np.ones(1 << 14), np.zeros((1 << 14, 2)), np.zeros(2))
+    for text in ("½ ² Ⅷ", "12 _ -- ①", "", None, " \n", "١٢٣"):
+        assert m.predict(text) == ("und", 0.0)
+    assert m.predict("½ a")[0] == "xx" and m.predict("漢")[0] == "xx"
