@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import null_text, written
+from .common import null_text, slices, trim_memory, written
 
 #: Bytes of a UTF-8 text: A-Z lower-cased, ASCII other than letters and digits to space.
 TABLE = bytes(ord(chr(b).lower()) if chr(b).isalpha() and b < 128 else b if b > 127 or chr(b).isdigit() else 32 for b in range(256))
 MOST_BYTES = 64 << 20
+ROWS = 4000  # of a batch that are worked on at once
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -69,7 +71,27 @@ class Scanner:
         """Runs of words as character offsets (first, last + 1) of the original text."""
         raw = text.encode("utf-8", "replace")
         at = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(TABLE))]
-        return [(len(raw[: at[i][0]].decode()), len(raw[: at[j - 1][1]].decode())) for i, j in runs]
+        edges = [x for i, j in sorted(runs) for x in (at[i][0], at[j - 1][1])]  # ascending, as runs don't overlap
+        chars, done, found = 0, 0, []
+        for e in edges:
+            chars += len(raw[done:e].decode("utf-8", "replace"))
+            done = e
+            found.append(chars)
+        return list(zip(found[::2], found[1::2]))
+
+
+_BUILT: dict[str, Scanner] = {}
+
+
+def _scanner(name: str, items: list[tuple[str | None, str | None]], size: int) -> Scanner:
+    """A worker keeps the last scanner, if it is small, for its next tasks."""
+    if name in _BUILT:
+        return _BUILT[name]
+    _BUILT.clear()
+    scanner = Scanner(items, size)
+    if sum(len(t or "") for _, t in items) <= 4 << 20:
+        _BUILT[name] = scanner
+    return scanner
 
 
 def load_items(items: DataFrame, part: int = 0, parts: int = 1) -> list[tuple[str | None, str | None]]:
@@ -99,16 +121,18 @@ def _scanned(docs: DataFrame, items: DataFrame, size: int, most_bytes: int | Non
 
     def scans(part: int):
         known = spark.sparkContext.broadcast(load_items(items, part, parts))
-        before = part > 0
+        before, name = part > 0, uuid.uuid4().hex
 
         def of(batches):
-            scanner = Scanner(known.value, size)
-            for b in batches:
-                found = [scanner.scan(t) for t in b.column("text").to_pylist()]
+            scanner = _scanner(name, known.value, size)
+            for b in slices(batches, ROWS):
+                found = [scanner.scan(t.as_py()) for t in b.column("text")]
                 if before:
                     old = zip(b.column("__hit_runs").to_pylist(), b.column("__hit_items").to_pylist())
                     found = [(n, joined([*runs, *zip(r[::2], r[1::2])]), names | set(i)) for (n, runs, names), (r, i) in zip(found, old)]
                 yield b, found
+                del found
+                trim_memory()
 
         return of
 
@@ -129,9 +153,9 @@ def contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def find_items(docs: DataFrame, items: DataFrame, size: int = 13, most_bytes: int | None = None) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, size: int = 13, most_bytes: int | None = None, spans: bool = True) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_hit, items (sorted as strings), spans (of characters,
-    in the original text), contaminated.
+    in the original text; null where spans aren't asked for), contaminated.
 
     A word is hit if it lies in any occurrence of a window of an item. Null, empty and wordless texts have no words and
     aren't contaminated; an item without words has no window, and an empty benchmark hits nothing. Items without an
@@ -142,13 +166,12 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 13, most_bytes: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, found in scans(batches):
-            texts = b.column("text").to_pylist()
             hit = [sum(j - i for i, j in runs) for _, runs, _ in found]
-            spans = [[{"start": i, "end": j} for i, j in Scanner.spans(t, runs)] if runs else [] for t, (_, runs, _) in zip(texts, found)]
+            at = [[{"start": i, "end": j} for i, j in Scanner.spans(t.as_py(), runs)] if runs else [] for t, (_, runs, _) in zip(b.column("text"), found)] if spans else [None] * len(found)
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array([n for n, _, _ in found], pa.int64()), pa.array(hit, pa.int64()),
                 pa.array([sorted(x) for _, _, x in found], pa.list_(pa.string())),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                pa.array(at, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 pa.array([contaminated(n, h) for (n, _, _), h in zip(found, hit)], pa.bool_()),
             ], ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"])
 
@@ -169,7 +192,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = 13, most_bytes
 
 def op6(docs: DataFrame, items: DataFrame) -> DataFrame:
     joined = F.array_join("items", ",")
-    return find_items(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), "contaminated")
+    return find_items(docs, items, spans=False).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), "contaminated")
 
 
 def sha256_of(items: list[str]) -> str:

@@ -16,12 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, trim_memory
 from .decontam import words_of
 from .sampling import bounded_sample, held_out
 
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 8, 8
 STARTS = (4, 5)  # bytes of a word's beginnings
-CACHE = 500_000
+CACHE = 150_000  # words that a worker remembers
+ROWS = 4000  # of a batch that are worked on at once
 CUT = 0.7
 DECAY = 1e-4
 
@@ -228,8 +230,8 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, most_rows: int = 6000) -> Classifier:
-    """docs (doc_id, text, lang), labels (doc_id, toxic). Learns from about per_label rows of either label and at most
-    most_rows together, of those that aren't held out. Repeated labels of an id: the larger one holds."""
+    """docs (doc_id, text, lang), labels (doc_id, toxic). Learns from about per_label ids of either label and at most
+    most_rows together, of those that aren't held out, and at most twice as many rows, where ids repeat. Repeated labels of an id: the larger one holds."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
     sample = bounded_sample(own.withColumn("text", F.lit("")), "toxic", per_label, most_rows)
     model = Classifier()
@@ -253,9 +255,11 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        for b in batches:
-            s = m.scores(b.column("text").to_pylist())
+        for b in slices(batches, ROWS):
+            s = m.scores([t.as_py() for t in b.column("text")])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= CUT) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+        m.forget()
+        trim_memory()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out())
     return plain.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -267,8 +271,10 @@ def accepted(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        for b in batches:
-            yield b.filter(pa.array([x < CUT for x in m.scores(b.column("text").to_pylist())], pa.bool_()))
+        for b in slices(batches, ROWS):
+            yield b.filter(pa.array([x < CUT for x in m.scores([t.as_py() for t in b.column("text")])], pa.bool_()))
+        m.forget()
+        trim_memory()
 
     return docs.mapInArrow(run, docs.schema)
 
