@@ -33,10 +33,11 @@ LENGTH, GRAM = 100, 24
 BEFORE = LENGTH - GRAM
 CONTEXT = BEFORE + LENGTH
 PIECE = 1 << 17
-ROWS = 2500  # of a batch that are worked on at once
+ROWS = 1500  # of a batch that are worked on at once
 SLICE = 3000  # contexts whose strings are compared at once, or all of one anchor
 HELD = 2_000_000  # hashes that are held at once, or eight for each context of one anchor
 HOT = 4096  # occurrences from which an anchor's strings are dealt by themselves
+TOGETHER = 11  # places whose strings are dealt together; a divisor of BEFORE + 1
 HOT_BITS = 24  # of the filter of hot anchors; a false hit costs rows only
 PART_BYTES = 16 << 20  # of text for each partition of anchors
 NO_ID = (1 << 63) - 1  # a null doc_id sorts last
@@ -310,35 +311,40 @@ def _entries(docs: bytes, at: bytes) -> int:
 
 
 def _hot_strings(docs, at, pos, before, after, keys, pids: int, rows: list) -> None:
-    """Of contexts of hot anchors: a row for each partition of digests with the earliest place of each string, and the spans of later ones."""
+    """Of contexts of hot anchors: a row for each partition of digests with the earliest place of each string, and the spans of later ones.
+
+    The strings at eleven places in a row have 90 bytes in common, whose hash is dealt by: a context goes to seven partitions
+    at most, and contexts that differ in those bytes to different ones."""
     rank = np.unique(docs, axis=0, return_inverse=True)[1].ravel().astype(np.int64)
+    places = np.arange(BEFORE + 1)
     for i in range(0, len(keys), 4000):
-        part = slice(i, i + 4000)
-        one, two, row, place = [], [], [], []
+        one, two, core, row, place = [], [], [], [], []
         for j in range(i, min(i + 4000, len(keys)), 500):
             some = slice(j, min(j + 500, len(keys), i + 4000))
             text = np.concatenate([keys[some, LENGTH:][:, ::-1], keys[some, :LENGTH]], 1)
-            places = np.arange(BEFORE + 1)
             r, p = np.nonzero((places >= BEFORE - before[some, None]) & (places + LENGTH <= BEFORE + after[some, None]))
             one.append(string_hashes(text)[r, p])
             two.append(string_hashes(text, 5)[r, p])
+            h = _doubled(text, 6)
+            shared = mix(h[6][:, TOGETHER - 1 :: TOGETHER][:, : len(places) // TOGETHER] * _C[1] + h[5][:, LENGTH - 32 :: TOGETHER][:, : len(places) // TOGETHER])
+            core.append(shared[r, p // TOGETHER])
             row.append(r + j)
             place.append(p)
-        one, two, row, place = (np.concatenate(x) for x in (one, two, row, place))
+        one, two, core, row, place = (np.concatenate(x) for x in (one, two, core, row, place))
         if not len(one):
             continue
         start = pos[row] - BEFORE + place
         when = rank[at[row]] << 32 | start
-        order = np.lexsort((when, two, one))
-        one, two, row, start, when = one[order], two[order], row[order], start[order], when[order]
+        order = np.lexsort((when, two, one, core))
+        one, two, core, row, start, when = (x[order] for x in (one, two, core, row, start, when))
         new = np.ones(len(one), bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         late = when > when[np.flatnonzero(new)[np.cumsum(new) - 1]]
         if late.any():
             d, s, e = merged_spans(at[row[late]], start[late], start[late] + LENGTH)
             rows.append(_block(int(docs[at[row[0]], 1]) % pids, 1, docs, d, s, e.astype(np.int32).tobytes()))
-        one, two, row, start = one[new], two[new], row[new], start[new]
-        pid = _pid(one, pids)
+        one, two, core, row, start = one[new], two[new], core[new], row[new], start[new]
+        pid = _pid(core, pids)
         edges = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1], [True]]))
         for a, b in zip(edges[:-1], edges[1:]):
             rows.append(_block(int(pid[a]), 2, docs, at[row[a:b]], start[a:b], one[a:b].tobytes(), two[a:b].tobytes()))
@@ -392,7 +398,7 @@ def _send_runs(pids: int, hot):
                 keys = np.concatenate([context[:, BEFORE:], context[:, :BEFORE][:, ::-1]], 1)
                 parts.append((np.full(len(pos), i), pos, np.minimum(pos, BEFORE), np.minimum(len(data) - pos, LENGTH), keys))
                 held += len(pos)
-                if held > 50_000:
+                if held > 25_000:
                     yield deal(docs, *(np.concatenate(x) for x in zip(*parts)))
                     parts, held = [], 0
             if parts:
