@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode has it, with the separators \x1c-\x1f.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -15,16 +19,27 @@ def normal_space(c: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """normal_space, null-safe; the literals of nothing count as empty."""
-    s = F.coalesce(c.cast("string"), F.lit(""))
-    return F.when(s.isin("0", "false"), F.lit("")).otherwise(normal_space(s))
+    """normal_space, null-safe. Values that count as nothing, false and the number 0, are empty; the strings "0" and "false" aren't."""
+    number = F.rlike(F.typeof(c), F.lit("^(boolean|tinyint|smallint|int|bigint|float|double|decimal.*)$"))
+    nothing = number & c.cast("string").isin("false", "0", "0.0", "-0.0")
+    return F.when(nothing, F.lit("")).otherwise(normal_space(F.coalesce(c.cast("string"), F.lit(""))))
 
 
 def fold_key(c: Column) -> Column:
-    """A caseless key: lower case, with sharp s spelled out."""
+    """A caseless key: lower case, with sharp s spelled out. Enough for most text, and in the JVM; strict_fold_key knows all of Unicode."""
     return F.replace(F.replace(F.lower(normal_space(c)), F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
 
 
+@F.pandas_udf(StringType())
+def _casefold(s: pd.Series) -> pd.Series:
+    return s.str.casefold()
+
+
+def strict_fold_key(c: Column) -> Column:
+    """A caseless key by Unicode's full case folding, which no built-in function has."""
+    return _casefold(normal_space(c))
+
+
 def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
 
@@ -81,17 +96,54 @@ def leading_id(c: Column, digits: int = 1, anywhere: bool = False) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def split_of_path(path: Column) -> Column:
-    """train, dev or test by a whole part of the path."""
-    parts = F.split(F.lower(path), r"[/_.\-]")
-    has = lambda *names: F.arrays_overlap(parts, F.array(*map(F.lit, names)))
-    return F.when(has("train", "training"), "train").when(has("dev", "valid", "validation"), "dev").when(has("test", "testing"), "test")
+def path_parts(path: Column, separators: str = "/") -> Column:
+    """Lower-cased parts of a path."""
+    return F.filter(F.split(F.lower(path), f"[{separators}]"), lambda x: x != "")
+
+
+def _any_of(parts: Column, names: Sequence[str]) -> Column:
+    return F.arrays_overlap(parts, F.array(*map(F.lit, names)))
+
+
+def by_part(path: Column, rules: Sequence[tuple[Sequence[str], str]], other: str | None = None, separators: str = "/") -> Column:
+    """The value of the first rule (names, value) of which the path has a part; else `other`."""
+    parts = path_parts(path, separators)
+    out = F.lit(other).cast("string")
+    for names, value in reversed(rules):
+        out = F.when(_any_of(parts, names), F.lit(value)).otherwise(out)
+    return out
+
+
+# Words of paths and what they stand for.
+SPLITS = [(("test_ood",), "test_ood"), (("train", "training"), "train"), (("dev", "valid", "validation"), "dev"), (("test", "testing"), "test")]
+ELEMENTS = [(("participants", "participant"), "Participant"), (("interventions", "intervention"), "Intervention"), (("outcomes", "outcome"), "Outcome")]
+ANNOTATION_PARTS = ("annotations", "annotation", "aggregated", "individual", "starting_spans", "hierarchical_labels", "participants", "interventions", "outcomes")
+
+
+def split_of_path(path: Column, other: str | None = None) -> Column:
+    """train, dev, test or test_ood by a whole part of the path."""
+    found = F.coalesce(by_part(path, SPLITS, None, r"/.\-"), by_part(path, SPLITS[1:], None, r"/_.\-"))
+    return F.coalesce(found, F.lit(other)) if other else found
+
+
+def element_of_path(path: Column, prefix: str = "") -> Column:
+    """What a path's annotations are about, or null."""
+    return by_part(path, [(names, prefix + value) for names, value in ELEMENTS])
+
+
+def is_annotation_path(path: Column) -> Column:
+    return _any_of(path_parts(path), ANNOTATION_PARTS)
+
+
+def has_all_parts(path: Column, names: Sequence[str]) -> Column:
+    return F.size(F.array_except(F.array(*map(F.lit, names)), path_parts(path))) == 0
 
 
 def offsets(words_: Column) -> Column:
-    """Character spans of tokens joined by single spaces."""
-    start = lambda i: F.aggregate(F.slice(words_, F.lit(1), i), F.lit(0), lambda acc, w: acc + F.length(w) + 1)
-    return F.transform(words_, lambda w, i: F.struct(start(i).alias("start_char"), (start(i) + F.length(w)).alias("end_char")))
+    """Character spans of tokens joined by single spaces: one pass that carries the end of the token before."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_char: int, end_char: int>>").alias("spans"))
+    step = lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.array_append(acc["spans"], F.struct(acc["at"].alias("start_char"), (acc["at"] + F.length(w)).alias("end_char"))).alias("spans"))
+    return F.aggregate(words_, zero, step, lambda acc: acc["spans"])
 
 
 def span_text(words_: Column, first: Column, last: Column) -> Column:
@@ -101,7 +153,34 @@ def span_text(words_: Column, first: Column, last: Column) -> Column:
 
 
 def padded(seed: Column, rules: Column, target: Column) -> Column:
-    """seed with rules in turn appended, line by line, until it has the target length."""
+    """seed with rules in turn appended, line by line, until it has the target length. Whole rounds come from their length, and only the
+    rules of the last round are tried one by one."""
     n = F.size(rules)
-    step = lambda acc, i: F.when(F.length(acc) >= target, acc).otherwise(F.concat(acc, F.lit("\n"), F.element_at(rules, (F.pmod(i, n) + 1).cast("int"))))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(target, F.lit(0))), seed, step)).otherwise(seed)
+    round_ = F.concat(F.lit("\n"), F.array_join(rules, "\n"))
+    lacking = target - F.length(seed)
+    whole = F.greatest(F.floor((lacking - 1) / F.greatest(F.length(round_), F.lit(1))), F.lit(0)).cast("int")
+    start = F.concat(seed, F.repeat(round_, whole))
+    step = lambda acc, x: F.when(F.length(acc) >= target, acc).otherwise(F.concat(acc, F.lit("\n"), x))
+    return F.when(n > 0, F.aggregate(rules, start, step)).otherwise(seed)
+
+
+def pretty_label(c: Column, names: dict[str, str] | None = None) -> Column:
+    """A label for reading: given names, else underscores around it go and words get capitals."""
+    known = F.create_map(*[F.lit(x) for kv in (names or {"": ""}).items() for x in kv])
+    return F.coalesce(F.try_element_at(known, c), F.initcap(F.replace(F.regexp_replace(c, "^_+|_+$", ""), F.lit("_"), F.lit(" "))))
+
+
+def joined_label(*parts: Column) -> Column:
+    return F.concat_ws(" · ", *parts)
+
+
+def canonical(value: Column, aliases: dict[str, str]) -> Column:
+    """The name that a label's caseless key has in a list of aliases, or its key without all but letters and digits; else null."""
+    known = F.create_map(*[F.lit(x) for kv in (aliases or {"\0": ""}).items() for x in kv])
+    key = fold_key(F.coalesce(value, F.lit("")))
+    return F.coalesce(F.try_element_at(known, key), F.try_element_at(known, F.regexp_replace(key, "[^a-z0-9]+", "")))
+
+
+def utc_now() -> Column:
+    """The query's time in UTC, ISO 8601."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.text import normal_space, path_parts
+
+#: Keys under which a file's records are found.
+WRAPPERS = ("documents", "data", "records", "examples", "instances")
+
+
+_WHERE = "_metadata.file_path"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, path) of every line that isn't blank; what isn't UTF-8 is replaced."""
+    return spark.read.text(path).select("value", F.col(_WHERE).alias("path")).where(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
+
+
+def _is_object(value: str) -> Column:
+    return F.coalesce(F.rlike(value, F.lit(r"^\s*\{")) & F.json_object_keys(F.col(value)).isNotNull(), F.lit(False))
+
 
 def strict_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One object a line; a bad line fails the read. Blank lines are skipped."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """One object a line; blank lines are skipped. A line that isn't an object, an array too, fails the read and is named by file and
+    line number, counted when the failure is known."""
+    lines = _lines(spark, path)
+    bad = lines.where(~_is_object("value")).limit(1).collect()
+    if bad:
+        numbered = spark.read.text(bad[0].path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")))
+        at = numbered.where(F.col("col") == bad[0].value).agg(F.min("pos")).first()[0]
+        raise ValueError(f"{bad[0].path}:{(at if at is not None else -1) + 1}: not a JSON object: {bad[0].value[:100]}")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -21,36 +46,81 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def tolerant_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Bad and torn lines are dropped; a missing file is an empty table. With file and line order columns left to latest()."""
+    """Lines that aren't objects, torn ones too, are dropped; an object whose member has another type stays, with null there.
+    A missing file is an empty table. With file and line order columns left to latest()."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    marked = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    return lines.select(F.from_json("value", marked, {"mode": "PERMISSIVE"}).alias("r")).where("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
+    return _lines(spark, path).where(_is_object("value")).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def first_record(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The first object of a file of JSON lines, at most one row."""
+    return _lines(spark, path).limit(1).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
-def json_records(spark: SparkSession, path: str, wrappers: Sequence[str] = ("documents", "data", "records", "examples", "instances")) -> DataFrame:
+def json_object(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """One object a file, over any number of lines."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def json_records(spark: SparkSession, path: str, wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
     """(record, error): each record of a file as JSON text, whether the file is an array, an object, an object that wraps an array, or
-    lines. Lines that don't parse come as errors."""
+    lines. Lines that don't parse come as errors, and so do records that aren't objects. Without wrappers an object is a record."""
     first = F.regexp_extract("value", r"^\s*([^\r\n]*)", 1)
     # several lines of which the first is an object by itself; the parser would be content with that one
     lined = F.rlike(F.trim("value"), F.lit(r"[\r\n]")) & F.rlike(first, F.lit(r"^\{.*\}\s*$")) & F.try_parse_json(first).isNotNull()
     whole = spark.read.text(path, wholetext=True).select("value", F.when(~lined, F.try_parse_json("value")).alias("v"))
-    inner = F.coalesce(*[F.expr(f"try_cast(try_variant_get(v, '$.{w}') as array<variant>)") for w in wrappers], F.expr("try_cast(v as array<variant>)"))
+    inner = F.coalesce(F.lit(None).cast("array<variant>"), *[F.expr(f"try_cast(try_variant_get(v, '$.{w}') as array<variant>)") for w in wrappers], F.expr("try_cast(v as array<variant>)"))
     parsed = whole.where("v is not null").select(F.explode(F.coalesce(inner, F.array("v"))).alias("r")).select(F.to_json("r").alias("record"), F.lit(None).cast("string").alias("error"))
     lines = whole.where("v is null").select(F.explode(F.split("value", "\r?\n")).alias("line")).where("trim(line) <> ''").select("line", F.expr("try_parse_json(line)").alias("v"))
     ok = F.expr("v is not null")
-    return parsed.unionByName(lines.select(F.when(ok, F.to_json("v")).alias("record"), F.when(~ok, F.col("line")).alias("error")))
+    found = parsed.unionByName(lines.select(F.when(ok, F.to_json("v")).alias("record"), F.when(~ok, F.col("line")).alias("error")))
+    plain = F.rlike("record", F.lit(r"^\{"))
+    return found.select(F.when(plain, F.col("record")).alias("record"), F.when(F.col("error").isNull() & ~plain, F.col("record")).otherwise(F.col("error")).alias("error"))
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def csv_strings(spark: SparkSession, path: str) -> DataFrame:
+def csv_strings(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
+    """All columns as strings; a missing file is an empty table of the given columns."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]))
     return spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def text_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): whole files with their white space collapsed."""
+    return spark.read.text(path, wholetext=True).select(F.col(_WHERE).alias("path"), normal_space(F.col("value")).alias("text"))
+
+
+def split_sources(spark: SparkSession, files: Mapping[tuple[str, str], str], schema: StructType) -> DataFrame:
+    """Files of JSON lines by (dataset, split), as one table with these two columns."""
+    parts = [tolerant_jsonl(spark, path, schema).withColumns({"dataset": F.lit(d), "split": F.lit(s)}) for (d, s), path in files.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, dir, name) of the files below root, listed without their contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")
+    return files.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+
+
+def scored_directory(spark: SparkSession, root: str, stems: Sequence[str] = ("train", "dev", "test"), pattern: str = "*.json*", favoured: Sequence[str] = ()) -> DataFrame:
+    """(dir, score): the directory that holds a file of every stem; more of the favoured path parts are better, then the last name."""
+    files = listed(spark, root, pattern).withColumn("stem", F.regexp_extract(F.lower("name"), r"^([^.]*)", 1))
+    dirs = files.groupBy("dir").agg(F.collect_set("stem").alias("stems"))
+    score = F.size(F.array_intersect(path_parts(F.col("dir")), F.array(*map(F.lit, favoured)).cast("array<string>")))
+    return dirs.where(F.size(F.array_except(F.array(*map(F.lit, stems)), "stems")) == 0).select("dir", score.alias("score")).orderBy(F.desc("score"), F.desc("dir")).limit(1)
+
+
+def discovered(spark: SparkSession, root: str, extensions: Sequence[str], parts: Sequence[str] = ()) -> DataFrame:
+    """(path, extension): the files with one of the extensions, and with one of the path parts where any are given."""
+    files = listed(spark, root).withColumn("extension", F.regexp_extract(F.lower("name"), r"(\.[^.]*)$", 1)).where(F.col("extension").isin(*extensions))
+    return (files.where(F.arrays_overlap(path_parts(F.col("path")), F.array(*map(F.lit, parts)))) if parts else files).select("path", "extension")
+
+
 def token_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, tokens): one token a line, empty lines at the end dropped."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"(\r?\n)+$", "").alias("value"))
@@ -59,10 +129,9 @@ def token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def best_directory(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """The directory below root with the most files of a pattern; of equals the last by name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")
-    return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.count("*").alias("files")).orderBy(F.desc("files"), F.desc("dir")).limit(1)
+    return listed(spark, root, pattern).groupBy("dir").agg(F.count("*").alias("files")).orderBy(F.desc("files"), F.desc("dir")).limit(1)
 
 
 def partitioned_log(spark: SparkSession, glob: str, schema: StructType | str) -> DataFrame:
     """A log of several files with its file's path, the order key of latest()."""
-    return spark.read.schema(schema).json(glob).select("*", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.schema(schema).json(glob).select("*", F.col("_metadata.file_path").alias("file_path"), (F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.monotonically_increasing_id() % F.lit(1 << 33)).alias("line"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,8 +22,17 @@ def csv(df: DataFrame, path: str, fields: Sequence[str] | None = None) -> None:
     (df.select(*fields) if fields else df).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def csv_union(tables: Sequence[DataFrame], path: str) -> list[str]:
+    """Tables of unlike columns as one CSV with all columns, in the order in which they first occur; what a table lacks is empty."""
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    csv(whole, path)
+    return whole.columns
+
+
 def by_split(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("split").json(path)
+    """A folder for each split below path/split, and the whole table in path/all."""
+    df.write.mode("overwrite").partitionBy("split").json(f"{path}/split")
+    df.write.mode("overwrite").json(f"{path}/all")
 
 
 def summary(df: DataFrame, path: str) -> None:
@@ -35,3 +46,23 @@ def merged_summary(old: dict | None, new: dict, lists: Sequence[str] = ()) -> di
     for k, v in new.items():
         out[k] = [*dict.fromkeys([*(out.get(k) or []), *v])] if k in lists else v
     return out
+
+
+def update_summary(spark: SparkSession, path: str, new: dict, lists: Sequence[str] = ()) -> dict:
+    """Reads the summary file at path, if it is there and sound, merges, and writes it again; a driver's job, by Hadoop's file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = None
+    if fs.exists(p):
+        try:
+            old = json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
+        except ValueError:
+            pass
+    merged = merged_summary(old, new, lists)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(json.dumps(merged, ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
+    return merged

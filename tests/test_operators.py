@@ -53,7 +53,7 @@ def test_validation(spark):
 
 def test_arrays(spark):
     assert one(spark, nested.dedupe_caseless(F.col("a")), a=["b", "A", "a", "B"]) == ["A", "b"]
-    assert one(spark, nested.labels_from_lines(F.col("a")), a="1\n x\n 2 \n-3\n4.5") == [1, 2, -3]
+    assert one(spark, nested.labels_from_lines(F.col("a")), a="1\n x\n 2 \n-3\n4.5\n12345678901") == [1, 2, -3, 12345678901]
     assert one(spark, nested.binary_labels(F.col("a")), a="1 0 10 1.0 0") == [1, 0, 0]
     assert one(spark, nested.positive_runs(F.col("a")), a=[0, 1, 1, 2, 2, 0, 1]) == 2
 
@@ -112,7 +112,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "torn.jsonl").write_text('{"id": "a"}\n{"id": "b"\n')
     assert readers.tolerant_jsonl(spark, f"{tmp_path}/torn.jsonl", df.select("id").schema).count() == 1
     assert readers.tolerant_jsonl(spark, f"{tmp_path}/none*.jsonl", df.schema).count() == 0
-    with pytest.raises(Exception, match="(?i)malformed|parse"):
+    with pytest.raises(Exception, match="torn.jsonl:2: not a JSON object"):
         readers.strict_jsonl(spark, f"{tmp_path}/torn.jsonl", df.select("id").schema).collect()
     for name, body, want in (("w.json", '{"data": [{"a": 1}, {"a": 2}]}', 2), ("a.json", '[{"a": 1}]', 1), ("l.json", '{"a": 1}\n\nbad\n{"a": 2}\n', 3)):
         (tmp_path / name).write_text(body)
