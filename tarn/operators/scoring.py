@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, tokens
+from ..functions import nested
+from ..functions.text import fold_key, jaccard, tokens
 
 
 def prf(tp: str, pred: str, gold: str) -> list[Column]:
@@ -46,3 +47,50 @@ def partial_f1(pred: DataFrame, gold: DataFrame, key: str, threshold: float = 0.
     sizes = p.groupBy(key).agg(F.count("*").alias("predicted")).join(g.groupBy(key).agg(F.count("*").alias("gold")), key, "full")
     full = sizes.join(matched, key, "left").na.fill(0, ["predicted", "gold", "tp"])
     return full.select(key, "tp", "predicted", "gold", *prf("tp", "predicted", "gold"))
+
+
+def with_gold(predictions: DataFrame, gold: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join with the gold records, whose keys have to be unique and to cover every prediction; else the query fails, naming a key."""
+    named = F.concat_ws("|", *[F.col(f"p.{k}").cast("string") for k in keys])
+    once = gold.groupBy(*keys).agg(F.count("*").alias("_times"), F.first(F.struct(*[c for c in gold.columns if c not in keys])).alias("_gold"))
+    on = [F.col(f"p.{k}") == F.col(f"g.{k}") for k in keys]
+    met = predictions.alias("p").join(once.alias("g"), on, "left")
+    wrong = F.when(F.col("_times").isNull(), F.raise_error(F.concat(F.lit("no gold record for "), named))).when(F.col("_times") > 1, F.raise_error(F.concat(F.lit("several gold records for "), named)))
+    return met.withColumn("_times", F.coalesce(wrong.cast("long"), F.col("_times"))).where("_times = 1").select("p.*", "_gold.*")
+
+
+def tuple_scores(rows: DataFrame, key: str, pred: str, gold: str, prefix: str) -> DataFrame:
+    """multiset_f1 of two arrays of structs by row: key, prefix_precision, prefix_recall, prefix_f1."""
+    items = lambda c: rows.select(key, F.explode(c).alias("item"))
+    q = multiset_f1(items(pred), items(gold), [key], "item")
+    return q.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in ("precision", "recall", "f1")])
+
+
+def partial_scores(rows: DataFrame, key: str, pred: str, gold: str, prefix: str) -> DataFrame:
+    """partial_f1 of two arrays of structs (text, type) by row."""
+    items = lambda c: rows.select(key, F.posexplode(c).alias("pos", "e")).select(key, "pos", F.col("e.type").alias("type"), F.col("e.text").alias("text"))
+    q = partial_f1(items(pred), items(gold), key)
+    return q.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in ("precision", "recall", "f1")])
+
+
+def job_metrics(predictions: DataFrame, jobs: DataFrame, gold: DataFrame, keys: Sequence[str] = ("dataset", "split", "record_id")) -> DataFrame:
+    """The scoring table: the latest predictions (job_id, parsed_output as JSON text, and measurements) of known jobs against gold records
+    (keys, input_text, gold_output as JSON text).
+
+    Entities and relations are compared as caseless tuples with their number, entities also one to one with similar tokens;
+    an entity is unsupported if the input doesn't contain it; both sides empty are perfect. Rows of the result have the jobs' and predictions'
+    columns without the JSON."""
+    met = with_gold(predictions.join(jobs, "job_id"), gold, keys)
+    rows = met.withColumns({
+        "_pe": nested.entity_tuples(F.col("parsed_output")), "_ge": nested.entity_tuples(F.col("gold_output")),
+        "_pr": nested.relation_tuples(F.col("parsed_output")), "_gr": nested.relation_tuples(F.col("gold_output"), gold=True),
+        "_in": fold_key(F.col("input_text")),
+    })
+    unsupported = F.size(F.filter("_pe", lambda e: ~F.contains(F.col("_in"), e["text"])))
+    n = lambda c: F.size(c).cast("long")
+    plain = rows.select(*[c for c in met.columns if c not in ("parsed_output", "gold_output", "input_text")], n("_pe").alias("predicted_entities"), n("_ge").alias("gold_entities"), n("_pr").alias("predicted_relations"), n("_gr").alias("gold_relations"), unsupported.cast("long").alias("unsupported_entities"), F.coalesce(unsupported / F.nullif(F.size("_pe"), F.lit(0)), F.lit(0.0)).alias("hallucinated_entity_rate"))
+    out = plain
+    for part, prefix in ((tuple_scores(rows, "job_id", "_pe", "_ge", "entity_exact"), "entity_exact"), (partial_scores(rows, "job_id", "_pe", "_ge", "entity_partial"), "entity_partial"), (tuple_scores(rows, "job_id", "_pr", "_gr", "relation_exact"), "relation_exact")):
+        names = [f"{prefix}_{c}" for c in ("precision", "recall", "f1")]
+        out = out.join(part, "job_id", "left").withColumns({c: F.coalesce(c, F.lit(1.0)) for c in names})  # no items on either side
+    return out.withColumn("relation_f1_applicable", (F.col("predicted_relations") > 0) | (F.col("gold_relations") > 0))

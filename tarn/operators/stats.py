@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.text import seed32
+
 
 def summary(value: str, prefix: str = "") -> list[Column]:
     """n, mean, median, sample deviation (0 for one row), p90, p95 and maximum; nulls don't count, nothing gives nulls."""
@@ -19,19 +22,54 @@ def summary(value: str, prefix: str = "") -> list[Column]:
     return [c.alias(prefix + n) for n, c in cols]
 
 
-def bootstrap_mean(values: DataFrame, keys: Sequence[str], value: str, draws: int = 2000) -> DataFrame:
-    """mean, ci_low and ci_high by keys, the same in every run and engine: draw j of iteration i takes the row whose
-    rank, by value, is a hash of (keys, i, j). Rows meet draws in an equi-join on keys and rank. The reference draws
-    2000 samples for scores, the default, and 5000 for dropout and drift."""
-    ranks = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
-    rows = values.where(F.col(value).isNotNull()).select(*keys, value, ranks.cast("long").alias("at"))
-    size = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("i").cast("string"), F.col("j").cast("string"))
-    hashed = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    drawn = size.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("i")).select(*keys, "n", "i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("j")).withColumn("at", hashed % F.col("n"))
-    met = drawn.join(rows, [*keys, "at"]).groupBy(*keys, "i").agg(F.avg(value).alias("m"))
-    ci = met.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
-    return size.join(ci, list(keys))
+PRIME = 2147483647  # of the draws' arithmetic, which fits into a long and is the same in every engine
+
+
+def draw(seed: Column, i: Column, j: Column, n: Column) -> Column:
+    """The place, of n, that draw j of iteration i takes. Two rounds of x ** 5 modulo a prime, a permutation, scramble (seed, i, j)."""
+
+    def fifth(x: Column) -> Column:
+        two = x * x % PRIME
+        return two * two % PRIME * x % PRIME
+
+    x = fifth((seed + i * 1000003 + j * 7919 + 12345) % PRIME)
+    return fifth((x + i * 31 + j * 17 + 1) % PRIME) % n
+
+
+def bootstrap_mean(values: DataFrame, keys: Sequence[str], value: str, draws: int = 2000, most: int = 20_000, most_all: int = 2_000_000) -> DataFrame:
+    """n, mean, ci_low and ci_high by keys, the same in every run and engine: draw j of iteration i takes the row at place draw(seed of the
+    keys, i, j) of the values in order. The reference draws 2000 samples for scores, the default, and 5000 for dropout and drift.
+
+    Only means of samples are shuffled: where a key has at most `most` values, and all such keys together at most `most_all`, their values
+    are broadcast as arrays and each task makes whole samples; other keys' values meet their draws in an equi-join on keys and place."""
+    ok = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, value)
+    seed = seed32(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]) if keys else F.lit(1).cast("long")
+    size = ok.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    total = size.where(F.col("n") <= most).agg(F.sum("n")).first()[0] or 0
+    limit = most if total <= most_all else 0
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    rounds = F.sequence(F.lit(0), F.lit(draws - 1))
+    parts = []
+    if total:
+        spark = values.sparkSession
+        lists = ok.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("v")).where(F.size("v") <= limit).withColumn("seed", seed)
+        each = spark.range(0, draws, 1, max(1, min(draws, spark.sparkContext.defaultParallelism))).select(F.col("id").alias("i")).join(F.broadcast(lists))
+        drawn = each.select(*keys, "i", "v", "seed", F.size("v").cast("long").alias("n"), F.explode(F.sequence(F.lit(0), F.size("v") - 1)).alias("j"))
+        drawn = drawn.select(*keys, "i", F.get("v", draw(F.col("seed"), F.col("i"), F.col("j").cast("long"), F.col("n")).cast("int")).alias("x"))
+        parts.append(drawn.groupBy(*keys, "i").agg(F.avg("x").alias("m")))
+    large = size.where(F.col("n") > limit)
+    if not large.isEmpty():
+        ranks = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
+        rows = ok.withColumn("at", ranks.cast("long")).alias("r")
+        drawn = large.withColumn("seed", seed).select(*keys, "n", "seed", F.explode(rounds).cast("long").alias("i")).select(*keys, "n", "seed", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+        drawn = drawn.withColumn("at", draw(F.col("seed"), F.col("i"), F.col("j"), F.col("n"))).alias("d")
+        met = drawn.join(rows, (F.col("d.at") == F.col("r.at")) & same("d", "r")).select(*[F.col(f"d.{k}").alias(k) for k in keys], "i", F.col(f"r.{value}").alias("x"))
+        parts.append(met.groupBy(*keys, "i").agg(F.avg("x").alias("m")))
+    if not parts:
+        return size.withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double")})
+    means = reduce(lambda a, b: a.unionByName(b), parts)
+    ci = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
+    return size.alias("s").join(ci.alias("c"), same("s", "c")).select(*[F.col(f"s.{k}").alias(k) for k in keys], "n", "mean", "ci_low", "ci_high")
 
 
 def holm(rows: DataFrame, p: str, family: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
@@ -57,9 +95,11 @@ def mcnemar(b: str, c: str) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-def average_rank(partition: Sequence[str], value: str) -> Column:
-    w = Window.partitionBy(*partition)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2
+def average_ranks(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, rank): the average rank of each value that occurs, from grouped counts, so only distinct values are sorted."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2).drop("c")
 
 
 @F.pandas_udf(DoubleType())
@@ -83,18 +123,126 @@ def wilcoxon_p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
 
 
 def wilcoxon(pairs: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
-    """By keys, over right - left: pairs, n (differences other than 0), w, p, sign_effect and rank_biserial."""
-    d = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).withColumn("d", F.col(right) - F.col(left)).withColumn("a", F.abs("d"))
-    ranked = d.where("d <> 0").withColumn("r", average_rank(keys, "a")).withColumn("t", F.count("*").over(Window.partitionBy(*keys, "a")))
-    s = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"), F.sum((F.col("d") > 0).cast("int")).alias("pos"), F.sum((F.col("d") < 0).cast("int")).alias("neg"), F.sum((F.col("t") * F.col("t") - 1).cast("double")).alias("ties"))
-    full = d.groupBy(*keys).agg(F.count("*").alias("pairs")).join(s, list(keys), "left").na.fill(0)
+    """By keys, over right - left: pairs, n (differences other than 0), w, p, sign_effect and rank_biserial. Ranks come from how often
+    each size of difference occurs, so a key's pairs are combined before they are sorted."""
+    good = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    d = pairs.where(good(left) & good(right)).withColumn("d", (F.col(right) - F.col(left)).cast("double")).withColumn("a", F.abs("d"))
+    counts = d.groupBy(*keys, "a").agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("pos"), F.count_if(F.col("d") < 0).alias("neg"))
+    other = F.col("a") > 0
+    before = F.sum(F.when(other, F.col("c")).otherwise(0)).over(Window.partitionBy(*keys).orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+    r = F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2
+    ranked = counts.withColumn("r", r)
+    total = lambda c: F.coalesce(F.sum(F.when(other, c)), F.lit(0))
+    c = F.col("c").cast("double")
+    full = ranked.groupBy(*keys).agg(F.sum("c").alias("pairs"), total(F.col("c")).alias("n"), total(F.col("pos") * F.col("r")).alias("up"), total(F.col("neg") * F.col("r")).alias("down"), total(F.col("pos")).alias("pos"), total(F.col("neg")).alias("neg"), total(c * c * c - c).alias("ties"))
     w = F.least("up", "down")
     return full.select(*keys, "pairs", "n", w.alias("w"), wilcoxon_p(w, F.col("n"), F.col("ties")).alias("p"), ((F.col("pos") - F.col("neg")) / F.greatest(F.col("n"), F.lit(1))).alias("sign_effect"), F.coalesce((F.col("up") - F.col("down")) / F.nullif(F.col("up") + F.col("down"), F.lit(0.0)), F.lit(0.0)).alias("rank_biserial"))
 
 
+def _finite(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
+@F.pandas_udf(DoubleType())
+def correlation_p(rho: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p of a rank correlation by Student's t with n - 2 degrees of freedom."""
+
+    def beta(a: float, b: float, x: float) -> float:
+        """The regularised incomplete beta function, by its continued fraction."""
+        if x in (0.0, 1.0):
+            return x
+        if x > (a + 1) / (a + b + 2):
+            return 1 - beta(b, a, 1 - x)
+        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+        c, d, h, tiny = 1.0, 1 - (a + b) * x / (a + 1), 0.0, 1e-300
+        d = 1 / (d or tiny)
+        h = d
+        for m in range(1, 500):
+            for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / ((1 + t * d) or tiny)
+                c = (1 + t / c) or tiny
+                h *= d * c
+            if abs(d * c - 1) < 1e-15:
+                break
+        return front * h
+
+    def one(r, n):
+        if r != r or n < 3:
+            return None
+        return 0.0 if abs(r) >= 1 else beta((n - 2) / 2, 0.5, 1 - r * r)
+
+    return pd.Series([one(*x) for x in zip(rho, n)], dtype="float64")
+
+
 def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 4) -> DataFrame:
-    """Rank correlation by keys, n and rho; null where a side has fewer than two values. Groups of fewer than `least` pairs go."""
-    ok = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    ranked = ok.withColumn("rx", average_rank(keys, x)).withColumn("ry", average_rank(keys, y))
-    two = (F.count_distinct(x) > 1) & (F.count_distinct(y) > 1)
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(two, F.corr("rx", "ry")).alias("rho")).where(F.col("n") >= least)
+    """Rank correlation by keys, n, rho and p; null where a side has fewer than two values. Pairs with a null, NaN or infinite side don't
+    count; groups of fewer than `least` pairs go."""
+    ok = rows.where(_finite(x) & _finite(y)).groupBy(*keys, x, y).agg(F.count("*").alias("c"))
+    weighted = lambda v: ok.groupBy(*keys, v).agg(F.sum("c").alias("c"))
+
+    def ranks(v: str, name: str) -> DataFrame:
+        before = F.sum("c").over(Window.partitionBy(*keys).orderBy(v).rowsBetween(Window.unboundedPreceding, -1))
+        return weighted(v).select(*keys, v, (F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2).alias(name))
+
+    on = lambda v: reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, v]])
+    first = ok.alias("l").join(ranks(x, "rx").alias("r"), on(x)).select("l.*", "rx")
+    both = first.alias("l").join(ranks(y, "ry").alias("r"), on(y)).select("l.*", "ry")
+    n, sx, sy = F.sum("c").cast("double"), F.sum(F.col("c") * F.col("rx")), F.sum(F.col("c") * F.col("ry"))
+    sxy = F.sum(F.col("c") * F.col("rx") * F.col("ry"))
+    sxx, syy = F.sum(F.col("c") * F.col("rx") * F.col("rx")), F.sum(F.col("c") * F.col("ry") * F.col("ry"))
+    spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+    two = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    rho = F.when(two, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (n * sxy - sx * sy) / spread)))
+    out = both.groupBy(*keys).agg(F.sum("c").alias("n"), rho.alias("rho")).where(F.col("n") >= least)
+    return out.withColumn("p", F.when(F.col("rho").isNotNull(), correlation_p("rho", "n")))
+
+
+def correlations(rows: DataFrame, x: str, targets: Sequence[str], groupings: Sequence[Sequence[str]]) -> DataFrame:
+    """Rank correlations of x with each target under each grouping, with p adjusted within (grouping, target): columns grouping, all the
+    grouping keys, null where not grouped by, target, n, rho, p, p_holm, significant (0 where there is no p)."""
+    names = [*dict.fromkeys(k for g in groupings for k in g)]
+    long = rows.select(*names, F.col(x).cast("double").alias("x"), F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])).alias("t")).select(*names, "x", "t.*")
+    parts = []
+    for g in groupings:
+        own = spearman(long, [*g, "target"], "x", "y")
+        parts.append(own.select(F.lit("+".join(g) or "all").alias("grouping"), *[F.col(k) if k in g else F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in names], "target", "n", "rho", "p"))
+    return holm(reduce(lambda a, b: a.unionByName(b), parts), "p", ["grouping", "target"], names).withColumn("significant", F.coalesce("significant", F.lit(0)))
+
+
+def by_level(rows: DataFrame, keys: Sequence[str], level: str, pairs: Sequence[tuple[str, str]], metrics: Sequence[str]) -> DataFrame:
+    """(keys, left_level, right_level, metric, left, right): the last value of each metric at both levels of each pair of a row's key; equal
+    keys are rows to pair. One grouped pivot for all levels and metrics, no self-join."""
+    levels = [*dict.fromkeys(x for p in pairs for x in p)]
+    wide = rows.where(F.col(level).isin(*levels)).groupBy(*keys).agg(*[F.max(F.when(F.col(level) == v, F.col(m).cast("double"))).alias(f"{m}__{v}") for m in metrics for v in levels])
+    each = F.array(*[F.struct(F.lit(a).alias("left_level"), F.lit(b).alias("right_level"), F.lit(m).alias("metric"), F.col(f"{m}__{a}").alias("left"), F.col(f"{m}__{b}").alias("right")) for a, b in pairs for m in metrics])
+    return wide.select(*keys, F.explode(each).alias("t")).select(*keys, "t.*").where("left is not null and right is not null")
+
+
+def paired_continuous(rows: DataFrame, groups: Sequence[str], unit: Sequence[str], level: str, pairs: Sequence[tuple[str, str]], metrics: Sequence[str]) -> DataFrame:
+    """A signed-rank test for each group, pair of levels and metric, over units; p adjusted as one family."""
+    by = [*groups, "left_level", "right_level", "metric"]
+    return holm(wilcoxon(by_level(rows, [*groups, *unit], level, pairs, metrics), by, "left", "right"), "p", order=by)
+
+
+def paired_binary(rows: DataFrame, groups: Sequence[str], unit: Sequence[str], level: str, pairs: Sequence[tuple[str, str]], metrics: Sequence[str]) -> DataFrame:
+    """Exact McNemar tests of 0/1 metrics, with pairs, b (1 to 0), c (0 to 1), and p adjusted as one family."""
+    by = [*groups, "left_level", "right_level", "metric"]
+    t = by_level(rows, [*groups, *unit], level, pairs, metrics).groupBy(*by).agg(F.count("*").alias("pairs"), F.count_if((F.col("left") == 1) & (F.col("right") == 0)).alias("b"), F.count_if((F.col("left") == 0) & (F.col("right") == 1)).alias("c"))
+    return holm(t.withColumn("p", mcnemar("b", "c")), "p", order=by)
+
+
+def summaries(rows: DataFrame, groupings: Sequence[Sequence[str]], metrics: Sequence[str], draws: int = 2000) -> DataFrame:
+    """By each grouping, pooled rows: documents and of every metric n, mean, median, std, p90, p95, max, ci_low, ci_high; in long form, with
+    null keys where not grouped by. Nulls don't count."""
+    names = [*dict.fromkeys(k for g in groupings for k in g)]
+    long = rows.select(*names, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("t")).select(*names, "t.*")
+    parts = []
+    for g in groupings:
+        by = [*g, "metric"]
+        some = long.groupBy(*by).agg(F.count("*").alias("documents"), *summary("value"))
+        ci = bootstrap_mean(long, by, "value", draws).select(*[F.col(k).alias(f"c_{k}") for k in by], "ci_low", "ci_high")
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in by])
+        met = some.join(ci, on, "left").drop(*[f"c_{k}" for k in by])
+        parts.append(met.select(F.lit("+".join(g) or "all").alias("grouping"), *[F.col(k) if k in g else F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in names], *[c for c in met.columns if c not in names]))
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import nested, text
-from ..operators import compaction, drift, sampling, scoring, stats
+from ..operators import compaction, corpus, drift, sampling, scoring, stats
 from ..streaming import log
+from .oracles import bootstrap_sql, exact_p_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,11 +61,11 @@ def text_ids_and_seeds(spark, d):
     return t(spark, d, "documents").select("doc_id", text.short_id(F.col("lang"), F.col("source"), i).alias("short_id"), text.seed32(F.col("lang"), i).alias("seed"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '(\\d{2,})', 1) AS long_id, CASE WHEN contains(url, ':') THEN regexp_extract(url, '^(.*):([^:]*)$', 1) ELSE url END AS head,
-CASE WHEN contains(url, ':') THEN regexp_extract(url, '^(.*):([^:]*)$', 2) END AS tail FROM pages WHERE regexp_matches(url, '\\d{2,}')""".replace("\\\\", "\\"))
+@query("""SELECT page_id, nullif(regexp_extract(url, '(\\d{2,})', 1), '') AS long_id, CASE WHEN contains(url, ':') THEN regexp_extract(url, '^(.*):([^:]*)$', 1) ELSE url END AS head,
+CASE WHEN contains(url, ':') THEN regexp_extract(url, '^(.*):([^:]*)$', 2) END AS tail FROM pages""".replace("\\\\", "\\"))
 def text_url_parts(spark, d):
     e = text.typed_entity(F.col("url"))
-    return t(spark, d, "pages").select("page_id", text.leading_id(F.col("url"), 2, anywhere=True).alias("long_id"), e["text"].alias("head"), e["type"].alias("tail")).where("long_id is not null")
+    return t(spark, d, "pages").select("page_id", text.leading_id(F.col("url"), 2, anywhere=True).alias("long_id"), e["text"].alias("head"), e["type"].alias("tail"))
 
 
 @query("""SELECT doc_id, round_even(n_chars / 7.0, 0) AS even FROM documents""")
@@ -89,11 +90,12 @@ def json_props(spark, d):
     return t(spark, d, "events").select("event_id", k.alias("k"), F.expr("size(json_object_keys(props))").alias("n_keys"), F.expr("json_object_keys(props)[0]").alias("first_key"))
 
 
-@query()
+@query("""SELECT conv_id, turn, text AS entity, role AS kind, '{' AS opens, true AS json_valid, true AS exact_keys, true AS entities_valid, true AS relations_valid, true AS schema_valid FROM conversations""")
 def json_extraction_and_validation(spark, d):
-    made = t(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Answer:\n```json\n"), F.to_json(F.struct(F.array(F.struct("text", F.col("role").alias("type"))).alias("entities"), F.expr("cast(array() as array<string>)").alias("relations"))), F.lit("\n``` done")).alias("raw"))
-    parsed = made.withColumn("parsed", nested.extract_object("raw"))
-    return parsed.select("conv_id", "turn", "parsed", nested.validation("parsed").alias("v")).select("conv_id", "turn", "parsed", "v.*")
+    made = t(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Answer {not json}:\n```json\n"), F.to_json(F.struct(F.array(F.struct("text", F.col("role").alias("type"))).alias("entities"), F.expr("cast(array() as array<string>)").alias("relations"))), F.lit("\n``` done")).alias("raw"))
+    parsed = made.withColumn("found", nested.extract_object_and_text("raw")).select("conv_id", "turn", "found.object", "found.source")
+    first = F.from_json("object", "entities array<struct<text: string, type: string>>")["entities"][0]
+    return parsed.select("conv_id", "turn", first["text"].alias("entity"), first["type"].alias("kind"), F.substring("source", 1, 1).alias("opens"), nested.validation("object").alias("v")).select("conv_id", "turn", "entity", "kind", "opens", "v.*")
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
@@ -172,13 +174,9 @@ def value_summary(spark, d):
     return q.select("event_type", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "median", "std", "p90", "p95", "max")])
 
 
-@query("""WITH v AS (SELECT p_brand, p_retailprice AS x FROM part), s AS (SELECT p_brand, count(*) AS n, avg(x) AS mean FROM v GROUP BY 1),
-r AS (SELECT p_brand, x, row_number() OVER (PARTITION BY p_brand ORDER BY x) - 1 AS k FROM v),
-d AS (SELECT p_brand, i.i, ('0x' || substr(md5(p_brand || '|' || i.i || '|' || j.j), 1, 8))::bigint % n AS k FROM s, range(200) i(i), LATERAL (SELECT unnest(range(n)) AS j) j),
-m AS (SELECT p_brand, i, avg(x) AS m FROM d JOIN r USING (p_brand, k) GROUP BY 1, 2)
-SELECT p_brand, any_value(n) AS n, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m JOIN s USING (p_brand) GROUP BY 1""")
+@query("WITH src AS (SELECT p_brand, p_retailprice AS value FROM part)" + bootstrap_sql(["p_brand"], "src", "value", 2000) + """ SELECT p_brand, n, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM s JOIN ci USING (p_brand)""")
 def bootstrap_by_brand(spark, d):
-    q = stats.bootstrap_mean(t(spark, d, "part").select("p_brand", F.col("p_retailprice").alias("x")), ["p_brand"], "x", draws=200)  # as its SQL; the operator's default is the reference's 2000
+    q = stats.bootstrap_mean(t(spark, d, "part").select("p_brand", F.col("p_retailprice").alias("x")), ["p_brand"], "x")
     return q.select("p_brand", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
@@ -228,7 +226,7 @@ def quartile_sample(spark, d):
 @query("""WITH r AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) / count(*) OVER (PARTITION BY lang) AS q FROM documents)
 SELECT doc_id, lang, CASE WHEN q <= 1 / 3 THEN 'short' WHEN q <= 2 / 3 THEN 'medium' ELSE 'long' END AS bucket FROM r""")
 def length_buckets(spark, d):
-    return t(spark, d, "documents").select("doc_id", "lang", sampling.length_bucket("n_chars", ["lang"], "doc_id").alias("bucket"))
+    return sampling.length_buckets(t(spark, d, "documents").select("doc_id", "lang", "n_chars"), "n_chars", ["lang"], "doc_id").drop("n_chars")
 
 
 @query("""WITH b AS (SELECT p_type, p_size, max(p_retailprice) AS y FROM part GROUP BY 1, 2), w AS (SELECT *, max(y) OVER (PARTITION BY p_type ORDER BY p_size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM b)
@@ -281,10 +279,15 @@ def wilcoxon_statistic(spark, d):
     return q.select("k", "pairs", "n", F.round("w", 4).alias("w"), r6(F.col("sign_effect")).alias("sign_effect"), r6(F.col("rank_biserial")).alias("rank_biserial"))
 
 
-@query()
+_W = """, d AS (SELECT user_id % 5 AS k, b - a AS d FROM v WHERE a IS NOT NULL AND b IS NOT NULL), r AS (SELECT k, d, rank() OVER (PARTITION BY k ORDER BY abs(d)) + (count(*) OVER (PARTITION BY k, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY k, abs(d)) AS c FROM d WHERE d <> 0),
+s AS (SELECT k, count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w, sum(c * c - 1) AS ties FROM r GROUP BY 1), tests AS (SELECT *, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s)"""
+
+
+@query(_PAIRS.replace("WITH", "WITH RECURSIVE") + _W + exact_p_sql("tests") + """, h AS (SELECT *, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, k) + 1)) AS raw FROM p)
+SELECT k, n, round(w, 4)::double AS w, round(p, 6)::double AS p, round(max(raw) OVER (ORDER BY p, k ROWS UNBOUNDED PRECEDING), 6)::double AS p_holm, (max(raw) OVER (ORDER BY p, k ROWS UNBOUNDED PRECEDING) < 0.05)::int AS significant FROM h""")
 def wilcoxon_p_values(spark, d):
     q = stats.wilcoxon(_pairs(spark, d).withColumn("k", F.col("user_id") % 5), ["k"], "a", "b")
-    return stats.holm(q, "p", order=["k"]).select("k", "n", "w", "p", "p_holm", "significant")
+    return stats.holm(q, "p", order=["k"]).select("k", "n", F.round("w", 4).alias("w"), r6(F.col("p")).alias("p"), r6(F.col("p_holm")).alias("p_holm"), "significant")
 
 
 @query(_PAIRS + """, c AS (SELECT user_id % 20 AS k, count(*) FILTER (c = 1 AND e = 0) AS b, count(*) FILTER (c = 0 AND e = 1) AS c FROM v GROUP BY 1),
@@ -334,13 +337,15 @@ def label_inventory(spark, d):
     return t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
 
 
-@query("""WITH c AS (SELECT lang, count(*) AS actual FROM documents GROUP BY 1), e(lang, expected) AS (VALUES ('de', 129), ('en', 1), ('xx', 3))
-SELECT lang, expected, coalesce(actual, 0) AS actual, CASE WHEN coalesce(actual, 0) >= expected THEN 'PASS' ELSE 'WARN' END AS status FROM e LEFT JOIN c USING (lang)""")
+@query("""WITH a AS (SELECT lang, unnest([{'check': 'documents', 'value': count(*)}, {'check': 'labelled', 'value': count(quality)}, {'check': 'chars', 'value': sum(n_chars)::bigint}], recursive := true) FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang),
+e AS (SELECT lang, "check", CASE "check" WHEN 'documents' THEN value WHEN 'labelled' THEN value + 1 ELSE value * 3 END AS expected FROM a UNION ALL SELECT 'none', 'documents', 3)
+SELECT e.lang, e."check", expected, coalesce(value, 0) AS actual, CASE WHEN coalesce(value, 0) = expected THEN 'PASS' WHEN coalesce(value, 0) < expected * 0.5 THEN 'FAIL' ELSE 'WARN' END AS status FROM e LEFT JOIN a ON a.lang IS NOT DISTINCT FROM e.lang AND a."check" = e."check\"""".replace('check\\"', 'check"'))
 def validation_report(spark, d):
-    e = spark.createDataFrame([("de", 129), ("en", 1), ("xx", 3)], "lang string, expected int")
-    c = t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("actual"))
-    n = F.coalesce("actual", F.lit(0))
-    return e.join(c, "lang", "left").select("lang", "expected", n.alias("actual"), F.when(n >= F.col("expected"), "PASS").otherwise("WARN").alias("status"))
+    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
+    actual = corpus.counted_checks(rows, ["lang"], {"documents": F.count("*"), "labelled": F.count("quality"), "chars": F.sum("n_chars")})
+    want = F.when(F.col("check") == "documents", F.col("value")).when(F.col("check") == "labelled", F.col("value") + 1).otherwise(F.col("value") * 3)
+    expected = actual.select("lang", "check", want.alias("value")).unionByName(spark.createDataFrame([("none", "documents", 3)], "lang string, check string, value long"))
+    return corpus.audited(actual, expected, ["lang"])
 
 
 @query("""WITH l AS (SELECT conv_id, turn, role, contains(lower(text), 'the') AS p FROM conversations), n AS (SELECT a.conv_id, a.p AS before, b.p AS after FROM l a JOIN l b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
@@ -365,10 +370,13 @@ def statistic_matrix(spark, d):
     return t(spark, d, "part").withColumn("b", size).groupBy("p_type").pivot("b", ["small", "middle", "large"]).agg(F.round(F.avg("p_retailprice"), 4))
 
 
-@query()
+@query(rf"""WITH RECURSIVE i AS (SELECT doc_id AS id, len(list_filter(string_split({SPACED}, ' '), lambda x: x <> '')) AS size, CASE WHEN lang = 'en' THEN 900 ELSE 1200 END AS new FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY new ORDER BY size, id) AS k FROM i), b AS (SELECT id, size, new, k, 0 AS batch, 1 AS n FROM o WHERE k = 1 UNION ALL
+ SELECT o.id, o.size, o.new, o.k, CASE WHEN n + 1 > 8 OR (o.size + o.new) * (n + 1) > 7000 THEN batch + 1 ELSE batch END, CASE WHEN n + 1 > 8 OR (o.size + o.new) * (n + 1) > 7000 THEN 1 ELSE n + 1 END FROM b JOIN o ON o.new = b.new AND o.k = b.k + 1)
+SELECT id, size::int AS prompt_tokens, new AS max_new_tokens, batch FROM b""")
 def micro_batches(spark, d):
     items = t(spark, d, "documents").select(F.col("doc_id").alias("id"), text.word_count(F.col("text")).alias("prompt_tokens"), F.when(F.col("lang") == "en", 900).otherwise(1200).alias("max_new_tokens"))
-    return log.micro_batches(items, 8, 7000)
+    return log.micro_batches(items, 8, 7000).drop("part")
 
 
 @query("""WITH d AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS w FROM documents), b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'))) AS x FROM benchmark),
@@ -381,6 +389,7 @@ def flagship_overlap_summary(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "lang", text.tokens(F.col("text")).alias("w")).withColumn("size", F.size("w"))
     docs = docs.join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     items = t(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("w")).select("item_id", F.size("w").alias("n"), F.explode("w").alias("x"))
+    items = compaction.small(items)
     hits = docs.select("doc_id", "size", F.explode("w").alias("x")).join(items, "x").groupBy("doc_id", "item_id").agg(F.count("*").alias("both"), F.first("size").alias("size"), F.first("n").alias("n"))
     best = hits.groupBy("doc_id").agg(F.max(F.col("both") / (F.col("size") + F.col("n") - F.col("both"))).alias("best"))
     q = docs.select("doc_id", "lang", "quality").join(best, "doc_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))

@@ -68,7 +68,7 @@ def json_records(spark: SparkSession, path: str, wrappers: Sequence[str] = WRAPP
     lines. Lines that don't parse come as errors, and so do records that aren't objects. Without wrappers an object is a record."""
     first = F.regexp_extract("value", r"^\s*([^\r\n]*)", 1)
     # several lines of which the first is an object by itself; the parser would be content with that one
-    lined = F.rlike(F.trim("value"), F.lit(r"[\r\n]")) & F.rlike(first, F.lit(r"^\{.*\}\s*$")) & F.try_parse_json(first).isNotNull()
+    lined = F.rlike(F.regexp_replace("value", r"\s+$", ""), F.lit(r"[\r\n]")) & F.rlike(first, F.lit(r"^\{.*\}\s*$")) & F.try_parse_json(first).isNotNull()
     whole = spark.read.text(path, wholetext=True).select("value", F.when(~lined, F.try_parse_json("value")).alias("v"))
     inner = F.coalesce(F.lit(None).cast("array<variant>"), *[F.expr(f"try_cast(try_variant_get(v, '$.{w}') as array<variant>)") for w in wrappers], F.expr("try_cast(v as array<variant>)"))
     parsed = whole.where("v is not null").select(F.explode(F.coalesce(inner, F.array("v"))).alias("r")).select(F.to_json("r").alias("record"), F.lit(None).cast("string").alias("error"))
