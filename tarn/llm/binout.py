@@ -18,10 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, lasting, mix, written
+from .common import U64, lasting, mix, trim_memory, written
 from .tokens import counter, slices, vocabulary_path
 
 END, PAD = 2, 0  # </s>, <unk>
+SLICE = 3 << 20  # bytes of text that are encoded at once
 
 
 def permute(x: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -46,15 +47,19 @@ def _streams(batches, model: str):
     c = counter(model)
     for b in batches:
         at = 0
-        for texts in slices(b.column("text")):
+        for texts in slices(b.column("text"), SLICE):
             body, n = c.encode_column(texts)
             ends = np.cumsum(n + 1)
             flat = np.full(len(body) + len(n), END, np.uint16)
             inner = np.ones(len(flat), bool)
             inner[ends - 1] = False
             flat[inner] = body
+            del body, inner
             yield b.column("doc_id").slice(at, len(texts)), flat, n + 1
             at += len(texts)
+            del flat
+            trim_memory()
+    c.forget_ids()
 
 
 _BLOCK = "shard int, slots binary, data binary, docs binary"
@@ -86,10 +91,12 @@ def materialise(docs: DataFrame, place: str | None = None, stride: int = 2048, s
         c = counter(model)
         for b in batches:
             at = 0
-            for texts in slices(b.column("text")):
+            for texts in slices(b.column("text"), SLICE):
                 n += int((c.encode_column(texts, sizes_only=True)[1] + 1).sum())
                 check = (check * 1_000_003 + sum(b.column("doc_id").slice(at, len(texts)).drop_null().to_pylist()) + n) % (1 << 61)
                 at += len(texts)
+                trim_memory()
+        c.forget_ids()
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([check], pa.int64())], ["part", "n", "check"])
 
@@ -160,11 +167,20 @@ def shards_of(index: DataFrame) -> str:
     return index.schema["shard"].metadata["place"]
 
 
+def file_system(place: str):
+    """A place's file system and its path there. Names that only Hadoop knows a store by are given the ones that Arrow knows."""
+    from pyarrow import fs
+
+    for theirs, ours in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://"), ("dbfs:/", "file:///dbfs/")):
+        if place.startswith(theirs):
+            place = ours + place[len(theirs) :].lstrip("/")
+    return fs.FileSystem.from_uri(place)
+
+
 def _write_shard(number: int, table: pa.Table, place: str, stride: int, shard: int, total: int) -> pa.Table:
     import uuid
 
     import zstandard
-    from pyarrow import fs
 
     press = zstandard.ZstdDecompressor()
     n = min(shard, total - number * shard)
@@ -176,12 +192,17 @@ def _write_shard(number: int, table: pa.Table, place: str, stride: int, shard: i
         docs.append(np.frombuffer(press.decompress(own), np.int64).reshape(-1, 5))
     if filled != n:
         raise RuntimeError(f"shard {number} has {filled} of {n} sequences")
-    files, root = fs.FileSystem.from_uri(place)
+    files, root = file_system(place)
     files.create_dir(root, recursive=True)
     name = f"{root}/shard-{number:08d}.bin"
     with files.open_output_stream(temporary := f"{name}.{uuid.uuid4().hex}") as f:
-        f.write(out.tobytes())
-    files.move(temporary, name)
+        f.write(out)
+    try:
+        files.move(temporary, name)
+    except OSError:  # a file system that moves onto no file: an earlier run of this task has written the same one
+        if files.get_file_info(name).size != out.nbytes:
+            raise
+        files.delete_file(temporary)
     sha = np.array([hashlib.sha256(x.tobytes()).hexdigest() for x in out])
     d = np.concatenate(docs)
     return pa.table({
@@ -192,9 +213,7 @@ def _write_shard(number: int, table: pa.Table, place: str, stride: int, shard: i
 
 def read_slots(place: str, first: int, n: int, stride: int = 2048, shard: int = 1024) -> np.ndarray:
     """Sequences first to first + n - 1, read where they stand."""
-    from pyarrow import fs
-
-    files, root = fs.FileSystem.from_uri(place)
+    files, root = file_system(place)
     out = []
     while n > 0:
         number, at = divmod(first, shard)

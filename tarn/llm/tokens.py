@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 CACHE = 500_000
+ID_CACHE = 100_000  # words and chunks whose ids are kept
 UNKNOWN = 1 << 20  # ids from here on stand for characters without a piece
 
 
@@ -75,6 +76,10 @@ class PrefixCounter:
         self.word_ids: dict[str, bytes] = {}  # with the mark before the word
         self.chunk_ids: dict[str, bytes] = {}  # as the chunk stands
 
+    def forget_ids(self) -> None:
+        self.word_ids.clear()
+        self.chunk_ids.clear()
+
     def raw(self, text: str) -> list[int]:
         """Ids of a piece of text as it stands, without the mark that the model puts before a text."""
         if text in ("", MARK):  # the model makes nothing of an empty text, not even its mark
@@ -165,7 +170,7 @@ class PrefixCounter:
         """The ids of each of the words, from a cache that starts anew when full."""
         ids = self.word_ids
         if missing := [w for w in distinct if w not in ids]:
-            if len(ids) + len(missing) > self.cache:
+            if len(ids) + len(missing) > ID_CACHE:
                 ids.clear()
                 missing = list(distinct)
             cut = [self.split(MARK + w) for w in missing]
@@ -234,7 +239,7 @@ class PrefixCounter:
         """Puts the ids of chunks into the cache, which starts anew when full."""
         known = self.chunk_ids
         missing = [c for c in dict.fromkeys(chunks) if c not in known]
-        if len(known) + len(missing) > self.cache:
+        if len(known) + len(missing) > ID_CACHE:
             known.clear()
             missing = list(dict.fromkeys(chunks))
         if missing:
