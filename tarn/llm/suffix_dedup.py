@@ -33,7 +33,7 @@ LENGTH, GRAM = 100, 24
 BEFORE = LENGTH - GRAM
 CONTEXT = BEFORE + LENGTH
 PIECE = 1 << 17
-ROWS = 1500  # of a batch that are worked on at once
+ROWS = 2500  # of a batch that are worked on at once
 SLICE = 3000  # contexts whose strings are compared at once, or all of one anchor
 HELD = 2_000_000  # hashes that are held at once, or eight for each context of one anchor
 HOT = 4096  # occurrences from which an anchor's strings are dealt by themselves
@@ -398,7 +398,7 @@ def _send_runs(pids: int, hot):
                 keys = np.concatenate([context[:, BEFORE:], context[:, :BEFORE][:, ::-1]], 1)
                 parts.append((np.full(len(pos), i), pos, np.minimum(pos, BEFORE), np.minimum(len(data) - pos, LENGTH), keys))
                 held += len(pos)
-                if held > 25_000:
+                if held > 40_000:
                     yield deal(docs, *(np.concatenate(x) for x in zip(*parts)))
                     parts, held = [], 0
             if parts:
@@ -544,15 +544,17 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     id and th (the text's hash) tell rows apart. Only texts of 100 bytes or more can have spans."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_text().alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
-    pids = max(6 * partitions(spark), text_bytes(plain) // PART_BYTES)  # a merge holds its partition's contexts
-    dealt = (lambda df: df.repartition(pids // 6, "pid")) if pids > 6 * partitions(spark) else lambda df: df
+    # a merge holds its partition's contexts, and gives a row for each document in them
+    parts = max(partitions(spark), text_bytes(plain) // PART_BYTES)
+    pids = 3 * parts  # of anchors, which are more
+    dealt = (lambda df: df.repartition(parts, "pid")) if parts > partitions(spark) else lambda df: df
     sent = dealt(plain.select("id", "th", "text").mapInArrow(_send_anchors(pids), _BLOCK))
     found = sent.groupBy("pid").applyInArrow(_repeated_anchors(hot), _FOUND)
     found = written(found.groupBy("id", "th").agg(F.collect_list("data").alias("found")), "anchors")
     busy = spark.sparkContext.broadcast(BloomFilter.of(found.where("id is null").select("th"), "th", HOT_BITS).bits)  # of fixed size
     found = found.where("id is not null")
     packed = plain.mapInArrow(_compressed, "doc_id long, id long, th long, z binary")
-    contexts = packed.drop("doc_id").join(found, ["id", "th"]).mapInArrow(_send_runs(pids, busy), _BLOCK)
+    contexts = packed.drop("doc_id").join(found, ["id", "th"]).mapInArrow(_send_runs(parts, busy), _BLOCK)
     spans = dealt(contexts).groupBy("pid").applyInArrow(_merge_side, _FOUND)
     spans = written(spans.groupBy("id", "th").agg(F.collect_list("data").alias("spans")), "spans")
     busy.destroy()
