@@ -48,7 +48,7 @@ def bootstrap_mean(values: DataFrame, keys: Sequence[str], value: str, draws: in
     total = size.where(F.col("n") <= most).agg(F.sum("n")).first()[0] or 0
     limit = most if total <= most_all else 0
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
-    rounds = F.sequence(F.lit(0), F.lit(draws - 1))
+    rounds = F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))
     parts = []
     if total:
         spark = values.sparkSession
@@ -61,7 +61,7 @@ def bootstrap_mean(values: DataFrame, keys: Sequence[str], value: str, draws: in
     if not large.isEmpty():
         ranks = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
         rows = ok.withColumn("at", ranks.cast("long")).alias("r")
-        drawn = large.withColumn("seed", seed).select(*keys, "n", "seed", F.explode(rounds).cast("long").alias("i")).select(*keys, "n", "seed", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+        drawn = large.withColumn("seed", seed).select(*keys, "n", "seed", F.explode(rounds).alias("i")).select(*keys, "n", "seed", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
         drawn = drawn.withColumn("at", draw(F.col("seed"), F.col("i"), F.col("j"), F.col("n"))).alias("d")
         met = drawn.join(rows, (F.col("d.at") == F.col("r.at")) & same("d", "r")).select(*[F.col(f"d.{k}").alias(k) for k in keys], "i", F.col(f"r.{value}").alias("x"))
         parts.append(met.groupBy(*keys, "i").agg(F.avg("x").alias("m")))
