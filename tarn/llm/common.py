@@ -15,12 +15,14 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one in the warehouse, and only in local mode
+    one of the machine's own."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
-        place = spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="tarn-")
+        if (spark.sparkContext.master or "").startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            place = "file://" + tempfile.mkdtemp(prefix="tarn-")
+        else:
+            place = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tarn-scratch"
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
 
