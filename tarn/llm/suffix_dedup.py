@@ -33,11 +33,11 @@ LENGTH, GRAM = 100, 24
 BEFORE = LENGTH - GRAM
 CONTEXT = BEFORE + LENGTH
 PIECE = 1 << 17
-ROWS = 2500  # of a batch that are worked on at once
+ROWS = 1500  # of a batch that are worked on at once
 SLICE = 3000  # contexts whose strings are compared at once, or all of one anchor
 HELD = 2_000_000  # hashes that are held at once, or eight for each context of one anchor
 HOT = 4096  # occurrences from which an anchor's strings are dealt by themselves
-TOGETHER = 11  # places whose strings are dealt together; a divisor of BEFORE + 1
+TOGETHER = 20  # places whose strings are dealt together, by the 81 bytes that all of them have
 HOT_BITS = 24  # of the filter of hot anchors; a false hit costs rows only
 PART_BYTES = 16 << 20  # of text for each partition of anchors
 NO_ID = (1 << 63) - 1  # a null doc_id sorts last
@@ -313,7 +313,7 @@ def _entries(docs: bytes, at: bytes) -> int:
 def _hot_strings(docs, at, pos, before, after, keys, pids: int, rows: list) -> None:
     """Of contexts of hot anchors: a row for each partition of digests with the earliest place of each string, and the spans of later ones.
 
-    The strings at eleven places in a row have 90 bytes in common, whose hash is dealt by: a context goes to seven partitions
+    The strings at twenty places in a row have 81 bytes in common, whose hash is dealt by: a context goes to four partitions
     at most, and contexts that differ in those bytes to different ones."""
     rank = np.unique(docs, axis=0, return_inverse=True)[1].ravel().astype(np.int64)
     places = np.arange(BEFORE + 1)
@@ -326,7 +326,8 @@ def _hot_strings(docs, at, pos, before, after, keys, pids: int, rows: list) -> N
             one.append(string_hashes(text)[r, p])
             two.append(string_hashes(text, 5)[r, p])
             h = _doubled(text, 6)
-            shared = mix(h[6][:, TOGETHER - 1 :: TOGETHER][:, : len(places) // TOGETHER] * _C[1] + h[5][:, LENGTH - 32 :: TOGETHER][:, : len(places) // TOGETHER])
+            groups = -(-len(places) // TOGETHER)
+            shared = mix(h[6][:, TOGETHER - 1 :: TOGETHER][:, :groups] * _C[1] + h[5][:, LENGTH - 32 :: TOGETHER][:, :groups])
             core.append(shared[r, p // TOGETHER])
             row.append(r + j)
             place.append(p)
@@ -398,7 +399,7 @@ def _send_runs(pids: int, hot):
                 keys = np.concatenate([context[:, BEFORE:], context[:, :BEFORE][:, ::-1]], 1)
                 parts.append((np.full(len(pos), i), pos, np.minimum(pos, BEFORE), np.minimum(len(data) - pos, LENGTH), keys))
                 held += len(pos)
-                if held > 40_000:
+                if held > 25_000:
                     yield deal(docs, *(np.concatenate(x) for x in zip(*parts)))
                     parts, held = [], 0
             if parts:
@@ -544,17 +545,15 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     id and th (the text's hash) tell rows apart. Only texts of 100 bytes or more can have spans."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_text().alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
-    # a merge holds its partition's contexts, and gives a row for each document in them
-    parts = max(partitions(spark), text_bytes(plain) // PART_BYTES)
-    pids = 3 * parts  # of anchors, which are more
-    dealt = (lambda df: df.repartition(parts, "pid")) if parts > partitions(spark) else lambda df: df
+    pids = max(6 * partitions(spark), text_bytes(plain) // PART_BYTES)  # a merge holds its partition's contexts
+    dealt = (lambda df: df.repartition(pids // 6, "pid")) if pids > 6 * partitions(spark) else lambda df: df
     sent = dealt(plain.select("id", "th", "text").mapInArrow(_send_anchors(pids), _BLOCK))
     found = sent.groupBy("pid").applyInArrow(_repeated_anchors(hot), _FOUND)
     found = written(found.groupBy("id", "th").agg(F.collect_list("data").alias("found")), "anchors")
     busy = spark.sparkContext.broadcast(BloomFilter.of(found.where("id is null").select("th"), "th", HOT_BITS).bits)  # of fixed size
     found = found.where("id is not null")
     packed = plain.mapInArrow(_compressed, "doc_id long, id long, th long, z binary")
-    contexts = packed.drop("doc_id").join(found, ["id", "th"]).mapInArrow(_send_runs(parts, busy), _BLOCK)
+    contexts = packed.drop("doc_id").join(found, ["id", "th"]).mapInArrow(_send_runs(pids, busy), _BLOCK)
     spans = dealt(contexts).groupBy("pid").applyInArrow(_merge_side, _FOUND)
     spans = written(spans.groupBy("id", "th").agg(F.collect_list("data").alias("spans")), "spans")
     busy.destroy()
