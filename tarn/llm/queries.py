@@ -1,10 +1,10 @@
-"""The ten operators, each over its whole table, and SQL for those that it can express."""
+"""The operators, each over its whole table, and SQL for those that it can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binout, decontam, exact_dedup, langid, mixing, ngram_join, suffix_dedup, tokens, toxicity, urlfilter
+from . import binout, decontam, exact_dedup, langid, merkle, mixing, ngram_join, suffix_dedup, tokens, toxicity, urlfilter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_url_filters": lambda s, d: urlfilter.op8(_t(s, d, "pages")),
     "op9_token_binary": lambda s, d: binout.op9(_t(s, d, "documents")),
     "op10_exact_dedup": lambda s, d: exact_dedup.op10(_t(s, d, "documents")),
+    "op12_merkle_manifest": lambda s, d: merkle.op12(_t(s, d, "documents")),
 }
 
-ORACLE_SQL = {"op8_url_filters": urlfilter.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL = {"op8_url_filters": urlfilter.SQL, "op10_exact_dedup": exact_dedup.SQL, "op12_merkle_manifest": merkle.SQL}
