@@ -38,19 +38,19 @@ def _range_of(place: Column, bounds: Column, ranges: int) -> Column:
     return F.aggregate(steps, start, halve, lambda s: s["lo"])
 
 
-def before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column], totals: Mapping[str, str] | None = None, ranges: int | None = None) -> DataFrame:
+def before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column], totals: Mapping[str, str] | None = None, ranges: int | None = None, rows_a_range: int | None = None) -> DataFrame:
     """rows with a column for each of sums: the sum, over the rows of the same keys that stand before by order (nulls first), of its
     expression; 0 for the first. totals: names of further columns, and the one of sums whose total over the keys' rows they hold.
 
     Rows that are equal in keys and order are one after the other in no stated order. Null keys are a key. A key isn't sorted as a whole:
     (keys, order) is cut into ranges of about equal size, each range is summed for itself, and a range gets the sums of the same key's
     ranges before it; of these at most one a range isn't 0. So a task gets the rows of one range, whatever the keys are, unless rows are equal in
-    all of keys and order. ranges: how many; else by the number of rows, and one range for few. rows is read some times over."""
+    all of keys and order. ranges: how many; else by the number of rows, about rows_a_range (ROWS_A_RANGE) in each. rows is read some times over."""
     totals = totals or {}
     sums = {n: F.expr(e) if isinstance(e, str) else e for n, e in sums.items()}
     if ranges is None:
         total = rows.count()
-        ranges = min(MOST_RANGES, -(-total // ROWS_A_RANGE))
+        ranges = min(MOST_RANGES, -(-total // (rows_a_range or ROWS_A_RANGE)))
     else:
         total = rows.count() if ranges > 1 else 0
     if ranges <= 1:

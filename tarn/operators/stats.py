@@ -82,17 +82,38 @@ def holm(rows: DataFrame, p: str, family: Sequence[str] = (), order: Sequence[st
     return stepped.drop("_raw").withColumn("significant", F.when(ok, (F.col("p_holm") < 0.05).cast("int")))
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    """ln of n over k by sums of logarithms."""
-    up = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.log((n - k + i).cast("double")) - F.log(i.cast("double")))
-    return F.when(k <= 0, F.lit(0.0)).otherwise(up)
+EXACT_PAIRS = 1000  # up to so many discordant pairs all binomials fit into a double
+
+
+def _ln_factorial(n: Column) -> Column:
+    """By Stirling's series, for large n."""
+    x = n.cast("double")
+    return (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
 
 
 def mcnemar(b: str, c: str) -> Column:
-    """Exact two-sided p of the discordant counts; 1 where there are none."""
-    n, k = F.col(b) + F.col(c), F.least(F.col(b), F.col(c))
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda acc, i: acc + F.exp(log_choose(n.cast("int"), i) - n * F.log(F.lit(2.0))))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """Exact two-sided p of the discordant counts; 1 where there are none.
+
+    The binomials of the lower tail, each from the one before: whole numbers, so that the sum is exact as long as it is below 2 ** 53. Beyond
+    EXACT_PAIRS the tail goes down from its largest term, of which some 6 * sqrt(n) count."""
+    n, k = (F.col(b) + F.col(c)).cast("long"), F.least(F.col(b), F.col(c)).cast("long")
+    few = n <= EXACT_PAIRS
+    one = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def added(acc: Column, factor: Column) -> Column:
+        term = acc["t"] * factor
+        return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
+
+    def up(acc: Column, i: Column) -> Column:
+        term = acc["t"] * (n - i) / (i + 1)
+        return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
+
+    steps = lambda last: F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<long>"))
+    small = F.aggregate(steps(F.when(few, k - 1).otherwise(-1)), one, up, lambda x: x["s"]) * F.pow(F.lit(2.0), -n.cast("double"))
+    reach = F.least(k - 1, (6 * F.sqrt(n.cast("double")) + 50).cast("long"))
+    ratios = F.aggregate(steps(F.when(few, F.lit(-1).cast("long")).otherwise(reach)), one, lambda acc, j: added(acc, (k - j).cast("double") / (n - k + j + 1).cast("double")), lambda x: x["s"])
+    top = F.exp(_ln_factorial(n) - F.when(k > 0, _ln_factorial(F.greatest(k, F.lit(1)))).otherwise(0.0) - _ln_factorial(n - k) - n.cast("double") * math.log(2))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.when(few, small).otherwise(top * ratios)))
 
 
 def average_ranks(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
