@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binout, decontam, exact_dedup, langid, merkle, mixing, ngram_join, suffix_dedup, tokens, toxicity, urlfilter
+from . import binout, chat, decontam, exact_dedup, langid, merkle, mixing, ngram_join, search, suffix_dedup, tokens, toxicity, urlfilter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,9 @@ QUERIES = {
     "op8_url_filters": lambda s, d: urlfilter.op8(_t(s, d, "pages")),
     "op9_token_binary": lambda s, d: binout.op9(_t(s, d, "documents")),
     "op10_exact_dedup": lambda s, d: exact_dedup.op10(_t(s, d, "documents")),
+    "op11_chat_formatting": lambda s, d: chat.op11(_t(s, d, "conversations")),
     "op12_merkle_manifest": lambda s, d: merkle.op12(_t(s, d, "documents")),
+    "op13_ranked_search": lambda s, d: search.op13(_t(s, d, "documents"), _t(s, d, "benchmark")),
 }
 
-ORACLE_SQL = {"op8_url_filters": urlfilter.SQL, "op10_exact_dedup": exact_dedup.SQL, "op12_merkle_manifest": merkle.SQL}
+ORACLE_SQL = {"op8_url_filters": urlfilter.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_chat_formatting": chat.SQL, "op12_merkle_manifest": merkle.SQL, "op13_ranked_search": search.SQL}
