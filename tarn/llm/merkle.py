@@ -115,7 +115,7 @@ _PATH = "array<struct<left: string, right: string>>"
 def _blocks(nodes: DataFrame, tree: Sequence[str], order: Sequence[str]) -> DataFrame:
     """A row for each block of nodes (tree, order, node): tree, block, levels that it is climbed, rest (nodes of the tree in the next round), and
     members, an array of (at, node and all other columns), in order; at most BLOCK of them."""
-    ranked = before(nodes, tree, [*order, "node"], {"_at": "1L"}, {"_n": "_at"})
+    ranked = before(nodes, tree, [*order, "node"], {"_at": "1L"}, {"_n": "_at"}, rows_a_range=2 * BLOCK)
     own = [c for c in nodes.columns if c not in tree]
     placed = ranked.withColumn("block", F.expr(f"_at div {BLOCK}"))
     grouped = placed.groupBy(*tree, "block").agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), *own))).alias("members"), F.max("_n").alias("n"))

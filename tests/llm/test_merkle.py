@@ -95,9 +95,6 @@ def test_rounds_of_small_blocks(spark, monkeypatch):
     """Several rounds, as a source of over 16 ** 6 rows takes them; and a source whose places come from several ranges."""
     monkeypatch.setattr(merkle, "LEVELS", 1)
     monkeypatch.setattr(merkle, "BLOCK", 16)
-    from tarn.operators import ranks
-
-    monkeypatch.setattr(ranks, "ROWS_A_RANGE", 100)
     data = list(rows([("a", 700), (None, 40)]))
     got = merkle.op12(spark.createDataFrame(data, S).repartition(3))
     assert sorted(map(tuple, got.collect()), key=str) == brute(data)
