@@ -133,6 +133,13 @@ RELATION_IGNORED = ("id", "relation_id", "confidence", "probability", "score")
 ENTITY_TYPE = ("type", "entity_type", "label", "category")
 ENTITY_TEXT = ("text", "span", "name", "value", "mention", "surface")
 LABELS = ("type", "label", "relation", "relation_type", "entity_type", "category")
+# Where a free-form record has its text, its id, its annotations and a record within it; texts and ids in order of preference.
+TEXT_KEYS = ("text", "abstract", "content", "document", "article", "input", "sentences", "tokens", "paragraphs", "sections")
+ID_KEYS = ("doc_id", "document_id", "paper_id", "pmid", "id", "doc_key", "filename")
+ENTITY_KEYS = ("entities", "entity", "ner", "mentions", "spans")
+RELATION_KEYS = ("relations", "relation", "rels")
+OUTPUT_KEYS = ("output", "gold", "target", "answer", "annotations")
+RECORD_KEYS = ("source", "example", "instance", "data", "payload")
 
 
 def plain_text(value) -> str:
@@ -309,17 +316,19 @@ def count_named(text: Column, names: Sequence[str]) -> Column:
     return over_json(lambda v: named_count(v, wanted), "long")(text)
 
 
-def collect_labels(text: Column, keys: Sequence[str]) -> Column:
+def collect_labels(text: Column, keys: Sequence[str] = (*ENTITY_KEYS, *RELATION_KEYS, *OUTPUT_KEYS)) -> Column:
     """Sorted labels below the given members of a record."""
     wanted = frozenset(keys)
     return over_json(lambda v: sorted(set().union(*[labels_within(x) for k, x in v.items() if k.lower() in wanted])) if isinstance(v := _opened(v), dict) else [], "array<string>")(text)
 
 
-def record_text(text: Column, keys: Sequence[str] = ("text", "abstract", "sentence", "sentences", "tokens"), wrappers: Sequence[str] = ("source", "example", "instance", "data", "payload")) -> Column:
+def record_text(text: Column, keys: Sequence[str] = TEXT_KEYS, wrappers: Sequence[str] = RECORD_KEYS) -> Column:
+    """The text of a free-form record, white space collapsed: of its first member by order of keys that has one, else of a record within it."""
     return over_json(lambda v: text_within(v, keys, wrappers), "string")(text)
 
 
-def record_id(text: Column, keys: Sequence[str] = ("id", "doc_id")) -> Column:
+def record_id(text: Column, keys: Sequence[str] = ID_KEYS) -> Column:
+    """Its first member by order of keys that is a scalar and not blank."""
     return over_json(lambda v: id_within(v, keys), "string")(text)
 
 

@@ -139,11 +139,23 @@ def has_all_parts(path: Column, names: Sequence[str]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, names)), path_parts(path))) == 0
 
 
+def sums_before(sizes: Column, block: int = 64) -> Column:
+    """Of an array of integers the sums of those before each. Arrays grow only within blocks, so that a long array isn't copied for each element."""
+
+    def running(xs: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct((acc["at"] + x).cast("int").alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")), lambda acc: acc["all"])
+
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: (acc + x).cast("int"))
+    starts = F.when(F.size(sizes) > 0, F.sequence(F.lit(1), F.size(sizes), F.lit(block))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(starts, lambda i: F.slice(sizes, i, block))
+    return F.flatten(F.zip_with(F.transform(blocks, running), running(F.transform(blocks, total)), lambda xs, at: F.transform(xs, lambda x: x + at)))
+
+
 def offsets(words_: Column) -> Column:
-    """Character spans of tokens joined by single spaces: one pass that carries the end of the token before."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_char: int, end_char: int>>").alias("spans"))
-    step = lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.array_append(acc["spans"], F.struct(acc["at"].alias("start_char"), (acc["at"] + F.length(w)).alias("end_char"))).alias("spans"))
-    return F.aggregate(words_, zero, step, lambda acc: acc["spans"])
+    """Character spans of tokens joined by single spaces."""
+    sizes = F.transform(words_, lambda w: F.length(w) + 1)
+    return F.zip_with(sums_before(sizes), words_, lambda at, w: F.struct(at.alias("start_char"), (at + F.length(w)).alias("end_char")))
 
 
 def span_text(words_: Column, first: Column, last: Column) -> Column:

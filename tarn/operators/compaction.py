@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,21 +41,28 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, for what is read several times: a checkpoint in the folder that spark.checkpoint.dir names; without one, df itself."""
+    """df with its lineage cut, for what is read several times: a checkpoint in the folder that spark.checkpoint.dir names. Where that is unset, in
+    one of the warehouse, and only in local mode one of the machine's own."""
     spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place and not spark.sparkContext.getCheckpointDir():
-        return df
     if not spark.sparkContext.getCheckpointDir():
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            here = (spark.sparkContext.master or "").startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+            place = "file://" + tempfile.mkdtemp(prefix="tarn-") if here else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tarn-scratch"
         spark.sparkContext.setCheckpointDir(place)
     return df.checkpoint()
 
 
 def with_aliases(rows: DataFrame, aliases: DataFrame, sample: DataFrame, keys: Sequence[str], condition: str = "condition") -> DataFrame:
-    """rows and, of those in sample, copies under the condition's alias (condition, alias)."""
-    tagged = rows.withColumn("is_alias", F.lit(False))
-    copies = rows.join(sample.select(*keys).distinct(), list(keys), "left_semi").join(small(aliases), condition).withColumn("job_id", F.concat_ws("::", F.lit("alias"), "job_id", "alias")).withColumn(condition, F.col("alias")).drop("alias").withColumn("is_alias", F.lit(True))
-    return tagged.unionByName(copies.select(*tagged.columns))
+    """rows and, of those in sample, copies under their condition's aliases (condition, alias). Each row is made once and exploded."""
+    named = aliases.groupBy(condition).agg(F.collect_list("alias").alias("_aliases"))
+    marks = sample.select(*keys).distinct().withColumn("_sampled", F.lit(True))
+    met = rows.join(small(named), condition, "left").join(small(marks), list(keys), "left")
+    own = F.array(F.lit(None).cast("string"))
+    each = met.withColumn("_alias", F.explode(F.when(F.col("_sampled") & F.col("_aliases").isNotNull(), F.concat(own, "_aliases")).otherwise(own)))
+    is_alias = F.col("_alias").isNotNull()
+    changed = {"job_id": F.when(is_alias, F.concat_ws("::", F.lit("alias"), "job_id", "_alias")).otherwise(F.col("job_id")), condition: F.coalesce("_alias", condition)}
+    return each.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in rows.columns], is_alias.alias("is_alias"))
 
 
 def duplicates(rows: DataFrame, digest: Column) -> DataFrame:
@@ -131,8 +139,11 @@ def with_records(jobs: DataFrame, records: DataFrame, keys: Sequence[str]) -> tu
 
 
 def admitted(jobs: DataFrame, prompt: str, digest: str, prompt_tokens: str, new_tokens: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Jobs whose prompt has the digest that was noted and fits into the limit with what is to be generated, and error rows of the others."""
-    kind = F.when(F.sha2(prompt, 256) != F.col(digest), "PromptHashMismatch").when(F.col(prompt_tokens) + F.col(new_tokens) > limit, "ContextOverflow")
+    """Jobs whose prompt has the digest that was noted and fits into the limit with what is to be generated, and error rows of the others. A job
+    without a prompt or digest is a mismatch, one without a size an overflow."""
+    same = F.coalesce(F.sha2(prompt, 256) == F.col(digest), F.lit(False))
+    fits = F.coalesce(F.col(prompt_tokens) + F.col(new_tokens) <= limit, F.lit(False))
+    kind = F.when(~same, "PromptHashMismatch").when(~fits, "ContextOverflow")
     judged = jobs.withColumn("error_type", kind)
     return judged.where("error_type is null").drop("error_type"), judged.where("error_type is not null").select("job_id", "error_type")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import prompts
 from ..functions.text import is_annotation_path, short_id
+from ..sources.writers import checked
 from .compaction import best_by, small
 
 
@@ -77,9 +79,28 @@ def counted_checks(rows: DataFrame, keys: Sequence[str], checks: dict[str, Colum
 
 
 def job_table(records: DataFrame, conditions: DataFrame, models: DataFrame, prompt: Column, keys: Sequence[str] = ("dataset", "split", "record_id")) -> DataFrame:
-    """Every record under every condition (condition, phase, ...) and model (model_id, max_new_tokens, ...), with job_id, prompt_sha256 and the
+    """Every record under every condition (condition, phase, ...) and model (model_id, ...), with job_id, prompt_sha256 and the
     lengths. The two dimensions are small tables; their product with the records is the job table itself."""
     product = records.join(small(conditions.join(small(models))))
     made = product.withColumn("prompt", prompt)
     identity = [F.col("model_id"), *[F.col(k).cast("string") for k in keys], F.col("phase"), F.col("condition")]
     return made.withColumns({"job_id": short_id(*identity), "prompt_sha256": F.sha2("prompt", 256), "prompt_characters": F.length("prompt"), "input_characters": F.length("input_text")})
+
+
+def experiment_jobs(records: DataFrame, sample: DataFrame, demos: DataFrame, conditions: DataFrame, models: DataFrame, caps: DataFrame, path: str, values: Mapping[str, Column], keys: Sequence[str] = ("dataset", "split", "record_id")) -> DataFrame:
+    """The job table of an experiment, written to path: all records under the conditions of phase main and those of sample (keys) under
+    the ones of phase ablation, for each model. conditions: prompts.condition_table with phase; demos: (dataset, demos), with demos an array of structs
+    (input_text, output); caps: (dataset, max_new_tokens); values: what prompts are filled with, but for demo, demos and input.
+
+    The numbers of records, of sampled ones and of jobs are checked while the table is written, and that no job_id repeats: else nothing is written."""
+    n = conditions.groupBy("phase").count().collect()
+    of = {r.phase: r["count"] for r in n}
+    m, main, some = models.count(), records.count(), records.join(sample.select(*keys).distinct(), list(keys), "left_semi").count()
+    with_dims = records.join(small(demos), "dataset", "left").join(small(caps), "dataset", "left")
+    each = prompts.build_prompt(dict(values) | {"demo": prompts.demo_texts(F.col("demos"), 1), "demos": prompts.demo_texts(F.col("demos")), "input": F.concat(F.lit("Text: "), "input_text")}, F.col("input_text"))
+    phase = lambda rows, name: job_table(rows, conditions.where(F.col("phase") == name), models, each, keys)
+    both = phase(with_dims, "main").unionByName(phase(with_dims.join(sample.select(*keys).distinct(), list(keys), "left_semi"), "ablation"))
+    out = both.select("job_id", "model_id", *keys, "phase", "condition", "max_new_tokens", "prompt_sha256", "prompt_characters", "input_characters")
+    count = lambda name: F.count_if(F.col("phase") == name)
+    wanted = {"main": (count("main"), m * main * of.get("main", 0)), "ablation": (count("ablation"), m * some * of.get("ablation", 0)), "without_cap": (F.count_if(F.col("max_new_tokens").isNull()), 0)}
+    return checked(out, path, wanted, ["job_id"])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +23,38 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x / n))
 
 
-def centroids(rows: DataFrame, keys: Sequence[str], vector: str = "embedding") -> DataFrame:
-    """The unit mean of unit vectors by keys; null where it has no direction. Sums are combined before the shuffle."""
-    flat = rows.select(*keys, F.posexplode(unit(F.col(vector)))).groupBy(*keys, "pos").agg(F.avg("col").alias("x"))
-    lists = flat.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("l"))
-    return lists.select(*keys, unit(F.transform("l", lambda s: s["x"])).alias("centroid"))
+def centroids(rows: DataFrame, keys: Sequence[str], vector: str = "embedding", dims: int | None = None) -> DataFrame:
+    """The unit mean of unit vectors by keys; null where it has no direction. A mean for each of dims dimensions (else as many as the longest
+    vector has), summed before the shuffle, so that what is shuffled is a row of sums for each key and task."""
+    dims = dims or rows.agg(F.max(F.size(vector))).first()[0] or 1
+    units = rows.select(*keys, unit(F.col(vector)).alias("_u"))
+    means = units.groupBy(*keys).agg(*[F.avg(F.get("_u", i)).alias(f"_m{i}") for i in range(dims)])
+    return means.select(*keys, F.filter(F.array(*[f"_m{i}" for i in range(dims)]), lambda x: x.isNotNull()).alias("_m")).select(*keys, unit(F.col("_m")).alias("centroid"))
+
+
+_ENCODERS: dict[str, Callable] = {}  # of this worker
+
+
+def embedded(texts: DataFrame, load: Callable[[], Callable[[list[str]], Sequence]], column: str = "text", batch: int = 512) -> DataFrame:
+    """(text, embedding): a unit vector for each distinct text other than null, null for a vector without direction. load gives the encoder, a function of a
+    list of texts to as many vectors, and is called once in a worker. The encoder sees at most `batch` texts at once, in order of their
+    length, so that texts of like length go together. Join the result back by text."""
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if name not in _ENCODERS:
+            _ENCODERS[name] = load()
+        for part in parts:
+            out = []
+            for at in range(0, len(part), batch):
+                v = np.asarray(_ENCODERS[name](part.iloc[at : at + batch].tolist()), float)
+                n = np.sqrt((v * v).sum(axis=1))
+                out += [x / d if d > 0 else None for x, d in zip(v, n)]
+            yield pd.Series(out, dtype=object)
+
+    distinct = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct()
+    return distinct.sortWithinPartitions(F.length("text"), "text").select("text", run("text").alias("embedding"))
 
 
 def drift(left: Column, right: Column) -> Column:
@@ -39,14 +69,15 @@ def adjacent(rows: DataFrame, keys: Sequence[str], level: str, value: str) -> Da
     return rows.select(*keys, level, F.col(value).alias("left")).join(right, [*keys, level])
 
 
-def text_centroids(fields: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+def text_centroids(fields: DataFrame, vectors: DataFrame, keys: Sequence[str], dims: int | None = None) -> DataFrame:
     """fields (keys, field, texts) with the unit mean of their texts' vectors (text, embedding), and n; no texts, or none with a
     vector, give a null centroid. Texts meet their vectors in an equi-join; repeated texts of a row count as often as they occur."""
-    each = fields.select(*keys, "field", F.explode_outer("texts").alias("text"))
-    met = each.join(vectors.select("text", "embedding"), "text", "left")
-    sizes = fields.groupBy(*keys, "field").agg(F.max(F.size("texts")).alias("n"))
-    mean = centroids(met.where("embedding is not null"), [*keys, "field"])
-    return sizes.join(mean, [*keys, "field"], "left")
+    dims = dims or vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    each = fields.select(*keys, "field", F.size("texts").alias("n"), F.explode_outer("texts").alias("text"))
+    met = each.join(vectors.select("text", unit(F.col("embedding")).alias("_u")), "text", "left")
+    means = met.groupBy(*keys, "field").agg(F.max("n").alias("n"), *[F.avg(F.get("_u", i)).alias(f"_m{i}") for i in range(dims)])
+    listed = means.select(*keys, "field", "n", F.filter(F.array(*[f"_m{i}" for i in range(dims)]), lambda x: x.isNotNull()).alias("_m"))
+    return listed.select(*keys, "field", "n", unit(F.col("_m")).alias("centroid"))
 
 
 def field_drift(left_n: Column, right_n: Column, left: Column, right: Column) -> Column:

@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 ROWS_A_RANGE = 500_000
+ONE_RANGE = 32 << 20  # bytes, by estimate, below which rows aren't counted
 MOST_RANGES = 2048  # the bounds are a literal of the plan
 SAMPLED = 24  # rows for each bound
 
 
+def at_most(rows: DataFrame, size: int) -> bool:
+    """Whether the plan's own estimate, made without a job, is below so many bytes."""
+    try:
+        return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= size
+    except Exception:  # no JVM at hand: a count decides
+        return False
+
+
 def _bounds(rows: DataFrame, by: Sequence[str], ranges: int, total: int) -> DataFrame:
     """One row, bounds: at most ranges - 1 places between ranges of about as many rows. By a hash of what is ordered, so that it is the same
     in every run; some SAMPLED * ranges rows come to the driver, four times as many at most, once, so that all who read it see the same."""
@@ -38,6 +47,16 @@ def _range_of(place: Column, bounds: Column, ranges: int) -> Column:
     return F.aggregate(steps, start, halve, lambda s: s["lo"])
 
 
+def ranged(rows: DataFrame, by: Sequence[str], ranges: int, total: int, name: str = "_range") -> DataFrame:
+    """rows, of which there are `total`, with the number of the range that they are in: at most `ranges`, and MOST_RANGES, in order of the columns by, of
+    about the same size. Rows that are equal in these are in one range."""
+    ranges = max(1, min(MOST_RANGES, ranges))
+    if ranges == 1:
+        return rows.withColumn(name, F.lit(0))
+    bounds = _bounds(rows, by, ranges, total)
+    return rows.join(F.broadcast(bounds)).withColumn(name, _range_of(F.struct(*by), F.col("bounds"), ranges)).drop("bounds")
+
+
 def before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column], totals: Mapping[str, str] | None = None, ranges: int | None = None, rows_a_range: int | None = None) -> DataFrame:
     """rows with a column for each of sums: the sum, over the rows of the same keys that stand before by order (nulls first), of its
     expression; 0 for the first. totals: names of further columns, and the one of sums whose total over the keys' rows they hold.
@@ -48,6 +67,8 @@ def before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Map
     all of keys and order. ranges: how many; else by the number of rows, about rows_a_range (ROWS_A_RANGE) in each. rows is read some times over."""
     totals = totals or {}
     sums = {n: F.expr(e) if isinstance(e, str) else e for n, e in sums.items()}
+    if ranges is None and rows_a_range is None and at_most(rows, ONE_RANGE):
+        ranges = 1
     if ranges is None:
         total = rows.count()
         ranges = min(MOST_RANGES, -(-total // (rows_a_range or ROWS_A_RANGE)))
@@ -59,8 +80,7 @@ def before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Map
         out = rows.withColumns({n: F.coalesce(F.sum(e).over(w), F.lit(0)) for n, e in sums.items()})
         return out.withColumns({n: F.coalesce(F.sum(sums[s]).over(own), F.lit(0)) for n, s in totals.items()}) if totals else out
     by = [*dict.fromkeys([*keys, *order])]
-    bounds = _bounds(rows, by, ranges, total)
-    laid = rows.join(F.broadcast(bounds)).withColumn("_range", _range_of(F.struct(*by), F.col("bounds"), ranges)).drop("bounds")
+    laid = ranged(rows, by, ranges, total)
     each = laid.groupBy("_range", *keys).agg(*[F.sum(e).alias(f"_s_{n}") for n, e in sums.items()])
     own = Window.partitionBy(*keys)
     w = own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

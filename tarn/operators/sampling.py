@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .compaction import settled
+from .ranks import before
 
 
 def placed(rows: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], cut: Callable[[Column, Column], Column], name: str) -> DataFrame:
@@ -16,16 +18,14 @@ def placed(rows: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str],
 
     Not one sort of a key's rows: how often each order value occurs tells the ranks it spans, and where cut is the same at both ends, it is
     known. Only the rows of the few values within which cut changes are ranked."""
-    counts = rows.groupBy(*keys, order).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("_c").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = counts.withColumn("_b", before).withColumn("_n", F.sum("_c").over(w))
+    counts = settled(rows.groupBy(*keys, order).agg(F.count("*").alias("_c")))
+    spans = before(counts, keys, [order], {"_b": "_c"}, {"_n": "_b"})
     spans = spans.withColumn("_lo", cut(F.col("_b") + 1, F.col("_n"))).withColumn("_hi", cut(F.col("_b") + F.col("_c"), F.col("_n")))
     on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, order]])
     met = rows.alias("l").join(spans.alias("r"), on).select("l.*", "_b", "_n", "_lo", "_hi")
     sure = met.where(F.col("_lo").eqNullSafe(F.col("_hi"))).withColumn(name, F.col("_lo"))
-    rank = F.col("_b") + F.row_number().over(Window.partitionBy(*keys, order).orderBy(*tie))
-    close = met.where(~F.col("_lo").eqNullSafe(F.col("_hi"))).withColumn(name, cut(rank, F.col("_n")))
+    ranked = before(met.where(~F.col("_lo").eqNullSafe(F.col("_hi"))), [*keys, order], tie, {"_r": "1L"})
+    close = ranked.withColumn(name, cut(F.col("_b") + F.col("_r") + 1, F.col("_n"))).drop("_r")
     return sure.unionByName(close).drop("_b", "_n", "_lo", "_hi")
 
 
@@ -46,15 +46,19 @@ def length_buckets(rows: DataFrame, size: str, keys: Sequence[str], tie: str, na
 
 
 def pareto(rows: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows that no row with a smaller or equal x and an at least as large y stands before."""
+    """(keys, x, y) of the frontier: the points that no point with a smaller or equal x and an at least as large y stands before. Rows that share a point
+    give it once; a join with rows on it finds them."""
     best = rows.groupBy(*keys, x).agg(F.max(y).alias(y))  # one row for each x, however many rows there are
     top = F.max(y).over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
     return best.withColumn("_top", top).where(F.col("_top").isNull() | (F.col(y) > F.col("_top"))).drop("_top")
 
 
-def demos(rows: DataFrame, size: str, digest: str, pool: int = 100, count: int = 3) -> DataFrame:
-    """Of the pool shortest rows, the count with the smallest digests."""
-    return rows.orderBy(size, digest).limit(pool).orderBy(digest).limit(count)
+def demos(rows: DataFrame, size: str, digest: str, pool: int = 100, count: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """Of the pool shortest rows, by keys, the count with the smallest digests."""
+    if not keys:
+        return rows.orderBy(size, digest).limit(pool).orderBy(digest).limit(count)
+    first = lambda r, order, n: r.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
+    return first(first(rows, [size, digest], pool), [digest], count)
 
 
 def binned_median(rows: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:

@@ -59,18 +59,26 @@ def with_gold(predictions: DataFrame, gold: DataFrame, keys: Sequence[str]) -> D
     return met.withColumn("_times", F.coalesce(wrong.cast("long"), F.col("_times"))).where("_times = 1").select("p.*", "_gold.*")
 
 
-def tuple_scores(rows: DataFrame, key: str, pred: str, gold: str, prefix: str) -> DataFrame:
-    """multiset_f1 of two arrays of structs by row: key, prefix_precision, prefix_recall, prefix_f1."""
-    items = lambda c: rows.select(key, F.explode(c).alias("item"))
-    q = multiset_f1(items(pred), items(gold), [key], "item")
-    return q.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in ("precision", "recall", "f1")])
+def _prf(tp: Column, pred: Column, gold: Column) -> Column:
+    """A struct of precision, recall and f1 of counts; both sides empty are perfect, one empty side is 0."""
+    p = F.when(pred == 0, F.when(gold == 0, 1.0).otherwise(0.0)).otherwise(tp / pred)
+    r = F.when(gold == 0, F.when(pred == 0, 1.0).otherwise(0.0)).otherwise(tp / gold)
+    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1"))
 
 
-def partial_scores(rows: DataFrame, key: str, pred: str, gold: str, prefix: str) -> DataFrame:
-    """partial_f1 of two arrays of structs (text, type) by row."""
-    items = lambda c: rows.select(key, F.posexplode(c).alias("pos", "e")).select(key, "pos", F.col("e.type").alias("type"), F.col("e.text").alias("text"))
-    q = partial_f1(items(pred), items(gold), key)
-    return q.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in ("precision", "recall", "f1")])
+def tuple_score(pred: Column, gold: Column) -> Column:
+    """multiset_f1 of two arrays in their row."""
+    times = lambda items, x: F.size(F.filter(items, lambda y: y == x))
+    tp = F.aggregate(F.array_distinct(pred), F.lit(0), lambda acc, x: acc + F.least(times(pred, x), times(gold, x)))
+    return _prf(tp, F.size(pred), F.size(gold))
+
+
+def partial_score(pred: Column, gold: Column, threshold: float = 0.5) -> Column:
+    """partial_f1 of two arrays of structs (text, type) in their row."""
+    with_tokens = lambda items: F.transform(items, lambda e, i: F.struct(i.alias("i"), e["type"].alias("type"), tokens(e["text"]).alias("t")))
+    g = with_tokens(gold)
+    pairs = F.flatten(F.transform(with_tokens(pred), lambda p: F.transform(F.filter(g, lambda x: x["type"] == p["type"]), lambda x: F.struct(jaccard(p["t"], x["t"]).alias("score"), p["i"].alias("p"), x["i"].alias("g")))))
+    return _prf(greedy_matches(F.filter(pairs, lambda c: c["score"] >= threshold)), F.size(pred), F.size(gold))
 
 
 def job_metrics(predictions: DataFrame, jobs: DataFrame, gold: DataFrame, keys: Sequence[str] = ("dataset", "split", "record_id")) -> DataFrame:
@@ -79,7 +87,7 @@ def job_metrics(predictions: DataFrame, jobs: DataFrame, gold: DataFrame, keys:
 
     Entities and relations are compared as caseless tuples with their number, entities also one to one with similar tokens;
     an entity is unsupported if the input doesn't contain it; both sides empty are perfect. Rows of the result have the jobs' and predictions'
-    columns without the JSON."""
+    columns without the JSON. A row holds both its sides, so that nothing but the two joins is shuffled."""
     met = with_gold(predictions.join(jobs, "job_id"), gold, keys)
     rows = met.withColumns({
         "_pe": nested.entity_tuples(F.col("parsed_output")), "_ge": nested.entity_tuples(F.col("gold_output")),
@@ -88,9 +96,11 @@ def job_metrics(predictions: DataFrame, jobs: DataFrame, gold: DataFrame, keys:
     })
     unsupported = F.size(F.filter("_pe", lambda e: ~F.contains(F.col("_in"), e["text"])))
     n = lambda c: F.size(c).cast("long")
-    plain = rows.select(*[c for c in met.columns if c not in ("parsed_output", "gold_output", "input_text")], n("_pe").alias("predicted_entities"), n("_ge").alias("gold_entities"), n("_pr").alias("predicted_relations"), n("_gr").alias("gold_relations"), unsupported.cast("long").alias("unsupported_entities"), F.coalesce(unsupported / F.nullif(F.size("_pe"), F.lit(0)), F.lit(0.0)).alias("hallucinated_entity_rate"))
-    out = plain
-    for part, prefix in ((tuple_scores(rows, "job_id", "_pe", "_ge", "entity_exact"), "entity_exact"), (partial_scores(rows, "job_id", "_pe", "_ge", "entity_partial"), "entity_partial"), (tuple_scores(rows, "job_id", "_pr", "_gr", "relation_exact"), "relation_exact")):
-        names = [f"{prefix}_{c}" for c in ("precision", "recall", "f1")]
-        out = out.join(part, "job_id", "left").withColumns({c: F.coalesce(c, F.lit(1.0)) for c in names})  # no items on either side
-    return out.withColumn("relation_f1_applicable", (F.col("predicted_relations") > 0) | (F.col("gold_relations") > 0))
+    scored = rows.withColumns({"entity_exact": tuple_score(F.col("_pe"), F.col("_ge")), "entity_partial": partial_score(F.col("_pe"), F.col("_ge")), "relation_exact": tuple_score(F.col("_pr"), F.col("_gr"))})
+    return scored.select(
+        *[c for c in met.columns if c not in ("parsed_output", "gold_output", "input_text")],
+        n("_pe").alias("predicted_entities"), n("_ge").alias("gold_entities"), n("_pr").alias("predicted_relations"), n("_gr").alias("gold_relations"),
+        unsupported.cast("long").alias("unsupported_entities"), F.coalesce(unsupported / F.nullif(F.size("_pe"), F.lit(0)), F.lit(0.0)).alias("hallucinated_entity_rate"),
+        *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("entity_exact", "entity_partial", "relation_exact") for c in ("precision", "recall", "f1")],
+        ((F.size("_pr") > 0) | (F.size("_gr") > 0)).alias("relation_f1_applicable"),
+    )

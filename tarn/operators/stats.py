@@ -3,25 +3,103 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.text import seed32
+from .compaction import settled, small
+from .ranks import ONE_RANGE, at_most, before
 
 
-def summary(value: str, prefix: str = "") -> list[Column]:
-    """n, mean, median, sample deviation (0 for one row), p90, p95 and maximum; nulls don't count, nothing gives nulls."""
-    q = lambda x: F.percentile(value, F.lit(x))
+QUANTILES = (0.5, 0.9, 0.95)
+
+
+def _moments(value: str) -> list[tuple[str, Column]]:
     std = F.when(F.count(value) > 0, F.coalesce(F.stddev_samp(value), F.lit(0.0)))
-    cols = [("n", F.count(value)), ("mean", F.avg(value)), ("median", q(0.5)), ("std", std), ("p90", q(0.9)), ("p95", q(0.95)), ("max", F.max(value))]
+    return [("n", F.count(value)), ("mean", F.avg(value)), ("std", std), ("max", F.max(value))]
+
+
+def summary(value: str, prefix: str = "") -> list[Column]:
+    """n, mean, median, sample deviation (0 for one row), p90, p95 and maximum; nulls don't count, nothing gives nulls. For groups whose distinct
+    values fit into a task, as one buffer; else summarised."""
+    q = F.percentile(value, F.lit(list(QUANTILES)))
+    m = dict(_moments(value))
+    cols = [("n", m["n"]), ("mean", m["mean"]), ("median", q[0]), ("std", m["std"]), ("p90", q[1]), ("p95", q[2]), ("max", m["max"])]
     return [c.alias(prefix + n) for n, c in cols]
 
 
+ACCURACY = 10_000  # of the sketch that brackets a percentile
+LARGE = 200_000  # values of a group from which on its percentiles are selected in two passes
+
+
+def _selected(rows: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], groups: DataFrame) -> DataFrame:
+    """(keys, _q, _x) by percentile: the exact one, null where the bracket misses it. groups: keys, _n, and _lo and _hi, the brackets by percentile."""
+    on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys], F.lit(True))
+    met = rows.select(*keys, F.col(value).cast("double").alias("_v")).alias("l").join(small(groups).alias("g"), on).select("l.*", "_n", "_lo", "_hi")
+    each = F.transform(F.sequence(F.lit(0), F.lit(len(qs) - 1)), lambda i: F.struct(i.alias("_q"), (F.col("_v") < F.get("_lo", i)).alias("_below"), F.col("_v").between(F.get("_lo", i), F.get("_hi", i)).alias("_in")))
+    hits = met.select(*keys, "_n", "_v", F.explode(F.filter(each, lambda x: x["_below"] | x["_in"])).alias("h")).select(*keys, "_n", "h._q", F.when(F.col("h._in"), F.col("_v")).alias("_v"))
+    counts = settled(hits.groupBy(*keys, "_n", "_q", "_v").agg(F.count("*").alias("_c")))  # what lies below is one row, null, the first in order
+    by = [*keys, "_n", "_q"]
+    placed = before(counts, by, ["_v"], {"_b": "_c"})
+    fraction = F.element_at(F.lit(list(qs)), F.col("_q") + 1)
+    place = (F.col("_n") - 1) * fraction
+    at = lambda r: F.max(F.when((F.col("_b") <= r) & (r < F.col("_b") + F.col("_c")), F.col("_v")))
+    both = placed.withColumn("_p", place).groupBy(*by).agg(at(F.floor("_p")).alias("_low"), at(F.ceil("_p")).alias("_high"), F.max("_p").alias("_p"))
+    x = F.when(F.floor("_p") == F.ceil("_p"), F.col("_low")).otherwise((F.ceil("_p") - F.col("_p")) * F.col("_low") + (F.col("_p") - F.floor("_p")) * F.col("_high"))
+    return both.select(*keys, "_q", x.alias("_x"))
+
+
+def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float] = QUANTILES, large: int = LARGE, accuracy: int = ACCURACY) -> DataFrame:
+    """(keys, percentiles): the exact percentiles of each group's values other than null, interpolated between neighbours as percentile() does; a group
+    without values has null.
+
+    No buffer grows with a group: of groups of more than `large` values, a quantile sketch of fixed size brackets each percentile, then values below the
+    bracket are counted and only those within it, some 4 / accuracy of all, are counted by value and ranked by ranges (ranks.before).
+    Smaller groups are one aggregate. NaN is the largest value."""
+    plain = lambda r: r.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.lit(list(qs))).alias("percentiles"))
+    if at_most(rows, ONE_RANGE) and large >= LARGE:
+        return plain(rows)
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > large)
+    big = settled(counted)
+    if big.isEmpty():
+        return plain(rows)
+    on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys], F.lit(True))
+    own = rows.alias("l").join(small(big).alias("g"), on, "left_semi").where(F.col(value).isNotNull())
+    rest = rows.alias("l").join(small(big).alias("g"), on, "left_anti")
+    margin = 2 / accuracy
+    ends = [max(0.0, q - margin) for q in qs] + [min(1.0, q + margin) for q in qs]
+    low = lambda c: F.array(*[F.lit(float("-inf")) if q <= margin else F.get(c, i) for i, q in enumerate(qs)])
+    high = lambda c: F.array(*[F.lit(float("nan")) if q >= 1 - margin else F.get(c, i + len(qs)) for i, q in enumerate(qs)])
+    sketch = own.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(F.col(value).cast("double"), ends, accuracy).alias("_e"))
+    groups = settled(sketch.select(*keys, "_n", low(F.col("_e")).alias("_lo"), high(F.col("_e")).alias("_hi")))
+    found = settled(_selected(own, keys, value, qs, groups))
+    missed = found.where("_x is null").select(*keys).distinct()
+    if not missed.isEmpty():  # a sketch that erred by more than it may: all of the group's values are the bracket
+        all_ = lambda x: F.array(*[F.lit(float(x))] * len(qs))
+        wide = groups.alias("l").join(missed.alias("g"), on, "left_semi").withColumns({"_lo": all_("-inf"), "_hi": all_("nan")})
+        found = found.alias("l").join(missed.alias("g"), on, "left_anti").unionByName(_selected(own, keys, value, qs, wide))
+    lists = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_q", "_x"))), lambda s: s["_x"]).alias("percentiles"))
+    return plain(rest).unionByName(lists) if keys else lists
+
+
+def summarised(rows: DataFrame, keys: Sequence[str], value: str, prefix: str = "", more: Sequence[Column] = ()) -> DataFrame:
+    """summary by keys, for groups of any size, with further aggregates."""
+    names = [prefix + n for n in ("n", "mean", "median", "std", "p90", "p95", "max")]
+    if at_most(rows, ONE_RANGE):
+        return rows.groupBy(*keys).agg(*summary(value, prefix), *more)
+    some = rows.groupBy(*keys).agg(*[c.alias(prefix + n) for n, c in _moments(value)], *more)
+    q = exact_percentiles(rows, keys, value).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.get("percentiles", i).alias(prefix + n) for i, n in enumerate(("median", "p90", "p95"))])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.lit(True))
+    rest = [c for c in some.columns if c not in names and c not in keys]
+    return some.join(q, on, "left").select(*keys, *names, *rest)
+
+
 PRIME = 2147483647  # of the draws' arithmetic, which fits into a long and is the same in every engine
 
 
@@ -36,39 +114,99 @@ def draw(seed: Column, i: Column, j: Column, n: Column) -> Column:
     return fifth((x + i * 31 + j * 17 + 1) % PRIME) % n
 
 
-def bootstrap_mean(values: DataFrame, keys: Sequence[str], value: str, draws: int = 2000, most: int = 20_000, most_all: int = 2_000_000) -> DataFrame:
-    """n, mean, ci_low and ci_high by keys, the same in every run and engine: draw j of iteration i takes the row at place draw(seed of the
-    keys, i, j) of the values in order. The reference draws 2000 samples for scores, the default, and 5000 for dropout and drift.
+@F.pandas_udf(ArrayType(DoubleType()))
+def _drawn(values: pd.Series, seed: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+    """The means of iterations first to last over ascending values: what draw does, some hundred thousand places at once."""
+
+    def fifth(x):
+        two = x * x % PRIME
+        return two * two % PRIME * x % PRIME
+
+    def one(values, seed, first, last):
+        v, n = np.asarray(values, float), len(values)
+        j, out = np.arange(n, dtype=np.int64), []
+        step = max(1, 500_000 // n)
+        for at in range(first, last, step):
+            i = np.arange(at, min(at + step, last), dtype=np.int64)[:, None]
+            x = fifth((int(seed) + i * 1000003 + j * 7919 + 12345) % PRIME)
+            out += v[fifth((x + i * 31 + j * 17 + 1) % PRIME) % n].mean(axis=1).tolist()
+        return out
+
+    return pd.Series([one(*x) for x in zip(values, seed, first, last)])
+
 
-    Only means of samples are shuffled: where a key has at most `most` values, and all such keys together at most `most_all`, their values
-    are broadcast as arrays and each task makes whole samples; other keys' values meet their draws in an equi-join on keys and place."""
+RANGES = 1024  # of ranks, by which the draws of a large group are counted
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _drawn_by_counts(sizes: pd.Series, means: pd.Series, variances: pd.Series, seed: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+    """The means of iterations first to last. Each splits the n draws by binomials down the ranges; the sum of a range's draws has the range's
+    mean and variance, and sums over that many draws are normal."""
+
+    def one(sizes, means, variances, seed, first, last):
+        sizes, means, variances = (np.asarray(x, float) for x in (sizes, means, variances))
+        n = int(sizes.sum())
+        out = []
+        for i in range(first, last):
+            rng = np.random.default_rng([int(seed), i])
+            k = rng.multinomial(n, sizes / n)
+            out.append(float((k @ means + np.sqrt(k @ variances) * rng.standard_normal()) / n))
+        return out
+
+    return pd.Series([one(*x) for x in zip(sizes, means, variances, seed, first, last)])
+
+
+def _iterations(lists: DataFrame, keys: Sequence[str], draws: int, step: Column, made: Callable[[Column, Column], Column]) -> DataFrame:
+    """(keys, i, m): the mean of each iteration, of rows that are cut into steps of iterations and dealt out."""
+    deal = lists.sparkSession.sparkContext.defaultParallelism
+    chunks = lists.withColumn("_step", F.least(F.lit(draws), F.greatest(F.lit(1), step)).cast("int")).withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.col("_step"))))
+    means = made(F.col("_first"), F.least(F.col("_first") + F.col("_step"), F.lit(draws)))
+    each = chunks.repartition(deal, *keys, "_first").select(*keys, "_first", means.alias("_means"))
+    return each.select(*keys, "_first", F.posexplode("_means")).select(*keys, (F.col("_first") + F.col("pos")).cast("long").alias("i"), F.col("col").alias("m"))
+
+
+def bootstrap_mean(values: DataFrame, keys: Sequence[str], value: str, draws: int = 2000, most: int = 20_000, counted: int = 200_000) -> DataFrame:
+    """n, mean, ci_low and ci_high by keys, the same in every run. The reference draws 2000 samples for scores, the default, and 5000 for
+    dropout and drift.
+
+    A key with at most `most` values: draw j of iteration i takes the row at place draw(seed of the keys, i, j) of the values in order, as
+    every engine does it; its array is dealt out with some iterations at a time. A larger key's values are never gathered but ranked by ranges (ranks.before). Up to
+    `counted` of them meet the same draws in an equi-join on keys and place. Beyond, they become RANGES counts, means and variances, and an iteration draws how
+    often each range is met, so that it costs the number of ranges, not of values."""
     ok = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, value)
     seed = seed32(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]) if keys else F.lit(1).cast("long")
     size = ok.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    total = size.where(F.col("n") <= most).agg(F.sum("n")).first()[0] or 0
-    limit = most if total <= most_all else 0
+    largest, least, middling = size.agg(F.max("n"), F.min("n"), F.count_if((F.col("n") > most) & (F.col("n") <= counted))).first()
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
-    rounds = F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))
-    parts = []
-    if total:
-        spark = values.sparkSession
-        lists = ok.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("v")).where(F.size("v") <= limit).withColumn("seed", seed)
-        each = spark.range(0, draws, 1, max(1, min(draws, spark.sparkContext.defaultParallelism))).select(F.col("id").alias("i")).join(F.broadcast(lists))
-        drawn = each.select(*keys, "i", "v", "seed", F.size("v").cast("long").alias("n"), F.explode(F.sequence(F.lit(0), F.size("v") - 1)).alias("j"))
-        drawn = drawn.select(*keys, "i", F.get("v", draw(F.col("seed"), F.col("i"), F.col("j").cast("long"), F.col("n")).cast("int")).alias("x"))
-        parts.append(drawn.groupBy(*keys, "i").agg(F.avg("x").alias("m")))
-    large = size.where(F.col("n") > limit)
-    if not large.isEmpty():
-        ranks = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1
-        rows = ok.withColumn("at", ranks.cast("long")).alias("r")
-        drawn = large.withColumn("seed", seed).select(*keys, "n", "seed", F.explode(rounds).alias("i")).select(*keys, "n", "seed", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-        drawn = drawn.withColumn("at", draw(F.col("seed"), F.col("i"), F.col("j"), F.col("n"))).alias("d")
+    of = lambda cond, all_: ok if all_ else ok.alias("v").join(small(size.where(cond)).alias("s"), same("v", "s"), "left_semi")
+    if not largest:
+        return size.withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double")})
+    n, parts = F.col("n"), []
+    if least <= most:
+        few = of(n <= most, largest <= most)
+        lists = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("v")).withColumn("seed", seed)
+        parts.append(_iterations(lists, keys, draws, F.floor(F.lit(5_000_000) / F.size("v")), lambda a, b: _drawn("v", "seed", a, b)))
+    if middling:
+        rows = before(settled(of((n > most) & (n <= counted), False)), keys, [value], {"at": "1L"}).alias("r")
+        rounds = F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))
+        drawn = size.where((n > most) & (n <= counted)).withColumn("seed", seed).select(*keys, "n", "seed", F.explode(rounds).alias("i")).select(*keys, "n", "seed", "i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("j"))
+        drawn = drawn.withColumn("at", draw(F.col("seed"), F.col("i"), F.col("j"), n)).alias("d")
         met = drawn.join(rows, (F.col("d.at") == F.col("r.at")) & same("d", "r")).select(*[F.col(f"d.{k}").alias(k) for k in keys], "i", F.col(f"r.{value}").alias("x"))
         parts.append(met.groupBy(*keys, "i").agg(F.avg("x").alias("m")))
-    if not parts:
-        return size.withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double")})
+    most = max(most, counted)
+    if largest > most:
+        own = of(n > most, least > most).withColumn("x", F.col(value).cast("double"))
+        ranked = before(settled(own.groupBy(*keys, "x").agg(F.count("*").alias("c"))), keys, ["x"], {"b": "c"}, {"n": "b"})
+        # a value that occurs often spans ranges; it goes to the one in which it begins, which only makes that one larger
+        ranges = ranked.withColumn("r", F.expr(f"b * {RANGES} div n")).groupBy(*keys, "r").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("x")).alias("s"), F.sum(F.col("c") * F.col("x") * F.col("x")).alias("ss"))
+        mean = F.col("s") / F.col("c")
+        variance = F.greatest(F.lit(0.0), F.col("ss") / F.col("c") - mean * mean)
+        lists = ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "c", mean.alias("m"), variance.alias("v")))).alias("l")).withColumn("seed", seed)
+        by = lambda f: F.transform("l", lambda s: s[f].cast("double"))
+        parts.append(_iterations(lists, keys, draws, F.lit(50), lambda a, b: _drawn_by_counts(by("c"), by("m"), by("v"), "seed", a, b)))
     means = reduce(lambda a, b: a.unionByName(b), parts)
-    ci = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
+    ends = F.percentile("m", F.lit([0.025, 0.975]))
+    ci = means.groupBy(*keys).agg(ends[0].alias("ci_low"), ends[1].alias("ci_high"))
     return size.alias("s").join(ci.alias("c"), same("s", "c")).select(*[F.col(f"s.{k}").alias(k) for k in keys], "n", "mean", "ci_low", "ci_high")
 
 
@@ -116,11 +254,11 @@ def mcnemar(b: str, c: str) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.when(few, small).otherwise(top * ratios)))
 
 
-def average_ranks(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, rank): the average rank of each value that occurs, from grouped counts, so only distinct values are sorted."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2).drop("c")
+def average_ranks(rows: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, name: str = "rank") -> DataFrame:
+    """(keys, value, name): the average rank of each value that occurs, from grouped counts, or sums of weight; a key is ranked by ranges."""
+    counts = settled(rows.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("_c")))
+    placed = before(counts, keys, [value], {"_b": "_c"})
+    return placed.select(*keys, value, (F.col("_b") + (F.col("_c") + 1) / 2).alias(name))
 
 
 @F.pandas_udf(DoubleType())
@@ -145,14 +283,13 @@ def wilcoxon_p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
 
 def wilcoxon(pairs: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
     """By keys, over right - left: pairs, n (differences other than 0), w, p, sign_effect and rank_biserial. Ranks come from how often
-    each size of difference occurs, so a key's pairs are combined before they are sorted."""
+    each size of difference occurs, and a key's differences are ranked by ranges."""
     good = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     d = pairs.where(good(left) & good(right)).withColumn("d", (F.col(right) - F.col(left)).cast("double")).withColumn("a", F.abs("d"))
-    counts = d.groupBy(*keys, "a").agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("pos"), F.count_if(F.col("d") < 0).alias("neg"))
+    counts = settled(d.groupBy(*keys, "a").agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("pos"), F.count_if(F.col("d") < 0).alias("neg")))
     other = F.col("a") > 0
-    before = F.sum(F.when(other, F.col("c")).otherwise(0)).over(Window.partitionBy(*keys).orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
-    r = F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2
-    ranked = counts.withColumn("r", r)
+    placed = before(counts, keys, ["a"], {"b": F.when(other, F.col("c")).otherwise(0)})
+    ranked = placed.withColumn("r", F.col("b") + (F.col("c") + 1) / 2)
     total = lambda c: F.coalesce(F.sum(F.when(other, c)), F.lit(0))
     c = F.col("c").cast("double")
     full = ranked.groupBy(*keys).agg(F.sum("c").alias("pairs"), total(F.col("c")).alias("n"), total(F.col("pos") * F.col("r")).alias("up"), total(F.col("neg") * F.col("r")).alias("down"), total(F.col("pos")).alias("pos"), total(F.col("neg")).alias("neg"), total(c * c * c - c).alias("ties"))
@@ -199,23 +336,17 @@ def correlation_p(rho: pd.Series, n: pd.Series) -> pd.Series:
 def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 4) -> DataFrame:
     """Rank correlation by keys, n, rho and p; null where a side has fewer than two values. Pairs with a null, NaN or infinite side don't
     count; groups of fewer than `least` pairs go."""
-    ok = rows.where(_finite(x) & _finite(y)).groupBy(*keys, x, y).agg(F.count("*").alias("c"))
-    weighted = lambda v: ok.groupBy(*keys, v).agg(F.sum("c").alias("c"))
-
-    def ranks(v: str, name: str) -> DataFrame:
-        before = F.sum("c").over(Window.partitionBy(*keys).orderBy(v).rowsBetween(Window.unboundedPreceding, -1))
-        return weighted(v).select(*keys, v, (F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2).alias(name))
-
+    ok = settled(rows.where(_finite(x) & _finite(y)).groupBy(*keys, x, y).agg(F.count("*").alias("_w")))
     on = lambda v: reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, v]])
-    first = ok.alias("l").join(ranks(x, "rx").alias("r"), on(x)).select("l.*", "rx")
-    both = first.alias("l").join(ranks(y, "ry").alias("r"), on(y)).select("l.*", "ry")
-    n, sx, sy = F.sum("c").cast("double"), F.sum(F.col("c") * F.col("rx")), F.sum(F.col("c") * F.col("ry"))
-    sxy = F.sum(F.col("c") * F.col("rx") * F.col("ry"))
-    sxx, syy = F.sum(F.col("c") * F.col("rx") * F.col("rx")), F.sum(F.col("c") * F.col("ry") * F.col("ry"))
+    first = ok.alias("l").join(average_ranks(ok, keys, x, "_w", "_rx").alias("r"), on(x)).select("l.*", "_rx")
+    both = first.alias("l").join(average_ranks(ok, keys, y, "_w", "_ry").alias("r"), on(y)).select("l.*", "_ry")
+    n, sx, sy = F.sum("_w").cast("double"), F.sum(F.col("_w") * F.col("_rx")), F.sum(F.col("_w") * F.col("_ry"))
+    sxy = F.sum(F.col("_w") * F.col("_rx") * F.col("_ry"))
+    sxx, syy = F.sum(F.col("_w") * F.col("_rx") * F.col("_rx")), F.sum(F.col("_w") * F.col("_ry") * F.col("_ry"))
     spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
     two = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     rho = F.when(two, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (n * sxy - sx * sy) / spread)))
-    out = both.groupBy(*keys).agg(F.sum("c").alias("n"), rho.alias("rho")).where(F.col("n") >= least)
+    out = both.groupBy(*keys).agg(F.sum("_w").alias("n"), rho.alias("rho")).where(F.col("n") >= least)
     return out.withColumn("p", F.when(F.col("rho").isNotNull(), correlation_p("rho", "n")))
 
 
@@ -231,11 +362,14 @@ def correlations(rows: DataFrame, x: str, targets: Sequence[str], groupings: Seq
     return holm(reduce(lambda a, b: a.unionByName(b), parts), "p", ["grouping", "target"], names).withColumn("significant", F.coalesce("significant", F.lit(0)))
 
 
-def by_level(rows: DataFrame, keys: Sequence[str], level: str, pairs: Sequence[tuple[str, str]], metrics: Sequence[str]) -> DataFrame:
-    """(keys, left_level, right_level, metric, left, right): the last value of each metric at both levels of each pair of a row's key; equal
-    keys are rows to pair. One grouped pivot for all levels and metrics, no self-join."""
+def by_level(rows: DataFrame, keys: Sequence[str], level: str, pairs: Sequence[tuple[str, str]], metrics: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """(keys, left_level, right_level, metric, left, right): the value of each metric at both levels of each pair of a row's key; equal
+    keys are rows to pair. Of several rows of a key and level the last one by order counts, without an order the largest value.
+    One grouped pivot for all levels and metrics, no self-join."""
     levels = [*dict.fromkeys(x for p in pairs for x in p)]
-    wide = rows.where(F.col(level).isin(*levels)).groupBy(*keys).agg(*[F.max(F.when(F.col(level) == v, F.col(m).cast("double"))).alias(f"{m}__{v}") for m in metrics for v in levels])
+    at = lambda m, v: F.when(F.col(level) == v, F.col(m).cast("double"))
+    one = (lambda m, v: F.max_by(F.col(m).cast("double"), F.when(F.col(level) == v, F.struct(*order)))) if order else (lambda m, v: F.max(at(m, v)))
+    wide = rows.where(F.col(level).isin(*levels)).groupBy(*keys).agg(*[one(m, v).alias(f"{m}__{v}") for m in metrics for v in levels])
     each = F.array(*[F.struct(F.lit(a).alias("left_level"), F.lit(b).alias("right_level"), F.lit(m).alias("metric"), F.col(f"{m}__{a}").alias("left"), F.col(f"{m}__{b}").alias("right")) for a, b in pairs for m in metrics])
     return wide.select(*keys, F.explode(each).alias("t")).select(*keys, "t.*").where("left is not null and right is not null")
 
@@ -255,13 +389,13 @@ def paired_binary(rows: DataFrame, groups: Sequence[str], unit: Sequence[str], l
 
 def summaries(rows: DataFrame, groupings: Sequence[Sequence[str]], metrics: Sequence[str], draws: int = 2000) -> DataFrame:
     """By each grouping, pooled rows: documents and of every metric n, mean, median, std, p90, p95, max, ci_low, ci_high; in long form, with
-    null keys where not grouped by. Nulls don't count."""
+    null keys where not grouped by. Nulls don't count. rows is made once for all groupings."""
     names = [*dict.fromkeys(k for g in groupings for k in g)]
-    long = rows.select(*names, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("t")).select(*names, "t.*")
+    long = settled(rows.select(*names, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("t")).select(*names, "t.*"))
     parts = []
     for g in groupings:
         by = [*g, "metric"]
-        some = long.groupBy(*by).agg(F.count("*").alias("documents"), *summary("value"))
+        some = summarised(long, by, "value", more=[F.count("*").alias("documents")])
         ci = bootstrap_mean(long, by, "value", draws).select(*[F.col(k).alias(f"c_{k}") for k in by], "ci_low", "ci_high")
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in by])
         met = some.join(ci, on, "left").drop(*[f"c_{k}" for k in by])

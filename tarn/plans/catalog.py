@@ -324,12 +324,13 @@ def label_drift(spark, d):
 
 
 @query("""SELECT lang, source, count(*) AS documents, count(*) FILTER (length(trim(text)) > 0) AS eligible, sum(n_chars)::bigint AS chars, round_even(coalesce(avg(n_chars) FILTER (length(trim(text)) > 0), 0), 2) AS mean_chars,
-coalesce(median(n_chars) FILTER (length(trim(text)) > 0), 0) AS median_chars, coalesce(min(n_chars), 0) AS min_chars, coalesce(max(n_chars), 0) AS max_chars FROM documents GROUP BY 1, 2""")
+coalesce(median(n_chars) FILTER (length(trim(text)) > 0), 0) AS median_chars, coalesce(min(n_chars) FILTER (length(trim(text)) > 0), 0) AS min_chars,
+coalesce(max(n_chars) FILTER (length(trim(text)) > 0), 0) AS max_chars FROM documents GROUP BY 1, 2""")
 def split_summary(spark, d):
     ok = F.length(F.trim("text")) > 0
     q = t(spark, d, "documents").groupBy("lang", "source")
     n = F.when(ok, F.col("n_chars"))
-    return q.agg(F.count("*").alias("documents"), F.count_if(ok).alias("eligible"), F.sum("n_chars").alias("chars"), F.bround(F.coalesce(F.avg(n), F.lit(0.0)), 2).alias("mean_chars"), F.coalesce(F.median(n), F.lit(0.0)).alias("median_chars"), F.coalesce(F.min("n_chars"), F.lit(0)).alias("min_chars"), F.coalesce(F.max("n_chars"), F.lit(0)).alias("max_chars"))
+    return q.agg(F.count("*").alias("documents"), F.count_if(ok).alias("eligible"), F.sum("n_chars").alias("chars"), F.bround(F.coalesce(F.avg(n), F.lit(0.0)), 2).alias("mean_chars"), F.coalesce(F.median(n), F.lit(0.0)).alias("median_chars"), F.coalesce(F.min(n), F.lit(0)).alias("min_chars"), F.coalesce(F.max(n), F.lit(0)).alias("max_chars"))
 
 
 @query("""SELECT lang, count(*) AS n, count(DISTINCT source) AS sources FROM documents GROUP BY 1""")

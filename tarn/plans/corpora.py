@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nested, prompts, text
-from ..operators import compaction, corpus, sampling
+from ..operators import compaction, corpus, normalise, sampling
 from ..operators.drift import unit
 from ..sources import readers, writers
 from .catalog import query, r6, t
@@ -27,15 +28,44 @@ def jsonl_round_trip(spark, d):
     return readers.strict_jsonl(spark, at, rows.schema).withColumn("written", F.lit(n))
 
 
-@query("""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+@query("""SELECT user_id, event_id, event_type FROM events WHERE event_id % 7 <> 3 AND event_id % 7 <> 5 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def appended_log_with_torn_lines(spark, d):
     rows, at = t(spark, d, "events").select("user_id", "event_id", "event_type"), workspace(spark)
-    writers.jsonl(rows.where("event_id % 2 = 0"), at)
-    writers.jsonl(rows.where("event_id % 2 = 1"), at, mode="append")
+    good = "event_id % 7 <> 3 AND event_id % 7 <> 5"
+    writers.jsonl(rows.where(f"event_id % 2 = 0 AND {good}"), at)
+    writers.jsonl(rows.where(f"event_id % 2 = 1 AND {good}"), at, mode="append")
+    text_ = F.to_json(F.struct(*rows.columns))
+    bad = F.when(F.col("event_id") % 7 == 3, F.concat(text_, F.lit(" trailing"))).otherwise(F.concat(F.lit("["), text_, F.lit("]")))
+    rows.where(f"NOT ({good})").select(bad).write.mode("append").text(at)
     rows.select(F.concat(F.lit('{"user_id": 1, "event_id": 9'), "event_id")).write.mode("append").text(at)  # torn
     return compaction.latest(readers.tolerant_jsonl(spark, at, rows.schema), "user_id", ["event_id"])
 
 
+@query("""SELECT CASE event_id % 6 WHEN 0 THEN 'array' WHEN 1 THEN 'trailing' WHEN 2 THEN 'torn' WHEN 3 THEN 'scalar' WHEN 4 THEN 'blank' ELSE 'object' END AS kind, CASE WHEN event_id % 6 = 4 THEN 0 ELSE count(*) END AS lines, CASE WHEN event_id % 6 >= 4 THEN 0 ELSE count(*) END AS errors FROM events GROUP BY event_id % 6""")
+def marked_lines(spark, d):
+    """What each kind of line comes as; blank lines don't come."""
+    at, e = workspace(spark), F.col("event_id")
+    text_ = F.to_json(F.struct("event_id", "event_type"))
+    kinds = ["array", "trailing", "torn", "scalar", "blank", "object"]
+    line = F.element_at(F.array(F.concat(F.lit("["), text_, F.lit("]")), F.concat(text_, F.lit(" {}")), F.substring(text_, 1, 12), e.cast("string"), F.lit("  "), text_), (e % 6 + 1).cast("int"))
+    t(spark, d, "events").withColumn("kind", F.element_at(F.array(*map(F.lit, kinds)), (e % 6 + 1).cast("int"))).select("kind", line.alias("value")).repartition(4, "kind").write.partitionBy("kind").text(at)
+    parts = []
+    for k in kinds:
+        found = readers.json_lines(spark, f"{at}/kind={k}", "marked", part_bytes=1 << 16)
+        parts.append(found.agg(F.count("*").alias("lines"), F.count("error").alias("errors")).select(F.lit(k).alias("kind"), "lines", "errors"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id) = 1""")
+def latest_of_partitioned_logs(spark, d):
+    """The last record of each user over three logs, by file and place; each log has its records from the last to the first."""
+    rows, at = t(spark, d, "events").select("user_id", "event_id", "event_type"), workspace(spark)
+    for k in range(3):
+        rows.where(F.col("event_id") % 3 == k).coalesce(1).sortWithinPartitions(F.desc("event_id")).write.json(f"{at}/log-{k}")
+    logs = readers.partitioned_log(spark, f"{at}/log-*", rows.schema)
+    return compaction.latest(logs, "user_id", ["file_path", "offset"]).select(*rows.columns)
+
+
 @query("""SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part""")
 def csv_round_trip(spark, d):
     rows, at = t(spark, d, "part"), workspace(spark)
@@ -63,20 +93,30 @@ def files_by_split(spark, d):
     return found.groupBy("dataset", "split").agg(F.count("*").alias("n")).join(whole, "split").select("dataset", "split", "n", "all_n")
 
 
-@query("""SELECT item_id, text FROM benchmark""")
+@query("""SELECT item_id, text, NULL::varchar AS error FROM benchmark UNION ALL SELECT NULL, NULL, 'not JSON ' || item_id FROM benchmark WHERE item_id % 4 = 3""")
 def wrapped_json_records(spark, d):
+    """Files of three shapes, an object that wraps its records, an array, and lines, of which some are no JSON."""
     rows, at = t(spark, d, "benchmark"), workspace(spark)
-    rows.groupBy((F.col("item_id") % 3).alias("g")).agg(F.to_json(F.struct(F.collect_list(F.struct("item_id", "text")).alias("records"))).alias("value")).write.partitionBy("g").text(at)
-    found = readers.json_records(spark, f"{at}/*/*.txt").where("error is null").select(F.from_json("record", rows.schema).alias("r"))
-    return found.select("r.*")
-
-
-@query(r"""SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS chars FROM conversations""")
+    one = F.to_json(F.struct("item_id", "text"))
+    shape = lambda g: rows.where(F.col("item_id") % 3 == g)
+    shape(0).agg(F.to_json(F.struct(F.lit("x").alias("name"), F.collect_list(F.struct("item_id", "text")).alias("records")))).write.text(f"{at}/wrapped")
+    shape(1).agg(F.to_json(F.collect_list(F.struct("item_id", "text")))).write.text(f"{at}/array")
+    shape(2).select(one).write.text(f"{at}/lines")
+    rows.where("item_id % 4 = 3").select(F.concat(F.lit("not JSON "), "item_id").alias("value")).write.mode("append").text(f"{at}/lines")
+    found = readers.json_records(spark, f"{at}/*/*.txt")
+    read = found.select(F.from_json("record", rows.schema).alias("r"), "error").select("r.item_id", "r.text", "error")
+    # the message names the line; which it is depends on how the rows were dealt to files
+    broken = read.where("error is not null").agg(F.count("*").alias("n")).join(rows.where("item_id % 4 = 3").select(F.concat(F.lit("not JSON "), "item_id").alias("error")))
+    return read.where("error is null").unionByName(broken.where(F.col("n") == rows.where("item_id % 4 = 3").count()).select(F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("string").alias("text"), "error"))
+
+
+@query(r"""SELECT conv_id // 16 AS file, trim(regexp_replace(string_agg(text, ' ' ORDER BY conv_id, turn), '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(string_agg(text, ' ' ORDER BY conv_id, turn), '\s+', ' ', 'g'))) AS chars FROM conversations GROUP BY 1""")
 def whole_text_files(spark, d):
-    rows, at = t(spark, d, "conversations"), workspace(spark)
-    rows.select(F.col("text").alias("value"), F.concat_ws("-", "conv_id", "turn").alias("name")).write.partitionBy("name").text(at)
-    found = readers.text_files(spark, f"{at}/*/*.txt").select("text", F.split(F.regexp_extract("path", r"name=(\d+-\d+)/", 1), "-").alias("k"))
-    return found.select(F.col("k")[0].cast("long").alias("conv_id"), F.col("k")[1].cast("long").alias("turn"), "text", F.length("text").alias("chars"))
+    rows, at = t(spark, d, "conversations").withColumn("file", F.expr("conv_id div 16")), workspace(spark)
+    lines = F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text")))
+    rows.groupBy("file").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("value")).write.partitionBy("file").text(at)
+    found = readers.text_files(spark, f"{at}/*/*.txt")
+    return found.select(F.regexp_extract("path", r"file=(\d+)/", 1).cast("long").alias("file"), "text", F.length("text").alias("chars"))
 
 
 _PATHS = """paths AS (SELECT '/corpus/' || CASE doc_id % 3 WHEN 0 THEN 'documents/' WHEN 1 THEN 'annotations/aggregated/participants/' ELSE 'annotations/individual/outcomes/' END
@@ -166,33 +206,67 @@ def free_form_json(spark, d):
     return rows.select("conv_id", "turn", n.alias("entities"), labels.alias("labels"), nested.record_text(F.col("raw")).alias("body"), nested.record_id(F.get_json_object("raw", "$.data")).alias("id"))
 
 
-_P = ["P1", "P2", "P3", "P4", "A2", "A4", "A6"]
 _TYPES, _RELS = ["Task", "Method"], ["Used-for"]
-_SCHEMA = 'Schema: {"entities":[{"text":"a span of the text","type":"Task | Method"}],"relations":[{"head":"an entity\'\'s text","type":"Used-for","tail":"an entity\'\'s text"}]}'
-_DEFS = "Types:\n- Task: what is to be done\n- Method: how it is done\nRelations: Used-for"
-
-
-def _sql_prompt() -> str:
-    pad = prompts.BLOCKS["types"]
-    i = 0
-    while len(pad) < 600:
-        pad += "\n" + prompts.RULES[i % len(prompts.RULES)]
-        i += 1
-    known = {**{k: "'" + v.replace("'", "''") + "'" for k, v in prompts.BLOCKS.items()}, "rules": "'" + "\n".join(prompts.RULES) + "'", "padding": f"'{pad}'", "schema": f"'{_SCHEMA}'", "definitions": f"'{_DEFS}'", "input": "'Text: ' || text"}
-    return "CASE condition " + " ".join(f"WHEN '{c}' THEN concat_ws(chr(10), {', '.join(known[b] for b in prompts.CONDITIONS[c])})" for c in _P) + " END"
+_MAIN, _ABLATION = ["P1", "P2", "P3", "P4", "P5", "P6"], ["A2", "A3", "A4", "A5", "A6"]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# the conditions are written out here, not taken from the table that the query reads
+_JOBS = f"""WITH rec AS (SELECT 'd' || conv_id % 2 AS dataset, conv_id || '-' || turn AS record_id, text, sha256(conv_id || '-' || turn) AS h FROM conversations),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY length(text), h) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM rec),
+strata AS (SELECT *, CASE WHEN r <= round_even(n / 4, 0) THEN 0 WHEN r <= round_even(n / 2, 0) THEN 1 WHEN r <= round_even(n * 3 / 4, 0) THEN 2 ELSE 3 END AS s FROM ranked),
+sample AS (SELECT dataset, record_id FROM strata QUALIFY row_number() OVER (PARTITION BY dataset, s ORDER BY h) <= 2),
+pool AS (SELECT 'd' || item_id % 2 AS dataset, text, sha256(item_id::varchar) AS h FROM benchmark QUALIFY row_number() OVER (PARTITION BY 'd' || item_id % 2 ORDER BY length(text), sha256(item_id::varchar)) <= 10),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY h) AS k FROM pool QUALIFY k <= 3),
+shown AS (SELECT dataset, k, 'Example ' || k || chr(10) || 'Text: ' || text || chr(10) || 'Answer: {{"entities":[{{"text":"' || split_part(text, ' ', 1) || '","type":"Task"}}],"relations":[]}}' AS demo FROM chosen),
+demos AS (SELECT dataset, string_agg(demo, chr(10) || chr(10) ORDER BY k) AS demos, any_value(demo) FILTER (k = 1) AS demo FROM shown GROUP BY 1),
+b AS (SELECT 'Find the entities that the text below states. Types: Task, Method. Relations: Used-for.' AS task, {_quoted(prompts.BLOCKS["format"])} AS form, {_quoted(prompts.BLOCKS["grounding"])} AS ground,
+ {_quoted(prompts.BLOCKS["negative"])} AS neg, {_quoted(prompts.BLOCKS["reminders"])} AS again,
+ 'Schema: {{"entities":[{{"text":"a span of the text","type":"Task | Method"}}],"relations":[{{"head":"an entity''s text","type":"Used-for","tail":"an entity''s text"}}]}}' AS shape,
+ 'Types:' || chr(10) || '- Task: what is to be done' || chr(10) || '- Method: how it is done' || chr(10) || 'Relations: Used-for' AS defs,
+ 'Answer with JSON only: spans copied from the text, nothing guessed. Types: Task, Method. Relations: Used-for. Check spans, types, ends of relations and the JSON.' AS brief),
+long AS (SELECT rec.*, b.*, d.demo, d.demos, 'Text: ' || text AS inp, concat_ws(chr(10), task, form, ground, defs, neg, again, demos, shape, 'Text: ' || text) AS p6 FROM rec JOIN demos d USING (dataset), b),
+main AS (SELECT dataset, record_id, text, 'main' AS phase, unnest([{{'c': 'P1', 'p': concat_ws(chr(10), task, shape, inp)}}, {{'c': 'P2', 'p': concat_ws(chr(10), task, form, shape, inp)}},
+ {{'c': 'P3', 'p': concat_ws(chr(10), task, form, ground, shape, inp)}}, {{'c': 'P4', 'p': concat_ws(chr(10), task, form, ground, demo, shape, inp)}},
+ {{'c': 'P5', 'p': concat_ws(chr(10), task, form, ground, defs, demos, shape, inp)}}, {{'c': 'P6', 'p': p6}}]) AS x FROM long),
+more AS (SELECT dataset, record_id, text, 'ablation' AS phase, unnest([{{'c': 'A2', 'p': concat_ws(chr(10), task, form, ground, demos, shape, inp)}}, {{'c': 'A3', 'p': concat_ws(chr(10), task, form, ground, defs, shape, inp)}},
+ {{'c': 'A4', 'p': concat_ws(chr(10), task, form, ground, neg, shape, inp)}},
+ {{'c': 'A5', 'p': concat_ws(chr(10), list_reduce(list_prepend(concat_ws(chr(10), task, form, ground), flatten(list_transform(range(400), lambda i: [{", ".join(map(_quoted, prompts.RULES))}]))),
+   lambda acc, x: CASE WHEN length(acc) >= greatest(length(p6) - length(text), 1) THEN acc ELSE acc || chr(10) || x END), shape, inp)}},
+ {{'c': 'A6', 'p': concat_ws(chr(10), brief, defs, neg, demos, shape, inp)}}]) AS x FROM long SEMI JOIN sample USING (dataset, record_id)),
+j AS (SELECT 'm' || m AS model_id, dataset, record_id, phase, x.c AS condition, CASE dataset WHEN 'd0' THEN 768 ELSE 2048 END::int AS max_new_tokens, x.p AS prompt, text FROM (SELECT * FROM main UNION ALL SELECT * FROM more), range(3) r(m))"""
+
+
+def job_records(spark, d):
+    return t(spark, d, "conversations").select(F.concat(F.lit("d"), F.col("conv_id") % 2).alias("dataset"), F.lit("all").alias("split"), F.concat_ws("-", "conv_id", "turn").alias("record_id"), F.col("text").alias("input_text"))
+
+
+def experiment(spark, d):
+    """The job table over all eleven conditions, written with its checks."""
+    records = job_records(spark, d)
+    sized = records.select("dataset", "split", "record_id", F.length("input_text").alias("size"), F.sha2("record_id", 256).alias("h"))
+    sample = sampling.quartile_sample(sized, ["dataset"], ["size"], "h", 8)
+    train = t(spark, d, "benchmark").select(F.concat(F.lit("d"), F.col("item_id") % 2).alias("dataset"), F.col("text").alias("input_text"), F.length("text").alias("size"), F.sha2(F.col("item_id").cast("string"), 256).alias("h"))
+    output = F.to_json(F.struct(F.array(F.struct(F.split_part("input_text", F.lit(" "), F.lit(1)).alias("text"), F.lit("Task").alias("type"))).alias("entities"), F.expr("cast(array() as array<string>)").alias("relations")))
+    chosen = sampling.demos(train, "size", "h", 10, 3, ["dataset"]).withColumn("output", output)
+    shown = chosen.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("h", "input_text", "output"))).alias("demos"))
+    phases = spark.createDataFrame([*[(c, "main") for c in _MAIN], *[(c, "ablation") for c in _ABLATION]], "condition string, phase string")
+    conditions = phases.join(prompts.condition_table(spark), "condition")
+    models = spark.createDataFrame([(f"m{i}",) for i in range(3)], "model_id string")
+    caps = spark.createDataFrame([("d0", 768), ("d1", 2048)], "dataset string, max_new_tokens int")
+    types, rels = (F.array(*map(F.lit, x)) for x in (_TYPES, _RELS))
+    defs = F.array(*[F.struct(F.lit(a).alias("type"), F.lit(b).alias("meaning")) for a, b in (("Task", "what is to be done"), ("Method", "how it is done"))])
+    values = {"task": prompts.task_text(types, rels), "compressed": prompts.compressed_text(types, rels), "schema": prompts.schema_text(types, rels), "definitions": prompts.definitions_text(defs, rels)}
+    return corpus.experiment_jobs(records, sample, shown, conditions, models, caps, workspace(spark), values)
 
 
-@query(f"""WITH j AS (SELECT conv_id || '-' || turn AS record_id, text, condition, 'm' || m AS model_id FROM conversations, (SELECT unnest({_P}) AS condition), range(3) r(m)), p AS (SELECT *, {_sql_prompt()} AS prompt FROM j)
-SELECT substr(sha256(concat_ws('|', model_id, 'conversations', 'all', record_id, CASE WHEN condition LIKE 'P%' THEN 'main' ELSE 'ablation' END, condition)), 1, 24) AS job_id, record_id, model_id, condition, sha256(prompt) AS prompt_sha256, length(prompt) AS prompt_characters, length(text) AS input_characters FROM p""")
+@query(_JOBS + """ SELECT substr(sha256(concat_ws('|', model_id, dataset, 'all', record_id, phase, condition)), 1, 24) AS job_id, dataset, record_id, model_id, phase, condition, max_new_tokens,
+sha256(prompt) AS prompt_sha256, length(prompt) AS prompt_characters, length(text) AS input_characters FROM j""")
 def job_table(spark, d):
-    records = t(spark, d, "conversations").select(F.lit("conversations").alias("dataset"), F.lit("all").alias("split"), F.concat_ws("-", "conv_id", "turn").alias("record_id"), F.col("text").alias("input_text"))
-    conditions = spark.createDataFrame([(c, "main" if c.startswith("P") else "ablation") for c in _P], "condition string, phase string")
-    models = spark.createDataFrame([(f"m{i}", 900) for i in range(3)], "model_id string, max_new_tokens int")
-    types, rels = (F.array(*map(F.lit, x)) for x in (_TYPES, _RELS))
-    defs = F.array(*[F.struct(F.lit(a).alias("type"), F.lit(b).alias("meaning")) for a, b in (("Task", "what is to be done"), ("Method", "how it is done"))])
-    parts = {"input": F.concat(F.lit("Text: "), "input_text"), "schema": prompts.schema_text(types, rels), "definitions": prompts.definitions_text(defs, rels)}
-    q = corpus.job_table(records, conditions, models, prompts.build_prompt(F.col("condition"), parts))
-    return q.select("job_id", "record_id", "model_id", "condition", "prompt_sha256", "prompt_characters", "input_characters")
+    return experiment(spark, d).drop("split")
 
 
 @query("""WITH j AS (SELECT doc_id, sha256(text) AS h, n_chars FROM documents), q AS (SELECT j.*, CASE WHEN l.doc_id IS NULL THEN 'MissingRecord' WHEN doc_id % 7 = 0 THEN 'PromptHashMismatch' WHEN n_chars + 900 > 4000 THEN 'ContextOverflow' END AS error_type FROM j LEFT JOIN labels l USING (doc_id))
@@ -259,3 +333,78 @@ def repeated_keys(spark, d):
     twice = compaction.repeated_keys(docs, ["lang", "source"]).groupBy("lang").agg(F.count("*").alias("k"))
     q = g.groupBy("lang").agg(F.count("*").alias("sources"), F.min("n").alias("least"), F.max("n").alias("most")).alias("a").join(twice.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")
     return q.select("a.lang", "sources", "least", "most", F.col("k").isNotNull().alias("repeated"))
+
+
+# Raw documents of the three shapes, from conversations: sentences of seven words, spans at their beginnings, some of which don't fit.
+_WORDS_OF = r"list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+_TOKENS = rf"""c AS (SELECT conv_id || '-' || turn AS record_id, {_WORDS_OF} AS w FROM conversations), u AS (SELECT *, len(w) AS n FROM c),
+tok AS (SELECT record_id, n, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS x FROM u), o AS (SELECT *, coalesce(sum(length(x) + 1) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS s FROM tok),
+sent AS (SELECT record_id, w, n, k FROM u, LATERAL (SELECT unnest(range((n + 6) // 7)) AS k)),
+ent AS (SELECT record_id, w, n, k, 7 * k AS a, 7 * k + k % 3 AS b, 'T' || k % 2 AS type FROM sent),
+fit AS (SELECT e.*, p.s AS start_char, q.s + length(q.x) AS end_char, array_to_string(w[a + 1 : b + 1], ' ') AS text FROM ent e JOIN o p ON p.record_id = e.record_id AND p.i = a JOIN o q ON q.record_id = e.record_id AND q.i = b)"""
+
+
+def _token_sources(spark, d):
+    words = F.filter(F.split(text.normal_space(F.col("text")), " "), lambda x: x != "")
+    rows = t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), words.alias("w"))
+    k = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 7).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    item = lambda i: F.concat(F.lit("["), (7 * i).cast("string"), F.lit(","), (7 * i + i % 3).cast("string"), F.lit(',"T'), (i % 2).cast("string"), F.lit('"]'))
+    link = lambda i: F.concat(F.lit("["), (7 * i).cast("string"), F.lit(","), (7 * i + i % 3).cast("string"), F.lit(","), (7 * i + 7).cast("string"), F.lit(","), (7 * i + 7).cast("string"), F.lit(',"R"]'))
+    listed = lambda f: F.concat(F.lit("["), F.array_join(F.transform(k, lambda i: F.concat(F.lit("["), f(i), F.lit("]"))), ","), F.lit("]"))
+    sentences = F.to_json(F.transform(k, lambda i: F.slice("w", 7 * i + 1, 7)))
+    raw = F.concat(F.lit('{"doc_key":"'), "record_id", F.lit('","sentences":'), F.when(F.size("w") > 0, sentences).otherwise(F.lit("[]")), F.lit(',"ner":'), listed(item), F.lit(',"relations":'), listed(link), F.lit(',"clusters":[[[0,0],[7,7]],[[-1,0]],3]}'))
+    return rows.select("record_id", raw.alias("raw"))
+
+
+@query(f"""WITH {_TOKENS},
+e AS (SELECT record_id, string_agg(concat_ws(':', 'E' || lpad(k::varchar, 4, '0'), type, a, b, start_char, end_char, text), '|' ORDER BY k) AS entities, count(*) AS n FROM fit GROUP BY 1),
+r AS (SELECT h.record_id, string_agg(concat_ws(':', 'R' || lpad(h.k::varchar, 4, '0'), 'E' || lpad(h.k::varchar, 4, '0'), CASE WHEN (h.k + 1) % 3 = 0 THEN 'E' || lpad((h.k + 1)::varchar, 4, '0') ELSE '-' END, h.text, p.x), '|' ORDER BY h.k) AS relations, count(*) AS n
+ FROM fit h JOIN o p ON p.record_id = h.record_id AND p.i = 7 * h.k + 7 GROUP BY 1),
+bad AS (SELECT record_id, count(*) FILTER (b >= n) + count(*) FILTER (b >= n OR 7 * k + 7 >= n) AS errors FROM ent GROUP BY 1)
+SELECT u.record_id, u.n::int AS tokens, ((u.n + 6) // 7)::int AS sentences, sha256(array_to_string(w, ' ')) AS text_sha256, coalesce(e.entities, '') AS entities, coalesce(r.relations, '') AS relations, coalesce(e.n, 0)::int AS n_entities, coalesce(r.n, 0)::int AS n_relations,
+CASE WHEN u.n = 0 THEN '' WHEN u.n <= 7 THEN w[1] ELSE w[1] || ',' || w[8] END AS clusters, coalesce(bad.errors, 0)::int AS errors
+FROM u LEFT JOIN e USING (record_id) LEFT JOIN r USING (record_id) LEFT JOIN bad USING (record_id)""")
+def normalised_documents_of_tokens(spark, d):
+    r = normalise.token_documents(_token_sources(spark, d))
+    shown = lambda e: F.concat_ws(":", e["id"], e["type"], *[e[c].cast("string") for c in ("start_token", "end_token", "start_char", "end_char")], e["text"])
+    linked = lambda x: F.concat_ws(":", x["id"], F.coalesce(x["head_entity_id"], F.lit("-")), F.coalesce(x["tail_entity_id"], F.lit("-")), x["head"]["text"], x["tail"]["text"])
+    return r.select("record_id", F.col("statistics.tokens").alias("tokens"), F.col("statistics.sentences").alias("sentences"), "text_sha256", F.array_join(F.transform("entities", shown), "|").alias("entities"), F.array_join(F.transform("relations", linked), "|").alias("relations"),
+        F.col("statistics.entities").alias("n_entities"), F.col("statistics.relations").alias("n_relations"), F.array_join(F.transform(F.flatten("coreference_clusters"), lambda s: s["text"]), ",").alias("clusters"), F.size("errors").alias("errors"))
+
+
+@query(f"""WITH {_TOKENS}, p AS (SELECT record_id, n, i, x, s, CASE WHEN n % 5 = 0 THEN 'bad' ELSE 'ok' END AS kind, length(x) % 3 AS v FROM o),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY record_id, v ORDER BY i) AS g FROM p WHERE kind = 'ok'), sp AS (SELECT record_id, min(i) AS a, max(i) AS b, min(s) AS start_char, max(s + length(x)) AS end_char, string_agg(x, ' ' ORDER BY i) AS text FROM runs WHERE v > 0 GROUP BY record_id, v, g),
+el AS (SELECT record_id, 'Participant' AS type, a, b, start_char, end_char, text FROM sp UNION ALL SELECT record_id, 'Outcome', i, i, s, s + length(x), x FROM o WHERE i = 0),
+e AS (SELECT record_id, string_agg(concat_ws(':', 'E' || lpad((k - 1)::varchar, 4, '0'), type, a, b, start_char, end_char, text), '|' ORDER BY k) AS entities, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY type DESC, a) AS k FROM el) GROUP BY 1)
+SELECT record_id, CASE WHEN u.n = 0 THEN 'unspecified' WHEN u.n % 2 = 0 THEN 'test' ELSE 'train' END AS split, coalesce(e.entities, '') AS entities, coalesce(e.n, 0)::int AS n_entities, CASE WHEN u.n = 0 THEN '' WHEN u.n % 5 = 0 THEN 'Outcome' ELSE 'Participant|Outcome' END AS valid,
+CASE WHEN u.n = 0 THEN 'empty token file' WHEN u.n % 5 = 0 THEN 'Participant label/token mismatch: labels=' || (u.n + 1) || ', tokens=' || u.n ELSE '' END AS errors FROM u LEFT JOIN e USING (record_id)""")
+def normalised_documents_of_labels(spark, d):
+    words = F.filter(F.split(text.normal_space(F.col("text")), " "), lambda x: x != "")
+    docs = t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), words.alias("tokens"))
+    marked = docs.where(F.size("tokens") > 0).withColumns({"split": F.when(F.size("tokens") % 2 == 0, "test").otherwise("train"), "n": F.size("tokens")})
+    participants = F.transform("tokens", lambda x: F.length(x) % 3)
+    one = marked.select("record_id", "split", F.lit("Participant").alias("element"), F.when(F.col("n") % 5 == 0, F.array_append(participants, F.lit(1))).otherwise(participants).alias("labels"))
+    two = marked.select("record_id", "split", F.lit("Outcome").alias("element"), F.transform("tokens", lambda x, i: (i == 0).cast("int")).alias("labels"))
+    other = marked.where("n % 2 = 0").select("record_id", F.lit("train").alias("split"), F.lit("Outcome").alias("element"), F.transform("tokens", lambda x: F.lit(1)).alias("labels"))  # test is preferred
+    r = normalise.labelled_documents(docs, one.unionByName(two).unionByName(other), ["Participant", "Intervention", "Outcome"])
+    shown = lambda e: F.concat_ws(":", e["id"], e["type"], *[e[c].cast("string") for c in ("start_token", "end_token", "start_char", "end_char")], e["text"])
+    return r.select("record_id", "split", F.array_join(F.transform("entities", shown), "|").alias("entities"), F.size("entities").alias("n_entities"), F.array_join("annotation_status.valid_elements", "|").alias("valid"), F.array_join("errors", "|").alias("errors"))
+
+
+@query(r"""WITH s AS (SELECT 'c' || conv_id AS doc, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+f AS (SELECT *, split_part(text, ' ', 1) AS w FROM s)
+SELECT doc AS record_id, count(*)::int AS sentences, sha256(string_agg(text, chr(10) ORDER BY turn)) AS text_sha256, string_agg(concat_ws(':', 'E0000', 'Task', w, i, doc || '::sent_' || lpad(turn::varchar, 6, '0')), '|' ORDER BY turn) AS entities,
+coalesce(string_agg(concat_ws(':', 'R0001', CASE WHEN turn % 2 = 0 THEN 'Used-for' ELSE 'Part-of' END, w, 'Task', w || ':x', 'Method', i), '|' ORDER BY turn) FILTER (role <> 'system'), '') AS relations,
+array_to_string(list_sort(list_distinct(list(CASE WHEN turn % 2 = 0 THEN 'Used-for' ELSE 'Part-of' END) FILTER (role <> 'system'))), '|') AS relation_types FROM f GROUP BY doc""")
+def normalised_documents_of_sentences(spark, d):
+    c = t(spark, d, "conversations")
+    w = F.split_part(text.normal_space(F.col("text")), F.lit(" "), F.lit(1))
+    kind = F.when(F.col("turn") % 2 == 0, "Used-for").otherwise("Part-of")
+    rel = F.array(F.array(F.lit("short"), F.lit("x")), F.array(F.concat(w, F.lit(":Task")), kind, F.concat(w, F.lit(":x:Method"))))
+    shared = [F.concat(F.lit("c"), "conv_id").alias("doc_id"), F.col("text").alias("sentence"), F.array(F.array(w, F.lit("Task")), F.array(F.lit("alone"))).alias("ner")]
+    raw = F.when(F.col("role") == "system", F.to_json(F.struct(*shared))).when(F.col("role") == "user", F.to_json(F.struct(*shared, rel.alias("rel_plus")))).otherwise(F.to_json(F.struct(*shared, rel.alias("rel"))))
+    rows = c.select(F.lit("train").alias("split"), F.col("turn").cast("int").alias("row_index"), raw.alias("raw"))
+    r = normalise.document_records(normalise.sentence_records(rows))
+    entity = lambda e: F.concat_ws(":", e["id"], e["type"], e["text"], e["sentence_index"].cast("string"), e["source_record_id"])
+    relation = lambda x: F.concat_ws(":", x["id"], x["type"], x["head"]["text"], x["head"]["type"], x["tail"]["text"], x["tail"]["type"], x["sentence_index"].cast("string"))
+    return r.select("record_id", F.col("statistics.sentences").alias("sentences"), "text_sha256", F.array_join(F.transform("entities", entity), "|").alias("entities"), F.array_join(F.transform("relations", relation), "|").alias("relations"), F.array_join("relation_types", "|").alias("relation_types"))

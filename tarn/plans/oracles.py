@@ -8,10 +8,10 @@ from ..operators import stats
 _TAIL = "2 * 0.3989422804014327 * list_sum(list_transform(range(2001), lambda q: CASE WHEN q IN (0, 2000) THEN 1 WHEN q % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z + q * 0.006, 2) / 2))) * 0.006 / 3"
 
 
-def bootstrap_sql(keys: list[str], source: str, value: str, draws: int) -> str:
-    """CTEs v, s, means and ci: AG12's draws, as plain SQL. source has the keys and the value."""
+def bootstrap_sql(keys: list[str], source: str, value: str, draws: int, seed: str | None = None) -> str:
+    """CTEs v, s, means and ci: AG12's draws, as plain SQL. source has the keys and the value; seed: the text that seeds a group, else of its keys."""
     k = ", ".join(keys)
-    text = " || '|' || ".join(f"coalesce({c}::varchar, '')" for c in keys)
+    text = seed or " || '|' || ".join(f"coalesce({c}::varchar, '')" for c in keys)
     fifth = lambda x: f"((({x}) * ({x}) % {stats.PRIME}) * (({x}) * ({x}) % {stats.PRIME}) % {stats.PRIME} * ({x}) % {stats.PRIME})"
     return f""", v AS (SELECT {k}, ({value})::double AS x FROM {source} WHERE ({value}) IS NOT NULL), s AS (SELECT {k}, count(*) AS n, avg(x) AS mean, list_sort(list(x)) AS xs, ('0x' || substr(sha256({text}), 1, 8))::bigint AS seed FROM v GROUP BY {k}),
  d0 AS (SELECT {k}, n, xs, i, unnest(range(n)) AS j, seed FROM s, range({draws}) r(i)), d1 AS (SELECT {k}, n, xs, i, j, (seed + i * 1000003 + j * 7919 + 12345) % {stats.PRIME} AS a FROM d0),

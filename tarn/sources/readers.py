@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import normal_space, path_parts
+from . import jsonlines
 
 #: Keys under which a file's records are found.
 WRAPPERS = ("documents", "data", "records", "examples", "instances")
@@ -18,25 +21,21 @@ WRAPPERS = ("documents", "data", "records", "examples", "instances")
 _WHERE = "_metadata.file_path"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, path) of every line that isn't blank; what isn't UTF-8 is replaced."""
-    return spark.read.text(path).select("value", F.col(_WHERE).alias("path")).where(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
-
-
-def _is_object(value: str) -> Column:
-    return F.coalesce(F.rlike(value, F.lit(r"^\s*\{")) & F.json_object_keys(F.col(value)).isNotNull(), F.lit(False))
+def json_lines(spark: SparkSession, path: str, mode: str, part_bytes: int = jsonlines.PART, head: int = 0) -> DataFrame:
+    """(value, path, offset, line, error) of the lines of JSON that path, which may be a glob, means; see jsonlines. Strict lines fail the job that
+    reads them, by path:line."""
+    jsonlines.register(spark)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    if not found:
+        raise FileNotFoundError(path)
+    return spark.read.format("tarn_jsonl").option("path", json.dumps([x.getPath().toString() for x in found])).option("mode", mode).option("part_bytes", part_bytes).option("head", head).load()
 
 
-def strict_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One object a line; blank lines are skipped. A line that isn't an object, an array too, fails the read and is named by file and
-    line number, counted when the failure is known."""
-    lines = _lines(spark, path)
-    bad = lines.where(~_is_object("value")).limit(1).collect()
-    if bad:
-        numbered = spark.read.text(bad[0].path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")))
-        at = numbered.where(F.col("col") == bad[0].value).agg(F.min("pos")).first()[0]
-        raise ValueError(f"{bad[0].path}:{(at if at is not None else -1) + 1}: not a JSON object: {bad[0].value[:100]}")
-    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+def strict_jsonl(spark: SparkSession, path: str, schema: StructType | str, part_bytes: int = jsonlines.PART) -> DataFrame:
+    """One object a line; blank lines are skipped. A line that isn't an object by itself, with nothing behind it, fails the job that reads it and is
+    named by path:line, in the one pass over the file. Of a repeated key the last value counts."""
+    return json_lines(spark, path, "strict", part_bytes).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -45,17 +44,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def tolerant_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Lines that aren't objects, torn ones too, are dropped; an object whose member has another type stays, with null there.
-    A missing file is an empty table. With file and line order columns left to latest()."""
+def tolerant_jsonl(spark: SparkSession, path: str, schema: StructType, part_bytes: int = jsonlines.PART) -> DataFrame:
+    """Lines that aren't objects, torn ones and such with something behind the object too, are dropped; an object whose member has another type
+    stays, with null there. A missing file is an empty table."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return _lines(spark, path).where(_is_object("value")).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return json_lines(spark, path, "tolerant", part_bytes).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def first_record(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """The first object of a file of JSON lines, at most one row."""
-    return _lines(spark, path).limit(1).select(F.from_json("value", schema).alias("r")).select("r.*")
+    """The first object of JSON lines, by path and place, at most one row; a first line that isn't an object fails. Of each part but one line is read."""
+    first = json_lines(spark, path, "strict", head=1).orderBy("path", "offset").limit(1)
+    return first.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def json_object(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -63,20 +63,43 @@ def json_object(spark: SparkSession, path: str, schema: StructType | str) -> Dat
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def _records(text: str, by_line: bool, wrappers: Sequence[str]) -> list[tuple[str | None, str | None]]:
+    """(record, error) of a file's text: the text as one value if it is one, else each line."""
+    if not by_line:
+        try:
+            whole = json.loads(text)
+            if isinstance(whole, dict):
+                whole = next((whole[w] for w in wrappers if isinstance(whole.get(w), list)), [whole])
+            values = [(v, None) for v in (whole if isinstance(whole, list) else [whole])]
+        except (ValueError, RecursionError):
+            by_line = True
+    if by_line:
+        values = []
+        for number, line in enumerate(text.split("\n"), 1):
+            if line.strip():
+                try:
+                    values.append((json.loads(line), None))
+                except (ValueError, RecursionError) as e:
+                    values.append((line, f"line {number}: {e}"))
+    as_text = lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    return [(as_text(v), None) if e is None and isinstance(v, dict) else (None, e or f"expected an object, found {as_text(v)[:200]}") for v, e in values]
+
+
 def json_records(spark: SparkSession, path: str, wrappers: Sequence[str] = WRAPPERS) -> DataFrame:
-    """(record, error): each record of a file as JSON text, whether the file is an array, an object, an object that wraps an array, or
-    lines. Lines that don't parse come as errors, and so do records that aren't objects. Without wrappers an object is a record."""
-    first = F.regexp_extract("value", r"^\s*([^\r\n]*)", 1)
-    # several lines of which the first is an object by itself; the parser would be content with that one
-    lined = F.rlike(F.regexp_replace("value", r"\s+$", ""), F.lit(r"[\r\n]")) & F.rlike(first, F.lit(r"^\{.*\}\s*$")) & F.try_parse_json(first).isNotNull()
-    whole = spark.read.text(path, wholetext=True).select("value", F.when(~lined, F.try_parse_json("value")).alias("v"))
-    inner = F.coalesce(F.lit(None).cast("array<variant>"), *[F.expr(f"try_cast(try_variant_get(v, '$.{w}') as array<variant>)") for w in wrappers], F.expr("try_cast(v as array<variant>)"))
-    parsed = whole.where("v is not null").select(F.explode(F.coalesce(inner, F.array("v"))).alias("r")).select(F.to_json("r").alias("record"), F.lit(None).cast("string").alias("error"))
-    lines = whole.where("v is null").select(F.explode(F.split("value", "\r?\n")).alias("line")).where("trim(line) <> ''").select("line", F.expr("try_parse_json(line)").alias("v"))
-    ok = F.expr("v is not null")
-    found = parsed.unionByName(lines.select(F.when(ok, F.to_json("v")).alias("record"), F.when(~ok, F.col("line")).alias("error")))
-    plain = F.rlike("record", F.lit(r"^\{"))
-    return found.select(F.when(plain, F.col("record")).alias("record"), F.when(F.col("error").isNull() & ~plain, F.col("record")).otherwise(F.col("error")).alias("error"))
+    """(record, error, path): each record of a file as JSON text, whether the file is an array, an object, an object that wraps an array, or
+    lines, as files named .jsonl always are. The whole text is decoded strictly; where it isn't one value, each line is. Lines that don't parse come as errors with
+    their number, and so do records that aren't objects; nothing is lost. Of a repeated key the last value counts. Without wrappers an object is a record."""
+
+    def run(batches):
+        for b in batches:
+            for text, where in zip(b.column("value"), b.column("path")):
+                text = text.as_py().strip()
+                found = _records(text, where.as_py().lower().endswith(".jsonl"), wrappers) if text else []
+                for at in range(0, len(found), 10_000):
+                    records, errors = zip(*found[at : at + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(records, pa.string()), pa.array(errors, pa.string()), pa.array([where.as_py()] * len(records))], ["record", "error", "path"])
+
+    return spark.read.text(path, wholetext=True).select("value", F.col(_WHERE).alias("path")).mapInArrow(run, "record string, error string, path string")
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -132,6 +155,9 @@ def best_directory(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return listed(spark, root, pattern).groupBy("dir").agg(F.count("*").alias("files")).orderBy(F.desc("files"), F.desc("dir")).limit(1)
 
 
-def partitioned_log(spark: SparkSession, glob: str, schema: StructType | str) -> DataFrame:
-    """A log of several files with its file's path, the order key of latest()."""
-    return spark.read.schema(schema).json(glob).select("*", F.col("_metadata.file_path").alias("file_path"), (F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.monotonically_increasing_id() % F.lit(1 << 33)).alias("line"))
+def partitioned_log(spark: SparkSession, glob: str, schema: StructType) -> DataFrame:
+    """A log of several files, of objects only, with file_path and offset, in whose order its records are: the order keys of latest()."""
+    if not exists(spark, glob):
+        return spark.createDataFrame([], schema).withColumns({"file_path": F.lit("").cast("string"), "offset": F.lit(0).cast("long")})
+    lines = json_lines(spark, glob, "tolerant").withColumnRenamed("offset", "_offset")
+    return lines.select(F.from_json("value", schema).alias("r"), "path", "_offset").select("r.*", F.col("path").alias("file_path"), F.col("_offset").alias("offset"))

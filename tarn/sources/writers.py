@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +18,29 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     return seen.get["n"]
 
 
+def checked(df: DataFrame, path: str, wanted: Mapping[str, tuple[Column, object]], keys: Sequence[str] = ()) -> DataFrame:
+    """Writes df as Parquet and reads it again, if it is as expected: wanted gives by name an aggregate, taken while df is written, and the value it
+    must have; keys may not repeat, for which only they are read again. Until all is known, the rows stand beside path; otherwise
+    they are dropped, path is as it was, and ValueError tells what was found."""
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    seen = Observation()
+    (df.observe(seen, *[a.alias(n) for n, (a, _) in wanted.items()]) if wanted else df).write.parquet(beside)
+    found = seen.get if wanted else {}
+    wrong = [f"{n}: expected {v}, found {found[n]}" for n, (_, v) in wanted.items() if found[n] != v]
+    if keys and not wrong:
+        again = spark.read.parquet(beside).groupBy(*keys).agg(F.count("*").alias("times")).where("times > 1").limit(5).collect()
+        wrong = [f"repeated {', '.join(keys)}: {[tuple(r)[:-1] for r in again]}"] if again else []
+    jvm = spark.sparkContext._jvm
+    p, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, beside))
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if wrong:
+        fs.delete(b, True)
+        raise ValueError("; ".join(wrong))
+    fs.delete(p, True)
+    fs.rename(b, p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def csv(df: DataFrame, path: str, fields: Sequence[str] | None = None) -> None:
     """A header and the fields in their order; other columns are left out."""
     (df.select(*fields) if fields else df).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

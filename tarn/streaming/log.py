@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators import compaction
+from ..operators import compaction, ranks
 from ..sources.readers import exists
 
 
@@ -109,23 +108,16 @@ def batches_after(size: float, count: int, new: int, most: int, budget: int, bat
 
 def micro_batches(items: DataFrame, most: int, budget: int, chunk: int = 4096) -> DataFrame:
     """items (id, prompt_tokens, max_new_tokens) with part and batch. The list of each output limit, by (prompt_tokens, id), is batched
-    as one; batch counts through it. So that it doesn't meet in one task, it is cut into parts, ranges of about `chunk` items, at
-    items that a hash of the id picks. An open batch goes on into the next part: it depends on how many prompts of which size come
+    as one; batch counts through it. So that it doesn't meet in one task, it is cut into parts, ranges of about `chunk` items, more
+    where that would be over ranks.MOST_RANGES. An open batch goes on into the next part: it depends on how many prompts of which size come
     before, so one task an output limit follows the counts by part and size, and hands each part the batch that it starts with.
-    Null sizes and ids come last; rows without an output limit go."""
-    items = items.select("id", "prompt_tokens", "max_new_tokens").where("max_new_tokens is not null")
-    marks: dict[int, list[tuple[int, int]]] = {}
-    picked = items.where(F.pmod(F.xxhash64("id"), F.lit(chunk)) == 0).where("id is not null and prompt_tokens is not null")
-    for r in picked.distinct().collect():
-        marks.setdefault(r.max_new_tokens, []).append((r.prompt_tokens, r.id))
-    for m in marks.values():
-        m.sort()
-
-    @F.pandas_udf("int")
-    def part_of(limit: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(marks.get(x, ()), (s, k)) for x, s, k in zip(limit.tolist(), size.tolist(), key.tolist())], dtype="int32")
-
-    dealt = items.withColumn("part", part_of("max_new_tokens", F.coalesce("prompt_tokens", F.lit(2**31 - 1)), F.coalesce("id", F.lit(2**63 - 1))))
+    Null sizes and ids come last. Rows without an output limit have null part and batch."""
+    columns = ["id", "prompt_tokens", "max_new_tokens"]
+    unbounded = items.select(*columns).where("max_new_tokens is null").withColumns({"part": F.lit(None).cast("int"), "batch": F.lit(None).cast("int")})
+    items = items.select(*columns).where("max_new_tokens is not null")
+    order = {"_limit": F.col("max_new_tokens"), "_size": F.coalesce("prompt_tokens", F.lit(2**31 - 1)), "_id": F.coalesce("id", F.lit(2**63 - 1))}
+    n = items.count()
+    dealt = ranks.ranged(items.withColumns(order), [*order], -(-n // chunk), n, "part").drop(*order)
 
     def starts(pdf: pd.DataFrame) -> pd.DataFrame:
         new, batch, n, out = int(pdf["max_new_tokens"].iloc[0]), 0, 0, {}
@@ -141,4 +133,5 @@ def micro_batches(items: DataFrame, most: int, budget: int, chunk: int = 4096) -
         return pdf[["id", "prompt_tokens", "max_new_tokens", "part", "batch"]]
 
     begin = dealt.groupBy("max_new_tokens", "part", "prompt_tokens").count().groupBy("max_new_tokens").applyInPandas(starts, "max_new_tokens int, part int, _batch int, _n int")
-    return dealt.join(begin, ["max_new_tokens", "part"]).groupBy("max_new_tokens", "part").applyInPandas(cut, "id long, prompt_tokens int, max_new_tokens int, part int, batch int")
+    cut_ = dealt.join(begin, ["max_new_tokens", "part"]).groupBy("max_new_tokens", "part").applyInPandas(cut, "id long, prompt_tokens int, max_new_tokens int, part int, batch int")
+    return cut_.unionByName(unbounded)

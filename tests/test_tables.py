@@ -102,10 +102,27 @@ def test_free_form_predictions():
 
 
 def test_prompts_and_paths(spark):
-    row = spark.range(1).select(prompts.build_prompt(F.lit("P1"), {"input": F.lit("in"), "schema": F.lit("sc")}).alias("p"), text.padded(F.lit("s"), F.array(F.lit("aa"), F.lit("b")), F.lit(20)).alias("q")).first()
-    assert row.p.endswith("sc\nin") and row.q == "s\naa\nb\naa\nb\naa\nb\naa\nb"[: len(row.q)] and 20 <= len(row.q) <= 23
+    row = spark.range(1).select(text.padded(F.lit("s"), F.array(F.lit("aa"), F.lit("b")), F.lit(20)).alias("q")).first()
+    assert row.q == "s\naa\nb\naa\nb\naa\nb\naa\nb"[: len(row.q)] and 20 <= len(row.q) <= 23
+    table = prompts.condition_table(spark)
+    values = {n: F.lit(f"<{n}>") for n in ("task", "schema", "definitions", "demo", "demos", "compressed")} | {"input": F.concat(F.lit("Text: "), "input")}
+    rows = table.join(spark.createDataFrame([("short {input}",), ("a longer text " * 20,)], "input string")).withColumn("p", prompts.build_prompt(values, F.col("input"))).collect()
+    assert {r.condition for r in rows} == set(prompts.CONDITIONS) and len(rows) == 22
+    for r in rows:
+        said = [prompts.BLOCKS.get(b, f"<{b}>") if b != "input" else "Text: " + r.input for b in prompts.CONDITIONS[r.condition]]
+        if r.condition != "A5":
+            assert r.p == "\n".join(said)
+        else:
+            p6 = next(x.p for x in rows if x.condition == "P6" and x.input == r.input)
+            start = "\n".join(["<task>", prompts.BLOCKS["format"], prompts.BLOCKS["grounding"], prompts.RULES[0]])
+            padded = r.p.removesuffix(f"\n<schema>\nText: {r.input}")
+            assert r.p.startswith(start) and len(p6) - len(r.input) <= len(padded) < len(p6) - len(r.input) + 30
+    empty = table.where("condition = 'P4'").withColumn("p", prompts.build_prompt(values | {"input": F.lit("i"), "demo": F.lit(None).cast("string")}, F.lit("i"))).first()
+    assert empty.p == "\n".join(["<task>", prompts.BLOCKS["format"], prompts.BLOCKS["grounding"], "", "<schema>", "i"])
     with pytest.raises(Exception, match="unknown condition"):
-        spark.range(1).select(prompts.build_prompt(F.lit("X"), {"input": F.lit("i"), "schema": F.lit("s")})).collect()
+        spark.sql("select 'X' as condition").join(table.drop("condition").limit(1)).withColumn("parts", F.when(F.col("condition") != "X", F.col("parts"))).select(prompts.build_prompt(values | {"input": F.lit("i")}, F.lit("i"))).collect()
+    with pytest.raises(Exception, match="unknown block: input"):
+        table.select(prompts.build_prompt({k: v for k, v in values.items() if k != "input"}, F.lit("i"))).collect()
     files = spark.createDataFrame([("/a/documents/7.tokens",), ("/a/documents/7.text",), ("/b/annotations/7.text",)], "path string")
     assert [r.path for r in corpus.unique_documents(files, F.lit("7")).collect()] == ["/a/documents/7.text"]
 
@@ -115,8 +132,8 @@ def test_readers_drop_and_refuse_lines(spark, tmp_path):
     schema = spark.createDataFrame([], "id string, v int").schema
     got = sorted((r.id, r.v) for r in readers.tolerant_jsonl(spark, str(tmp_path / "t.jsonl"), schema).collect())
     assert got == [("a", 1), ("b", None)]
-    with pytest.raises(ValueError, match="t.jsonl:2"):
-        readers.strict_jsonl(spark, str(tmp_path / "t.jsonl"), schema)
+    with pytest.raises(Exception, match="t.jsonl:2"):
+        readers.strict_jsonl(spark, str(tmp_path / "t.jsonl"), schema).collect()
     assert readers.first_record(spark, str(tmp_path / "t.jsonl"), schema).first().id == "a"
     assert readers.csv_strings(spark, str(tmp_path / "none.csv"), ["a"]).columns == ["a"]
     at = str(tmp_path / "summary.json")
