@@ -93,19 +93,26 @@ class Codec:
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode()
 
-    def turns(self, ids: np.ndarray) -> list[tuple[str, str]]:
-        """(role, text) of each turn of a sequence."""
-        starts, ends = np.flatnonzero(ids == self.start), np.flatnonzero(ids == self.end)
-        out = []
-        for a, e in zip(starts, ends):
-            role, _, text = self.decode(ids[a + 1 : e]).partition("\n")
-            out.append((unescape_role(role), unescape(text)))
-        return out
-
-    def learned(self, ids: np.ndarray, mask: np.ndarray) -> list[str]:
-        """The texts under the mask, one for each run."""
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-        return [unescape(self.decode(ids[a:e])) for a, e in zip(edges[::2], edges[1::2])]
+    def read(self, ids: np.ndarray, mask: np.ndarray) -> tuple[list[tuple[str, str]], list[str], int]:
+        """Of a sequence (role, text) of each turn, the texts under the mask, one for each run of it, and how many code points the formatted text has. Each
+        token is decoded once: the sequence is cut at control tokens and where the mask begins and ends."""
+        control = (ids == self.start) | (ids == self.end)
+        cut = np.flatnonzero(np.concatenate([[True], control[1:] | control[:-1] | (mask[1:] != mask[:-1]), [True]])) if len(ids) else ()
+        turns, learned, chars, said = [], [], 0, None
+        for i, j in zip(cut[:-1], cut[1:]):
+            part = self.decode(ids[i:j])
+            chars += len(part)
+            if ids[i] == self.start:
+                said = []
+            elif ids[i] == self.end:
+                role, _, text = "".join(said).partition("\n")
+                turns.append((unescape_role(role), unescape(text)))
+                said = None
+            elif said is not None:
+                said.append(part)
+                if mask[i]:
+                    learned.append(unescape(part))
+        return turns, learned, chars
 
 
 @functools.lru_cache(4)
@@ -119,17 +126,16 @@ def encoded(turns: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in slices(batches, 2048):
-            flat, ends, first, last, ties = [], [0], [], [], []
+            ids, ends, first, last, ties = [], [0], [], [], []
             for role, text in zip(b.column("role").to_pylist(), b.column("text").to_pylist()):
                 head, body = c.head(role or ""), c.encode(escape(text or ""))
-                flat += [head, body, [c.end], c.newline]
+                ids += head + body + [c.end] + c.newline
                 learned = role == LEARNED
                 first.append(len(head) if learned else 0)
                 last.append(len(head) + len(body) if learned else 0)
-                ends.append(ends[-1] + len(head) + len(body) + 1 + len(c.newline))
+                ends.append(len(ids))
                 ties.append(hashlib.sha256(f"{escape_role(role or '')}\n{text or ''}".encode()).hexdigest())
-            ids = np.concatenate([np.array(x, np.int32) for x in flat]) if flat else np.empty(0, np.int32)
-            arrays = [pa.array(ties), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
+            arrays = [pa.array(ties), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), *arrays], ["conv_id", "turn", "tie", "ids", "first", "last"])
         trim_memory()
 
@@ -201,13 +207,14 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
                 if state is None or state[0] != conv:
                     done += [state] if state else []
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in c.turns(ids):
+                turns, learned, chars = c.read(ids, mask)
+                for role, text in turns:
                     state[1] += 1
                     state[2].update(f"{role}\n{text}\n".encode())
-                for text in c.learned(ids, mask):
+                for text in learned:
                     state[3] += len(text)
                     state[4].update(text.encode())
-                state[5] += len(c.decode(ids))
+                state[5] += chars
             if done:
                 yield out()
         if state:
