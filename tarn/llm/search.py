@@ -133,7 +133,7 @@ def tiers(rows: DataFrame, n_docs: int, n_terms: int, most: int, first: int, sec
     cut = lambda size: F.min(F.when(F.col("seen") <= size, F.col("bucket") * WIDTH))
     left = lambda size: F.max(F.when(F.col("seen") > size, F.col("top")))
     t = Tiers(np.zeros(most + 1, np.int64), np.full((2, most + 1), 1 << 60, np.int64), np.zeros((TIERS, most + 1), np.int64))
-    for r in down.groupBy("term").agg(F.sum("c").alias("df"), cut(first).alias("c1"), cut(second).alias("c2"), left(first).alias("r1"), left(second).alias("r2")).toLocalIterator():
+    for r in down.groupBy("term").agg(F.sum("c").alias("df"), cut(first).alias("c1"), cut(second).alias("c2"), left(first).alias("r1"), left(second).alias("r2")).collect():
         t.weight[r.term] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * r.df + 1)))
         for k, (c, x) in enumerate(((r.c1, r.r1), (r.c2, r.r2))):
             t.cuts[k, r.term] = t.cuts[k, r.term] if c is None else c
