@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,12 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is; none is no error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove_written() -> None:
     for spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
         except Exception:  # the session may have ended before
             return
 
@@ -40,6 +46,14 @@ def _remove_written() -> None:
 atexit.register(_remove_written)
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch paths that are made within, known when it ends: for who knows when the results that read them are written."""
+    at, paths = len(_WRITTEN), []
+    yield paths
+    paths += [p for _, p in _WRITTEN[at:]]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/tarn-{name}-{uuid.uuid4().hex}"
