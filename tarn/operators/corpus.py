@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompts
-from ..functions.text import is_annotation_path, short_id
+from ..functions.nested import joined_set, split_set
+from ..functions.text import is_annotation_path, normal_space, short_id, word_count
 from ..sources.writers import checked
-from .compaction import best_by, small
+from .sampling import length_buckets
+from .compaction import best_by, settled, small
 
 
 def entity_ids(entities: DataFrame, keys: Sequence[str], relations: DataFrame, side: str) -> DataFrame:
@@ -78,6 +80,35 @@ def counted_checks(rows: DataFrame, keys: Sequence[str], checks: dict[str, Colum
     return each.unpivot([F.col(k) for k in keys], [F.col(n) for n in checks], "check", "value")
 
 
+def manifest(records: DataFrame, keys: Sequence[str] = ("dataset", "split", "doc_id"), within: Sequence[str] = ("dataset",)) -> DataFrame:
+    """records (keys, text, sentence_count, entity_count, relation_count, labels: an array) with char_count, word_count, text_sha256 (null where there is no text), eligible (1
+    where there is text), label_types (sorted, joined by |) and length_bucket: short, medium or long by thirds of the eligible records' char_count, within a
+    dataset; null for the others. Text is collapsed first; it isn't kept."""
+    clean = normal_space(F.coalesce(F.col("text"), F.lit("")))
+    rows = records.withColumn("text", clean).withColumns({
+        "char_count": F.length("text"), "word_count": word_count(F.col("text")), "eligible": (F.col("text") != "").cast("int"), "text_sha256": F.when(F.col("text") != "", F.sha2("text", 256)),
+        "label_types": joined_set(F.filter(F.coalesce("labels", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")),
+    }).drop("text", "labels")
+    rows = settled(rows)
+    last = [c for c in keys if c not in within]
+    kept = length_buckets(rows.where("eligible = 1"), "char_count", within, last[-1], "length_bucket")
+    return kept.unionByName(rows.where("eligible = 0").withColumn("length_bucket", F.lit(None).cast("string")))
+
+
+def manifest_summary(rows: DataFrame, keys: Sequence[str] = ("dataset", "split")) -> DataFrame:
+    """Of a manifest by keys: documents, eligible, sentences, entities, relations over all; mean_chars (two digits), median_chars, min_chars and max_chars over the
+    eligible ones, 0 where there is none."""
+    n = F.when(F.col("eligible") == 1, F.col("char_count"))
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
+    sizes = {"mean_chars": F.bround(F.avg(n), 2), "median_chars": F.bround(F.median(n), 2), "min_chars": F.min(n), "max_chars": F.max(n)}
+    return rows.groupBy(*keys).agg(F.count("*").alias("documents"), total("eligible").alias("eligible"), total("sentence_count").alias("sentences"), total("entity_count").alias("entities"), total("relation_count").alias("relations"), *[F.coalesce(c, F.lit(0)).alias(name) for name, c in sizes.items()])
+
+
+def label_inventory(rows: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:
+    """(keys, label, documents_with_label) of a manifest."""
+    return rows.select(*keys, F.explode(split_set(F.col("label_types"))).alias("label")).groupBy(*keys, "label").agg(F.count("*").alias("documents_with_label"))
+
+
 def job_table(records: DataFrame, conditions: DataFrame, models: DataFrame, prompt: Column, keys: Sequence[str] = ("dataset", "split", "record_id")) -> DataFrame:
     """Every record under every condition (condition, phase, ...) and model (model_id, ...), with job_id, prompt_sha256 and the
     lengths. The two dimensions are small tables; their product with the records is the job table itself."""

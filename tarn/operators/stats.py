@@ -220,6 +220,11 @@ def holm(rows: DataFrame, p: str, family: Sequence[str] = (), order: Sequence[st
     return stepped.drop("_raw").withColumn("significant", F.when(ok, (F.col("p_holm") < 0.05).cast("int")))
 
 
+def significant(tests: DataFrame, at: str = "p_holm", level: float = 0.05) -> DataFrame:
+    """The tests whose adjusted p is below the level; one without a p isn't."""
+    return tests.where(F.col(at).isNotNull() & ~F.isnan(at) & (F.col(at) < level))
+
+
 EXACT_PAIRS = 1000  # up to so many discordant pairs all binomials fit into a double
 
 

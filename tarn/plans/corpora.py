@@ -221,7 +221,7 @@ strata AS (SELECT *, CASE WHEN r <= round_even(n / 4, 0) THEN 0 WHEN r <= round_
 sample AS (SELECT dataset, record_id FROM strata QUALIFY row_number() OVER (PARTITION BY dataset, s ORDER BY h) <= 2),
 pool AS (SELECT 'd' || item_id % 2 AS dataset, text, sha256(item_id::varchar) AS h FROM benchmark QUALIFY row_number() OVER (PARTITION BY 'd' || item_id % 2 ORDER BY length(text), sha256(item_id::varchar)) <= 10),
 chosen AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY h) AS k FROM pool QUALIFY k <= 3),
-shown AS (SELECT dataset, k, 'Example ' || k || chr(10) || 'Text: ' || text || chr(10) || 'Answer: {{"entities":[{{"text":"' || split_part(text, ' ', 1) || '","type":"Task"}}],"relations":[]}}' AS demo FROM chosen),
+shown AS (SELECT dataset, k, 'Example ' || k || chr(10) || 'Text: ' || text || chr(10) || 'Answer: {{"entities":[{{"text":"' || regexp_extract(text, '^\\S+') || '","type":"Task"}}],"relations":[]}}' AS demo FROM chosen),
 demos AS (SELECT dataset, string_agg(demo, chr(10) || chr(10) ORDER BY k) AS demos, any_value(demo) FILTER (k = 1) AS demo FROM shown GROUP BY 1),
 b AS (SELECT 'Find the entities that the text below states. Types: Task, Method. Relations: Used-for.' AS task, {_quoted(prompts.BLOCKS["format"])} AS form, {_quoted(prompts.BLOCKS["grounding"])} AS ground,
  {_quoted(prompts.BLOCKS["negative"])} AS neg, {_quoted(prompts.BLOCKS["reminders"])} AS again,
@@ -250,7 +250,7 @@ def experiment(spark, d):
     sized = records.select("dataset", "split", "record_id", F.length("input_text").alias("size"), F.sha2("record_id", 256).alias("h"))
     sample = sampling.quartile_sample(sized, ["dataset"], ["size"], "h", 8)
     train = t(spark, d, "benchmark").select(F.concat(F.lit("d"), F.col("item_id") % 2).alias("dataset"), F.col("text").alias("input_text"), F.length("text").alias("size"), F.sha2(F.col("item_id").cast("string"), 256).alias("h"))
-    output = F.to_json(F.struct(F.array(F.struct(F.split_part("input_text", F.lit(" "), F.lit(1)).alias("text"), F.lit("Task").alias("type"))).alias("entities"), F.expr("cast(array() as array<string>)").alias("relations")))
+    output = F.to_json(F.struct(F.array(F.struct(F.regexp_extract("input_text", r"^\S+", 0).alias("text"), F.lit("Task").alias("type"))).alias("entities"), F.expr("cast(array() as array<string>)").alias("relations")))
     chosen = sampling.demos(train, "size", "h", 10, 3, ["dataset"]).withColumn("output", output)
     shown = chosen.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("h", "input_text", "output"))).alias("demos"))
     phases = spark.createDataFrame([*[(c, "main") for c in _MAIN], *[(c, "ablation") for c in _ABLATION]], "condition string, phase string")

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-from tarn.plans import corpora, experiment  # noqa: E402, F401
+from tarn.plans import corpora, experiment, shapes  # noqa: E402, F401
 from tarn.plans.catalog import ORACLE_SQL, QUERIES  # noqa: E402
 
 DIR = "/root/testdata/sf0.01"
