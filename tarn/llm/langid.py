@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64
+from .common import U64, slices, trim_memory
 from .sampling import bounded_sample, held_out
 
 BITS = 14  # of a hashed feature
+ROWS = 4000  # of a batch that are worked on at once
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -84,14 +85,15 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], features: int, classes:
 
 
 def fit(docs: DataFrame, per_language: int = 800, most_rows: int = 4000) -> Model:
-    """docs: rows (doc_id, text, lang) that may be learned from. per_language, most_rows: the sample's bounds."""
+    """docs: rows (doc_id, text, lang) that may be learned from. per_language, most_rows: the sample's bounds; languages aren't bounded
+    but by most_rows."""
     docs = docs.where("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(1 << BITS, np.int64)
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                df[ngrams(t)[0]] += 1
+        for b in slices(batches, ROWS):
+            for t in b.column("text"):
+                df[ngrams(t.as_py())[0]] += 1
                 n += 1
         if n:
             at = np.flatnonzero(df)
@@ -126,13 +128,14 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, lang_pred, score.
 
     Null texts and texts without a letter, and all if nothing could be learned: und, 0. Other columns aren't read."""
-    known = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights for each of at most 1000 languages
+    known = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights for each language of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        for b in batches:
-            found = [m.predict(t) for t in b.column("text").to_pylist()]
+        for b in slices(batches, ROWS):
+            found = [m.predict(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        trim_memory()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out())
     return plain.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -89,3 +89,12 @@ def test_texts_without_letters_have_no_language():
     for text in ("½ ² Ⅷ", "12 _ -- ①", "", None, " \n", "١٢٣"):
         assert m.predict(text) == ("und", 0.0)
     assert m.predict("½ a")[0] == "xx" and m.predict("漢")[0] == "xx"
+
+
+def test_a_sample_of_many_groups_and_long_texts(spark):
+    rows = [(i, f"text {i}", f"g{i % 1500}") for i in range(4500)] + [(9000, "x" * 50_000, "g1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = bounded_sample(df, "lang", 2, 10_000, most_bytes=10_000)
+    assert len({r.lang for r in got}) > 1200 and all(len(r.text) < 10_000 for r in got)
+    assert len(bounded_sample(df, "lang", 2, 100)) == 100
+    assert bounded_sample(df.withColumn("lang", F.lit(None).cast("string")), "lang", 2, 100) == []
