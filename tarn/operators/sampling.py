@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from .compaction import settled
 from .ranks import before
+from .stats import exact_percentiles
 
 
 def placed(rows: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], cut: Callable[[Column, Column], Column], name: str) -> DataFrame:
@@ -68,9 +69,10 @@ def binned_median(rows: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     rows = rows.where(finite(x) & finite(y))
     seen = rows.groupBy(x).agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.count("*").alias("d"))
     rows = rows.join(F.broadcast(seen)).where((F.col("n") >= bins) & (F.col("d") >= 3)).drop("n", "d")
-    edges = rows.agg(F.array_distinct(F.percentile(x, F.lit([i / bins for i in range(bins + 1)]))).alias("edges"))
-    placed = rows.join(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col(x)))))
-    return placed.groupBy("bin").agg(F.count("*").alias("n"), F.median(x).alias("x_median"), F.median(y).alias("y_median"))
+    edges = exact_percentiles(rows, [], x, [i / bins for i in range(bins + 1)]).select(F.array_distinct("percentiles").alias("edges"))
+    dealt = rows.join(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col(x))))).drop("edges")
+    middle = lambda c, name: exact_percentiles(dealt, ["bin"], c, [0.5]).select("bin", F.get("percentiles", 0).alias(f"{name}_median"))
+    return dealt.groupBy("bin").agg(F.count("*").alias("n")).join(middle(x, "x"), "bin").join(middle(y, "y"), "bin")
 
 
 def islands(rows: DataFrame, keys: Sequence[str], order: Sequence[str], label: str) -> DataFrame:

@@ -287,7 +287,7 @@ def wilcoxon_p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
 
 
 def wilcoxon(pairs: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
-    """By keys, over right - left: pairs, n (differences other than 0), w, p, sign_effect and rank_biserial. Ranks come from how often
+    """By keys, over right - left: pairs, mean_delta, n (differences other than 0), w, p, sign_effect and rank_biserial. Ranks come from how often
     each size of difference occurs, and a key's differences are ranked by ranges."""
     good = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     d = pairs.where(good(left) & good(right)).withColumn("d", (F.col(right) - F.col(left)).cast("double")).withColumn("a", F.abs("d"))
@@ -297,9 +297,9 @@ def wilcoxon(pairs: DataFrame, keys: Sequence[str], left: str, right: str) -> Da
     ranked = placed.withColumn("r", F.col("b") + (F.col("c") + 1) / 2)
     total = lambda c: F.coalesce(F.sum(F.when(other, c)), F.lit(0))
     c = F.col("c").cast("double")
-    full = ranked.groupBy(*keys).agg(F.sum("c").alias("pairs"), total(F.col("c")).alias("n"), total(F.col("pos") * F.col("r")).alias("up"), total(F.col("neg") * F.col("r")).alias("down"), total(F.col("pos")).alias("pos"), total(F.col("neg")).alias("neg"), total(c * c * c - c).alias("ties"))
+    full = ranked.groupBy(*keys).agg(F.sum("c").alias("pairs"), total(F.col("c")).alias("n"), total(F.col("pos") * F.col("r")).alias("up"), total(F.col("neg") * F.col("r")).alias("down"), total(F.col("pos")).alias("pos"), total(F.col("neg")).alias("neg"), total(c * c * c - c).alias("ties"), (F.sum(F.col("a") * (F.col("pos") - F.col("neg"))) / F.sum("c")).alias("mean_delta"))
     w = F.least("up", "down")
-    return full.select(*keys, "pairs", "n", w.alias("w"), wilcoxon_p(w, F.col("n"), F.col("ties")).alias("p"), ((F.col("pos") - F.col("neg")) / F.greatest(F.col("n"), F.lit(1))).alias("sign_effect"), F.coalesce((F.col("up") - F.col("down")) / F.nullif(F.col("up") + F.col("down"), F.lit(0.0)), F.lit(0.0)).alias("rank_biserial"))
+    return full.select(*keys, "pairs", "mean_delta", "n", w.alias("w"), wilcoxon_p(w, F.col("n"), F.col("ties")).alias("p"), ((F.col("pos") - F.col("neg")) / F.greatest(F.col("n"), F.lit(1))).alias("sign_effect"), F.coalesce((F.col("up") - F.col("down")) / F.nullif(F.col("up") + F.col("down"), F.lit(0.0)), F.lit(0.0)).alias("rank_biserial"))
 
 
 def _finite(c: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from functools import reduce
 
@@ -15,10 +16,27 @@ from ..sources import readers, writers
 from .catalog import query, r6, t
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def workspace(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset. Removed when the driver ends."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{place.rstrip('/')}/tarn-files-{uuid.uuid4().hex}"
+    at = f"{place.rstrip('/')}/tarn-files-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, at))
+    return at
+
+
+def _remove_written() -> None:
+    for spark, at in _WRITTEN:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have ended before
+            return
+
+
+atexit.register(_remove_written)
 
 
 @query("""SELECT conv_id, turn, role, text, (SELECT count(*) FROM conversations) AS written FROM conversations""")

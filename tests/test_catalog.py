@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-from tarn.plans import corpora, experiment, shapes  # noqa: E402, F401
+from tarn.plans import corpora, experiment, figures, shapes  # noqa: E402, F401
 from tarn.plans.catalog import ORACLE_SQL, QUERIES  # noqa: E402
 
 DIR = "/root/testdata/sf0.01"
@@ -16,7 +16,7 @@ DIR = "/root/testdata/sf0.01"
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5)
+        return None if math.isnan(v) else float(f"{v:.12g}")
     return float(v) if type(v).__name__ == "Decimal" else v
 
 
@@ -40,8 +40,5 @@ def test_query(spark, duck, name):
         assert sorted(cols) == names
         at = [cols.index(n) for n in names]
         expected = [tuple(plain(r[i]) for i in at) for r in want.fetchall()]
-        a, b = sorted(rows, key=str), sorted(expected, key=str)
-        assert len(a) == len(b)
-        for x, y in zip(a, b):
-            for n, u, v in zip(names, x, y):
-                assert u == v or (isinstance(u, float) and u == pytest.approx(v, abs=2e-5)), (n, x, y)
+        # value by value, as the driver's hash has them
+        assert sorted(rows, key=str) == sorted(expected, key=str)
