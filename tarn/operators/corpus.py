@@ -124,13 +124,13 @@ def experiment_jobs(records: DataFrame, sample: DataFrame, demos: DataFrame, con
     (input_text, output); caps: (dataset, max_new_tokens); values: what prompts are filled with, but for demo, demos and input.
 
     The numbers of records, of sampled ones and of jobs are checked while the table is written, and that no job_id repeats: else nothing is written."""
-    n = conditions.groupBy("phase").count().collect()
-    of = {r.phase: r["count"] for r in n}
-    m, main, some = models.count(), records.count(), records.join(sample.select(*keys).distinct(), list(keys), "left_semi").count()
+    conditions, demos, sample = settled(conditions), settled(demos), settled(sample.select(*keys).distinct())  # small, and read more than once
+    of = {r.phase: r["count"] for r in conditions.groupBy("phase").count().collect()}
+    m, main, some = models.count(), records.count(), records.join(small(sample), list(keys), "left_semi").count()
     with_dims = records.join(small(demos), "dataset", "left").join(small(caps), "dataset", "left")
     each = prompts.build_prompt(dict(values) | {"demo": prompts.demo_texts(F.col("demos"), 1), "demos": prompts.demo_texts(F.col("demos")), "input": F.concat(F.lit("Text: "), "input_text")}, F.col("input_text"))
     phase = lambda rows, name: job_table(rows, conditions.where(F.col("phase") == name), models, each, keys)
-    both = phase(with_dims, "main").unionByName(phase(with_dims.join(sample.select(*keys).distinct(), list(keys), "left_semi"), "ablation"))
+    both = phase(with_dims, "main").unionByName(phase(with_dims.join(small(sample), list(keys), "left_semi"), "ablation"))
     out = both.select("job_id", "model_id", *keys, "phase", "condition", "max_new_tokens", "prompt_sha256", "prompt_characters", "input_characters")
     count = lambda name: F.count_if(F.col("phase") == name)
     wanted = {"main": (count("main"), m * main * of.get("main", 0)), "ablation": (count("ablation"), m * some * of.get("ablation", 0)), "without_cap": (F.count_if(F.col("max_new_tokens").isNull()), 0)}
